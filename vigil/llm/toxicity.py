@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW, STEP = 32, 24
 BUCKETS = 1 << 15
@@ -370,4 +371,4 @@ def score(docs: DataFrame, net: Network | None, part_bytes: int = 1 << 21) -> Da
             scores.append(model.value.score(held) if model.value else np.zeros(len(held)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
