@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, sharding, simhash, toxicity
+from . import decontam, html_extract, license_scan, packing, sharding, simhash, toxicity
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,5 +47,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_simhash_near_dedup, op7_benchmark_decontamination, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op7_benchmark_decontamination, op8_sharding, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
