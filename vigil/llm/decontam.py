@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WINDOW = 13
 
@@ -165,12 +166,13 @@ class Windows:
 
 class _Shard:
     def __init__(self, windows: Windows):
-        self.windows, self.rows, self.runs, self.owner, self.base, self.size = windows, [], [], [], [], 0
+        self.windows, self.n_words, self.runs, self.owner, self.base, self.size = windows, [], [], [], [], 0
+        self.batches: list[pa.RecordBatch] = []
 
-    def add(self, key: tuple, text: str | None) -> None:
+    def add(self, text: str | None) -> None:
         found = words(text)
-        doc = len(self.rows)
-        self.rows.append((*key, len(found)))
+        doc = len(self.n_words)
+        self.n_words.append(len(found))
         codes = np.fromiter(map(self.windows.code.get, found, [0] * len(found)), np.int32, len(found))
         edges = np.flatnonzero(np.diff(np.concatenate([[False], codes > 0, [False]])))
         starts, stops = edges[::2], edges[1::2]
@@ -183,8 +185,8 @@ class _Shard:
 
     def hits(self) -> tuple[list[list[tuple[int, int]]], list[set]]:
         """For each document its merged spans of hit words, and the items found."""
-        spans: list[list[tuple[int, int]]] = [[] for _ in self.rows]
-        items: list[set] = [set() for _ in self.rows]
+        spans: list[list[tuple[int, int]]] = [[] for _ in self.n_words]
+        items: list[set] = [set() for _ in self.n_words]
         if not self.runs:
             return spans, items
         w = self.windows
@@ -215,10 +217,9 @@ class _Shard:
         spans, items = self.hits()
         names = [sorted(map(str, i)) for i in items]
         hit = np.array([sum(b - a for a, b in s) for s in spans], np.int64)
-        n = np.array([r[1] for r in self.rows], np.int64)
-        columns = {
-            "doc_id": pa.array([r[0] for r in self.rows], pa.int64()),
-            "n_words": pa.array(n),
+        kept = pa.Table.from_batches(self.batches).combine_chunks()
+        columns = {n: pa.concat_arrays(kept[n].chunks) for n in kept.column_names} | {
+            "n_words": pa.array(self.n_words, pa.int64()),
             "n_hit": pa.array(hit),
             "n_items": pa.array([len(i) for i in items], pa.int64()),
             "items": pa.array(names, pa.list_(pa.string())),
@@ -227,7 +228,7 @@ class _Shard:
         return pa.RecordBatch.from_pydict(columns)
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,stop:long>>"
+FOUND = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 
 def read_windows(benchmark: DataFrame, max_words: int = 5_000_000) -> Windows:
@@ -240,23 +241,27 @@ def read_windows(benchmark: DataFrame, max_words: int = 5_000_000) -> Windows:
     return Windows(items)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, shard_words: int = 1 << 20) -> DataFrame:
-    """One row per document: word counts, items found and merged spans of words to remove."""
+def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), shard_words: int = 1 << 20) -> DataFrame:
+    """One row per document: the columns to keep, word counts, items found and merged spans of words to remove."""
     windows = docs.sparkSession.sparkContext.broadcast(read_windows(benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(windows.value)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard.add((doc,), text.as_py())
-                if shard.size >= shard_words or len(shard.rows) >= 50_000:
-                    yield shard.result()
-                    shard = _Shard(windows.value)
-        if shard.rows:
+            for text in batch.column(0):
+                shard.add(text.as_py())
+            shard.batches.append(pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]))
+            if shard.size >= shard_words or len(shard.n_words) >= 50_000:
+                yield shard.result()
+                shard = _Shard(windows.value)
+        if shard.n_words:
             yield shard.result()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col("text").alias("scanned"), *keep)
+    schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL(FOUND).fields])
+    return rows.mapInArrow(run, schema)
 
 
-def contaminated() -> F.Column:
+def contaminated() -> Column:
+    """The share rule: a twentieth of the words, and one at least, lies in benchmark windows."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -25,7 +25,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+    return found.select("doc_id", "fingerprint", "component_id", "class_size")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

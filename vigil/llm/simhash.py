@@ -51,12 +51,13 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +151,32 @@ def tile_links(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, n_links_class (members of the class)."""
+    """One row per input row: doc_id, text_hash, fingerprint (16 hex digits), component_id, class_size, first.
+
+    ``first`` marks the one of its class with the least doc_id (then text_hash).
+    """
     rows = checkpoint(fingerprints(docs))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("n")))
     roots = connected_components(tile_links(distinct.select("fp"), radius))
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = checkpoint(named)
-    classes = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("class_size")))
-    of_fp = checkpoint(named.join(classes, "root").select("fp", "component_id", "class_size"))
+    classes = checkpoint(named.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size")))
+    of_fp = checkpoint(named.select("fp", "root").join(classes, "root").select("fp", "least", "class_size"))
     return rows.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size"
-    )
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("least.doc_id").alias("component_id"), "class_size", (own == F.col("least")).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """docs less all but one document of each class of near duplicates."""
+    first = checkpoint(near_duplicates(docs, radius).where("first").groupBy("doc_id", "text_hash").count())
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    same = lambda d, e: d["doc_id"].eqNullSafe(e["doc_id"]) & (d["text_hash"] == e["text_hash"])
+    kept = hashed.join(first, same(hashed, first), "left_semi")
+    repeated = first.where("count > 1")
+    if not repeated.isEmpty():  # rows that repeat doc_id and text
+        once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        kept = kept.join(repeated, same(kept, repeated), "left_anti").unionByName(once)
+    return kept.drop("text_hash")
