@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, license_scan, line_dedup, packing, sharding, simhash, toxicity
+from . import ann, decontam, html_extract, license_scan, line_dedup, packing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
@@ -53,5 +57,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_nearest_neighbours, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
