@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, license_scan, line_dedup, packing, sharding, simhash, toxicity
+from . import ann, decontam, html_extract, license_scan, line_dedup, packing, pii, sharding, simhash, toxicity
 from .common import table
 
 
@@ -29,6 +29,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "class_size")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(f"n_{k}" for k in pii.BASE),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_chars", "n_runs", "n_removed_words", "text")
@@ -57,5 +67,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_nearest_neighbours, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_pii, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_nearest_neighbours, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

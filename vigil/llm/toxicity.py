@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 WINDOW, STEP = 32, 24
 BUCKETS = 1 << 15
 EMBED, HIDDEN, ATTEND = 6, 8, 8
-MAX_TOXIC, MAX_OTHER, MAX_CHARS = 1500, 2500, 30_000_000
+MAX_TOXIC, MAX_OTHER, MAX_CHARS = 1500, 2500, 16_000_000
 ROUNDS, EPOCHS, BATCH = 2, 2, 128
 
 #: Word bytes in lower case; 0 for all others. Values below 0x30 are free for marks.
