@@ -1,0 +1 @@
+"""Fleet telemetry and flow-behaviour analytics on Spark DataFrames."""
