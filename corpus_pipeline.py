@@ -9,13 +9,10 @@ sequences of 1024 tokens.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import decontam, line_dedup, packing, simhash, toxicity
-from vigil.llm.common import table
+from vigil.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +51,7 @@ ORACLE_SQL = None  # a trained network and tokenizers are no SQL; tests/llm hold
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Every other stage is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vigil-pipeline-")
-    folder = f"{shared}/corpus-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

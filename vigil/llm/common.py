@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,5 +25,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where the whole cluster can write; a local one only if the session names none, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vigil-")
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: smaller than a checkpoint where columns repeat."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
