@@ -42,6 +42,16 @@ for _b in range(256):
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 
 
+def word_codes(letters: np.ndarray, length: np.ndarray, first: int) -> np.ndarray:
+    """Hashes of a block of words, from ``first`` on: the sum of letter times power over each."""
+    size = length[first : first + (1 << 17)]
+    start = int(length[:first].sum())
+    own = letters[start : start + int(size.sum())]
+    begin = np.cumsum(size) - size
+    nth = np.arange(len(own)) - np.repeat(begin, size)
+    return np.add.reduceat((own.astype(np.uint64) + np.uint64(1)) * _POWERS[nth % len(_POWERS)], begin)
+
+
 @dataclass
 class Words:
     """Words of several texts: the distinct ones, and for each text the places of its words."""
@@ -65,11 +75,7 @@ class Words:
             none = np.zeros(0, np.int64)
             return cls(none, none, none, none, doc_start)
         length = stop - start
-        # hash: sum of letter * power, over each word
-        at = np.flatnonzero(inside)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-        value = (letters[at].astype(np.uint64) + np.uint64(1)) * _POWERS[nth % len(_POWERS)]
-        code = np.add.reduceat(value, np.cumsum(length) - length)
+        code = np.concatenate([word_codes(letters[inside], length, at) for at in range(0, len(length), 1 << 17)])
         _, first, place = np.unique(code, return_index=True, return_inverse=True)
         bucket = (code[first] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(49)).astype(np.int64)
         # one 4-gram for each letter, of the word with a mark on either side
@@ -215,33 +221,26 @@ def spread(w: Words, first: np.ndarray, size: np.ndarray, missing: int) -> tuple
     """Places of the words of each window, ``missing`` beyond its end; which are there."""
     steps = np.arange(WINDOW)
     live = steps < size[:, None]
-    place = np.append(w.place, missing)
-    return np.where(live, place[np.minimum(first[:, None] + steps, len(w.place))], missing), live.astype(np.float32)
+    if not len(w.place):
+        return np.full(live.shape, missing), live.astype(np.float32)
+    return np.where(live, w.place[np.minimum(first[:, None] + steps, len(w.place) - 1)], missing), live.astype(np.float32)
 
 
 def log_odds(w: Words, toxic: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How much likelier each bucket is in toxic documents; drawn to 0 where it is rare."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(w.doc_start))
-    pairs = np.unique(doc * np.int64(len(w.bucket) + 1) + w.place)
-    doc, place = pairs // (len(w.bucket) + 1), pairs % (len(w.bucket) + 1)
-    doc, place = doc[chosen[doc]], place[chosen[doc]]
-    found = []
-    sizes = w.sizes()
-    for kind in ("word", "gram"):
-        if kind == "word":
-            d, bucket = doc, w.bucket[place]
-        else:
-            n = sizes[place]
-            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            d, bucket = np.repeat(doc, n), w.grams[np.repeat(w.gram_start[place], n) + k]
-        key = np.unique(d * np.int64(BUCKETS) + bucket)
-        d, bucket = key // BUCKETS, key % BUCKETS
-        yes = np.bincount(bucket[toxic[d]], minlength=BUCKETS)
-        no = np.bincount(bucket[~toxic[d]], minlength=BUCKETS)
-        n_yes, n_no = (toxic & chosen).sum(), (~toxic & chosen).sum()
-        odds = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
-        found.append((odds * (yes + no) / (yes + no + 4)).astype(np.float32))
-    return found[0], found[1]
+    sizes, counts = w.sizes(), np.zeros((2, 2, BUCKETS), np.int64)  # words or grams, not toxic or toxic
+    for doc in np.flatnonzero(chosen).tolist():
+        place = np.unique(w.place[w.doc_start[doc] : w.doc_start[doc + 1]])
+        n = sizes[place]
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        grams = w.grams[np.repeat(w.gram_start[place], n) + k]
+        for kind, bucket in enumerate((w.bucket[place], grams)):
+            counts[kind, int(toxic[doc]), np.unique(bucket)] += 1
+    n_no, n_yes = (~toxic & chosen).sum(), (toxic & chosen).sum()
+    odds = np.log((counts[:, 1] + 0.5) / (n_yes + 1)) - np.log((counts[:, 0] + 0.5) / (n_no + 1))
+    seen = counts.sum(axis=1)
+    odds = (odds * seen / (seen + 4)).astype(np.float32)
+    return odds[0], odds[1]
 
 
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
@@ -274,7 +273,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
         order = np.lexsort((-strength, doc))
         ranked = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
         chosen = order[ranked < np.where(toxic[doc[order]], 1, 3)]
-        for _ in range(EPOCHS * max(1, 3000 // len(chosen))):
+        for _ in range(EPOCHS * max(1, 5000 // len(chosen))):
             for at in np.array_split(g.permutation(chosen), max(1, len(chosen) // BATCH)):
                 step += 1
                 half = fold[doc[at]]
