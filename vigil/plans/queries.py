@@ -664,3 +664,49 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Fleet(spark, sf_dir)
     labels = f.instances.select("instance", "server_name", "project")
     return plain(attribution.ip_flows(f.events, f.instance_ips, f.flows).join(labels, "instance"))
+
+
+# ---- streams: the same rows through the streaming operators ----------------------------------
+
+
+@query("SELECT host_id, ts, count(*) AS flows FROM flows GROUP BY host_id, ts")
+def stream_snapshots(f):
+    from ..streaming import state
+
+    return state.replay(f.flows.select("host_id", "snapshot_ts"), lambda s: state.snapshots(state.on_time(s)))
+
+
+@query(f"SELECT {ID}, round(signal, 3) AS signal FROM sig")
+def stream_behavior_state(f):
+    from ..streaming import state
+
+    return state.replay(f.features, state.behavior_state).select(*IDENT, F.round("signal", 3).alias("signal"))
+
+
+@query()
+def stream_resource_state(f):
+    from ..streaming import state
+
+    return state.replay(f.pressures, state.resource_state).select("host_id", "instance", F.col("ts").alias("at"), "overall", "top_axis", "band")
+
+
+@query()
+def stream_threat_state(f):
+    from ..streaming import state
+
+    counts = threat.hit_counts(f.routed).select("host_id", "snapshot_ts", "instance", "list", F.col("active").alias("hits"))
+    return state.replay(scoring.threat_signal(counts), state.threat_state).select("host_id", "instance", "snapshot_ts", "intel_ewma", "intel_combined")
+
+
+@query("SELECT f.host_id, l.list, count(*) AS hits FROM flows f JOIN (SELECT DISTINCT list, ip FROM threat_ips) l ON l.ip = f.dst_ip GROUP BY f.host_id, l.list")
+def stream_list_refresh(f):
+    from ..streaming import state
+
+    folder = state.shared(f.spark)
+    f.flows.select("host_id", "snapshot_ts", "dst_ip").write.parquet(f"{folder}/in")
+    rows = f.spark.read.parquet(f"{folder}/in")
+    stream = f.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    fresh = lambda: f.threat_ips.select("list", "ip").distinct()
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    state.against_current_lists(stream, fresh, keep, f"{folder}/log").awaitTermination()
+    return f.spark.read.parquet(f"{folder}/out").groupBy("host_id", "list").agg(F.count("*").alias("hits"))
