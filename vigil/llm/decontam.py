@@ -257,7 +257,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
         if shard.n_words:
             yield shard.result()
 
-    rows = docs.select(F.col("text").alias("scanned"), *keep)
+    rows = docs.select(F.col("text").alias("__scanned"), *keep)
     schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL(FOUND).fields])
     return rows.mapInArrow(run, schema)
 

@@ -172,11 +172,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
     """docs less all but one document of each class of near duplicates."""
     first = checkpoint(near_duplicates(docs, radius).where("first").groupBy("doc_id", "text_hash").count())
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    same = lambda d, e: d["doc_id"].eqNullSafe(e["doc_id"]) & (d["text_hash"] == e["text_hash"])
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = lambda d, e: d["doc_id"].eqNullSafe(e["doc_id"]) & (d["__text_hash"] == e["text_hash"])
     kept = hashed.join(first, same(hashed, first), "left_semi")
     repeated = first.where("count > 1")
     if not repeated.isEmpty():  # rows that repeat doc_id and text
-        once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        once = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
         kept = kept.join(repeated, same(kept, repeated), "left_anti").unionByName(once)
-    return kept.drop("text_hash")
+    return kept.drop("__text_hash")
