@@ -28,20 +28,27 @@ def by_port(events: DataFrame) -> DataFrame:
     return events.where("port > 0").groupBy(*SNAPSHOT, "port").agg(F.count("*").alias("flows"))
 
 
+def _stats() -> list[Column]:
+    multicast = F.sum(F.when(addr.is_multicast(F.col("remote")), F.col("flows")).otherwise(0)).alias("multicast")
+    return [*(F.sum(c).alias(c) for c in ("flows", "unreplied", "bytes", "packets", "icmp", "udp")), multicast]
+
+
 def stats(remotes: DataFrame) -> DataFrame:
-    return remotes.groupBy(*SNAPSHOT).agg(
-        *(F.sum(c).alias(c) for c in ("flows", "unreplied", "bytes", "packets", "icmp", "udp")),
-        F.sum(F.when(addr.is_multicast(F.col("remote")), F.col("flows")).otherwise(0)).alias("multicast"),
-    )
+    return remotes.groupBy(*SNAPSHOT).agg(*_stats())
+
+
+def _unique(config: Config) -> list[Column]:
+    n, most = F.count("*"), config.remote_ceiling
+    return [F.least(n, F.lit(most)).alias("unique_remotes"), (n >= most).alias("unique_remotes_saturated"), (n > most).alias("remote_map_capped")]
 
 
 def unique_remotes(remotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    n = F.count("*")
-    return remotes.groupBy(*SNAPSHOT).agg(
-        F.least(n, F.lit(config.remote_ceiling)).alias("unique_remotes"),
-        (n >= config.remote_ceiling).alias("unique_remotes_saturated"),
-        (n > config.remote_ceiling).alias("remote_map_capped"),
-    )
+    return remotes.groupBy(*SNAPSHOT).agg(*_unique(config))
+
+
+def _best(item: str) -> Column:
+    """The item with most flows; of equals the least."""
+    return F.min(F.struct((-F.col("flows")).alias("minus"), item))
 
 
 def top_remote(remotes: DataFrame) -> DataFrame:
@@ -61,35 +68,44 @@ def top_port(ports: DataFrame) -> DataFrame:
 
 
 def port_groups(ports: DataFrame) -> DataFrame:
+    return ports.groupBy(*SNAPSHOT).agg(*_groups())
+
+
+def _groups() -> list[Column]:
     total = lambda c: F.sum(F.when(c, F.col("flows")).otherwise(0))
     port = F.col("port")
-    return ports.groupBy(*SNAPSHOT).agg(
+    return [
         F.count("*").alias("unique_ports"),
         total(port == scalars.BGP).alias("bgp_flows"), total(port == scalars.GENEVE).alias("geneve_flows"),
         total(port.isin(*scalars.SMTP)).alias("smtp_flows"), total(port.isin(*scalars.STRATUM)).alias("stratum_flows"),
         total(port.isin(*scalars.ADMIN) & (F.col("direction") == "inbound")).alias("admin_flows"),
-    )
+    ]
 
 
 def policy(remotes: DataFrame, host_ips: DataFrame) -> DataFrame:
     """Public remotes; and outbound only: metadata flows, and, over 10 flows, infrastructure and local remotes."""
     marked = addr.mark_infrastructure(remotes, host_ips, "remote")
+    return _policy_columns(marked.groupBy(*SNAPSHOT).agg(F.sum("flows").alias("flows"), *_policy())).drop("flows")
+
+
+def _policy() -> list[Column]:
+    """Aggregates over remotes with is_infra."""
     remote, out = F.col("remote"), F.col("direction") == "outbound"
     meta = addr.is_metadata_service(remote) & out
     amount = lambda c, v: F.sum(F.when(c, v).otherwise(0))
-    got = marked.groupBy(*SNAPSHOT).agg(
-        F.sum("flows").alias("_flows"),
+    return [
         F.count_if(~addr.is_private_or_local(remote) & ~F.col("is_infra")).alias("public_remotes"),
         amount(meta, F.col("flows")).alias("metadata_flows"), amount(meta, F.col("unreplied")).alias("_metadata_unreplied"),
         F.count_if(F.col("is_infra") & out).alias("infra_hits"),
         F.coalesce(F.max(F.when(F.col("is_infra") & out, F.col("flows"))), F.lit(0)).alias("infra_max_flows"),
         F.count_if(~F.col("is_infra") & addr.is_local_only(remote) & out).alias("local_scan_hits"),
-    )
-    busy = lambda c: F.when(F.col("_flows") > 10, F.col(c)).otherwise(0).alias(c)
-    return got.select(
-        *SNAPSHOT, "public_remotes", "metadata_flows", scalars.ratio(F.col("_metadata_unreplied"), F.col("metadata_flows")).alias("metadata_unreplied_ratio"),
-        busy("infra_hits"), busy("infra_max_flows"), busy("local_scan_hits"),
-    )
+    ]
+
+
+def _policy_columns(got: DataFrame) -> DataFrame:
+    busy = {c: F.when(F.col("flows") > 10, F.col(c)).otherwise(0) for c in ("infra_hits", "infra_max_flows", "local_scan_hits")}
+    share = scalars.ratio(F.col("_metadata_unreplied"), F.col("metadata_flows"))
+    return got.withColumns(busy | {"metadata_unreplied_ratio": share}).drop("_metadata_unreplied")
 
 
 def unmonitored(ports: DataFrame, monitored: DataFrame) -> DataFrame:
@@ -177,14 +193,23 @@ def features(
     events: DataFrame, host_ips: DataFrame, monitored: DataFrame, totals: DataFrame, table_max: DataFrame, config: Config = DEFAULT
 ) -> DataFrame:
     """The whole feature vector. totals is (host_id, snapshot_ts, instance, flows); table_max (host_id, table_max)."""
+    # one aggregate over remotes and one over ports carry all but what is new since the snapshot before
     remotes, ports = by_remote(events), by_port(events)
-    out = stats(remotes)
-    for part in (
-        unique_remotes(remotes, config), top_remote(remotes), policy(remotes, host_ips), new_remotes(remotes, config),
-    ):
-        out = out.join(part, SNAPSHOT)
-    for part in (port_groups(ports), top_port(ports), darkspace(ports, monitored), new_ports(ports, remotes, config)):
-        out = out.join(part, SNAPSHOT, "left")
+    marked = addr.mark_infrastructure(remotes, host_ips, "remote")
+    out = _policy_columns(marked.groupBy(*SNAPSHOT).agg(*_stats(), *_unique(config), _best("remote").alias("_top"), *_policy()))
+    out = out.withColumns({"top_remote": F.col("_top.remote"), "max_single_remote": -F.col("_top.minus")}).drop("_top")
+    known = monitored.select("direction", "port", F.lit(True).alias("_known")).distinct()
+    mapped = monitored.select("direction", F.lit(True).alias("_mapped")).distinct()
+    dark = F.col("_known").isNull() & F.col("_mapped").isNotNull()
+    by_direction = ports.join(F.broadcast(known), ["direction", "port"], "left").join(F.broadcast(mapped), "direction", "left")
+    worst = F.min(F.when(dark, F.struct((-F.col("flows")).alias("minus"), "port")))
+    own = by_direction.groupBy(*SNAPSHOT).agg(
+        *_groups(), _best("port").alias("_top"), worst.alias("_dark"), F.count_if(dark).alias("dark_ports"), F.sum(F.when(dark, F.col("flows")).otherwise(0)).alias("dark_flows"),
+    )
+    own = own.withColumns({
+        "top_port": F.col("_top.port"), "max_single_port": -F.col("_top.minus"), "top_dark_port": F.col("_dark.port"), "max_single_dark_port": -F.col("_dark.minus"),
+    }).drop("_top", "_dark")
+    out = out.join(new_remotes(remotes, config), SNAPSHOT).join(own, SNAPSHOT, "left").join(new_ports(ports, remotes, config), SNAPSHOT, "left")
     out = out.fillna(0, NUMBERS).join(totals.withColumnRenamed("flows", "instance_flows"), ["host_id", "snapshot_ts", "instance"], "left")
     out = out.join(table_max.select("host_id", "table_max"), "host_id", "left")
     acct = F.lit(config.accounting)
