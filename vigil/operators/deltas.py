@@ -119,3 +119,10 @@ def disk_pressure(rates: DataFrame) -> DataFrame:
         "disk_signal": F.greatest(F.when(c("rw_requests") >= 5, rw).otherwise(0.0), flush),
         "disk_activity": F.greatest((c("rd_iops") + c("wr_iops")) / 100, c("bandwidth") / (10 * 1024 * 1024)),
     })
+
+
+def state_islands(samples: DataFrame, key: list[str], ttl_s: float, ts: str = "ts") -> DataFrame:
+    """Adds island: state is kept within one, and starts anew where a key was idle for longer than ttl_s."""
+    order = Window.partitionBy(*key).orderBy(ts)
+    gap = F.col(ts).cast("double") - F.lag(ts).over(order).cast("double")
+    return samples.withColumn("island", F.sum(F.when(gap > ttl_s, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

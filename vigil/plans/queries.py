@@ -441,6 +441,17 @@ def score_net_pressure(f):
     return scoring.net_pressure(rows, f.config).select("host_id", "instance", "ts", "net_p", "net_conf")
 
 
+@query("SELECT host_id, instance, ts, round(CASE WHEN dt > 0 AND inc > 0 THEN 0.009 / (0.018 + 0.08 * 8192 / 983040.0) * 100 ELSE 0 END, 3) AS disk_signal, round(coalesce(greatest(inc * 5 / nullif(dt, 0) / 100, inc * 368640 / nullif(dt, 0) / 10485760), 0), 4) AS disk_activity, 1 AS disks FROM lagged")
+def agg_disk_worst(f):
+    got = deltas.disk_worst(f.disk)
+    return got.select("host_id", "instance", "ts", F.round("disk_signal", 3).alias("disk_signal"), "disk_activity", "disks")
+
+
+@query("SELECT host_id, instance, ts, CAST(sum(CASE WHEN gap > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY host_id, instance ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY host_id, instance ORDER BY ts)) AS gap FROM counters)")
+def win_state_ttl(f):
+    return deltas.state_islands(f.counters.select("host_id", "instance", "ts"), ["host_id", "instance"], 86400)
+
+
 @query()
 def score_resource_overall(f):
     return f.resources.select("host_id", "instance", F.col("ts").alias("at"), "overall_raw", "top_axis", "axes90", "band")
