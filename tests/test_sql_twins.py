@@ -9,7 +9,7 @@ from vigil.plans import ingest_queries  # noqa: F401
 from vigil.plans.queries import ORACLE, QUERIES
 
 CHOSEN = """scan_flow_snapshot join_flow_zone_attribution join_flow_unique_ip_fallback flow_to_identity_events agg_ip_flows agg_behavior_stats
-agg_top_remote agg_top_dst_port agg_port_groups agg_public_infra_local_metadata agg_darkspace agg_flow_ratios win_new_remotes win_new_dst_ports
+alert_endpoints load_monitored_ports agg_top_remote agg_top_dst_port agg_port_groups agg_public_infra_local_metadata agg_darkspace agg_flow_ratios win_new_remotes win_new_dst_ports
 win_cpu_usage win_disk_io win_threat_contacts_total first_match_rule score_alert_confidence score_behavior_signal score_threat_signal
 join_threat_cidr agg_threat_hits join_host_ip_listed q_counter_rate q_counter_increase q_for_duration q_deriv q_count_having agg_project_showback
 ingest_inventory_xml ingest_zone_map ingest_domain_stats ingest_threat_ip_list ingest_threat_cidr_list match_external_rules load_external_rules
