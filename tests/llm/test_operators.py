@@ -252,6 +252,50 @@ def test_line_dedup(spark):
     assert got[6]["text"] == "" and got[6]["n_removed_words"] == len(own[3].split())
 
 
+def repeated_words(texts, n=50):
+    """By brute force: the words of each text that lie in a window of n words that an earlier place holds."""
+    first, cut = {}, {}
+    for doc in sorted(texts):
+        words = re.findall(r"[^ \n]+", texts[doc] or "")
+        cut[doc] = set()
+        for i in range(len(words) - n + 1):
+            at = first.setdefault(tuple(words[i : i + n]), (doc, i))
+            if at[0] != doc or i - at[1] >= n:
+                cut[doc].update(range(i, i + n))
+    return cut
+
+
+def test_line_dedup_against_all_windows(spark, docs):
+    g = np.random.default_rng(12)
+    word = lambda n: ["".join(g.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    bare, clause = word(50), [" ".join(word(30)) + ", ", " ".join(word(30)) + ". "]
+    part = word(60)
+    extra = {
+        # 50 words without punctuation, in other surroundings, one of them broken by line ends
+        1000: [*word(40), *bare, *word(33)], 1001: [*word(7), *bare, *word(90)], 1002: [*word(90), "\n".join(bare)],
+        # two clauses of 30 words, and 49 words that repeat
+        1010: [*word(20), "".join(clause), *word(9)], 1011: [*word(3), "".join(clause), *word(70)], 1012: [*word(10), *bare[:49], *word(10)],
+        # the first places of the runs' halves are in documents that hold no more of them
+        1020: [*word(10), *part[:35], *word(10), *part[20:56], *word(5)], 1021: [*word(11), *part, *word(4)], 1022: [*word(60), *part, *word(60)],
+        # repeats within a document, and with a short period
+        1030: [*(own := word(70)), *word(5), *own], 1031: ["ha"] * 500, 1032: ["ha"] * 80,
+    }
+    extra |= {1100 + n: word(n) * 3 for n in range(45, 75)}
+    extra |= {1200 + n: [*(few := word(n)) * (150 // n), "end"] for n in range(1, 30)} | {1250: [*word(9), *few * 5]}
+    extra |= {1300 + n: [*extra[1200 + n][:52], *word(5)] for n in range(1, 30)} | {1350 + n: [*word(3), *extra[1200 + n]] for n in range(1, 30)}
+    extra |= {990 + n: [*word(3), *extra[1200 + n][2:52], *word(5)] for n in range(2, 9)}
+    rows = docs.select("doc_id", "text").where("doc_id < 990").union(spark.createDataFrame([(i, " ".join(t)) for i, t in extra.items()], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    cut = repeated_words(texts)
+    assert all(cut[i] for i in (1001, 1002, 1011, 1022, 1030, 1031, 1032)) and not any(cut[i] for i in (1000, 1010, 1012, 1020, 1021))
+    got = {r["doc_id"]: r for r in line_dedup.dedup(rows).collect()}
+    for doc, text in texts.items():
+        words = re.findall(r"[^ \n]+", text or "")
+        assert re.findall(r"[^ \n]+", got[doc]["text"] or "") == [w for i, w in enumerate(words) if i not in cut[doc]], doc
+        assert got[doc]["n_removed_words"] == len(cut[doc])
+        assert got[doc]["n_runs"] == sum(i - 1 not in cut[doc] for i in cut[doc])
+
+
 def test_line_cut_without_regular_expressions(spark):
     rows = spark.createDataFrame([("a. b, c; d! e? f: g\nh.\ni",), ("",), (". ",), ("x\x01y. z",)], "t string").coalesce(1)
     for text, got in rows.select("t", line_dedup.lines(F.col("t"))).collect():

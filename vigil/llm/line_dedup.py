@@ -1,19 +1,22 @@
-"""Removal of repeated passages by winnowing over line hashes, with DataFrame functions only.
+"""Removal of repeated passages by winnowing over hashes of short word runs, in numpy, and joins.
 
-A text is cut into lines: at line ends and after each sentence or clause. Of every two
-neighbouring lines a hash is taken, and of every ``WINDOW`` neighbouring hashes the least is
-kept as a fingerprint, so any repeated run of WINDOW + 1 lines shares one; a line of
-``MIN_WORDS`` words is one by itself. (A repeat within a line that no punctuation divides is
-not seen.) Every fingerprint is joined with its first occurrence (by doc_id, then place), and matches on one diagonal of
-two documents whose fingerprints have LEAST_WORDS words or more are extended both ways, line
-by line and then word by word into the lines at either end. A run of ``min_words`` words or
-more is deleted from the later place. The first one stays.
+Words are what blanks and line ends part. Of every ``min_words`` neighbouring words the least
+hash of the runs of half as many words is kept as their fingerprint (the leftmost of equals),
+so any two equal windows of ``min_words`` words have the same one: none is missed, whatever
+lines or punctuation they hold. The windows that share a place's fingerprint are one group.
+
+Fingerprints found once are left. Where all groups of a fingerprint are equal in full, the
+group is compared as a whole; where they differ (the ends of a repeat, or chance), each of
+their windows is compared by itself. A window that equals an earlier one (by doc_id, then
+place) is deleted; windows that overlap make one run, so every run of ``min_words`` words or
+more that repeats is cut to its full length. The first one stays, also within a document: a
+window that overlaps its own first place is no repeat. Equality is that of 64-bit hashes.
 
 Copies of a passage are each matched with the first, not with one another, so the work is
-linear in their number; a fingerprint that very many documents share is split by AQE, as
-both sides of that join are plain exchanges. Texts without a match are not shuffled, as far
-as the slots of their keys tell (a broadcast of SLOTS rows at most; a full one costs a
-shuffle, not a result).
+linear in their number. What is gathered into one row are places of one document, never
+texts; the rows of a fingerprint that very many documents share are small and pass a task as
+a stream that spills. Texts without a match are not shuffled, as far as the slots of their
+keys tell (a broadcast of SLOTS rows at most; a full one costs a shuffle, not a result).
 
 Nulls: a null text stays null. A document that is all repeats keeps its row, with an empty
 text. Rows that repeat both doc_id and text are one document: each keeps the same text. A
@@ -23,152 +26,221 @@ pass through; columns whose names clash with the added ones are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from .common import checkpoint, written
+from .common import written
 
 MIN_WORDS = 50
-WINDOW = 2
-REACH = MIN_WORDS  # lines looked at on either side of a pair's fingerprints; a line has a word at least
-LEAST_WORDS = 16  # in the fingerprints of a match, lines counted in each; fewer are chance or short boilerplate
-SLOTS, SALTS = 1 << 18, 16
+SLOTS = 1 << 18
+PART_BYTES = 1 << 21  # texts hashed at a time
 LINE_CUT = r"(?<=[.!?,;:] )|(?<=\n)"
 ENDS, MARK = (". ", "! ", "? ", ", ", "; ", ": ", "\n"), "\x01"
-BLANKS = " \n"
 
 #: Working columns, named so that they meet no column of the input.
-KEY, SLOT, FOUND, CUTS, BEFORE = "__key", "__slot", "__found", "__cuts", "__before"
-
-RUN = "array<struct<s:int,n:int>>"
-CUT = "array<struct<u0:int,u1:int,lead:int,trail:int,words:int>>"
+KEY, SLOT, FOUND = "__key", "__slot", "__found"
 
-
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once for each row."""
-    return F.get(F.transform(F.array(value), body), 0)
+_G = np.random.default_rng(17)
+_BYTE = _G.integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACE = _G.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def lines(text: Column) -> Column:
-    """The text's lines, each with what ends it. Plain replacements are several times faster than a look behind."""
+    """The text's sentences and clauses, each with what ends it (a view of the text; repeats do not depend on it)."""
     marked = reduce(lambda t, end: F.replace(t, F.lit(end), F.lit(end + MARK)), ENDS, text)
     return F.when(text.contains(MARK), F.split(text, LINE_CUT, -1)).otherwise(F.split(marked, MARK, -1))
 
 
-def bare(line: Column) -> Column:
-    return F.trim(line, F.lit(BLANKS))
-
-
-def n_words(line: Column) -> Column:
-    return F.when(F.length(line) == 0, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-
-
-def n_tokens(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "[ \\n]+"), lambda w: w != ""))
-
-
-def fingerprints(text: Column) -> Column:
-    """array<struct<pos, g, w>>: the hashes of neighbouring lines that are least in a window, and of lines long enough alone."""
-
-    def hashed(line: Column) -> Column:
-        return let(bare(line), lambda b: F.struct(F.xxhash64(b).alias("h"), n_words(b).alias("w")))
-
-    def pairs(h: Column) -> Column:
-        def pair(i: Column) -> Column:
-            one, two = F.get(h, i), F.get(h, i + 1)
-            return F.struct(i.alias("pos"), F.xxhash64(one["h"], two["h"]).alias("g"), (one["w"] + two["w"]).alias("w"))
-
-        return F.transform(F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>")), pair)
-
-    def least(g: Column) -> Column:
-        at = lambda i: F.get(g, i)["g"]
-        return F.filter(g, lambda x: F.coalesce((x["g"] <= at(x["pos"] - 1)) | (x["g"] <= at(x["pos"] + 1)), F.lit(True)))
-
-    def alone(h: Column) -> Column:
-        marked = F.transform(h, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x["h"]).alias("g"), x["w"].alias("w")))
-        return F.filter(marked, lambda x: x["w"] >= MIN_WORDS)
-
-    return let(F.transform(lines(text), hashed), lambda h: F.concat(let(pairs(h), least), alone(h)))
-
-
-def common_words(a: Column, b: Column) -> Column:
-    """How many words two word arrays share at their start."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.coalesce(F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int"), F.lit(0))
-
-
-def cuts(own: Column, match: Column, min_words: int) -> Column:
-    """Runs to delete from the bare lines ``own``, for one match (diagonal d, first line a, lines segs)."""
-    shift = match["a"] + match["d"]
-    mask = F.array_join(F.transform(match["segs"], lambda s, j: F.when(F.get(own, shift + j) == s, "1").otherwise("0")), "")
-    runs = F.aggregate(
-        F.regexp_extract_all(mask, F.lit("1+|0+"), F.lit(0)),
-        F.struct(F.lit(0).alias("at"), F.array().cast(RUN).alias("out")),
-        lambda acc, r: F.struct(
-            (acc["at"] + F.length(r)).alias("at"),
-            F.when(r.startswith("1"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), F.length(r).alias("n")))))
-            .otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
-    words = lambda line: F.split(line, " ")
-    back = lambda line: F.reverse(words(line))
-
-    def cut(r: Column) -> Column:
-        start, stop = shift + r["s"], shift + r["s"] + r["n"]
-        lead = common_words(back(F.get(own, start - 1)), back(F.get(match["segs"], r["s"] - 1)))
-        trail = common_words(words(F.get(own, stop)), words(F.get(match["segs"], r["s"] + r["n"])))
-        inside = F.aggregate(F.slice(own, start + 1, r["n"]), F.lit(0), lambda n, line: n + n_words(line))
-        return let(
-            F.struct(lead.alias("lead"), trail.alias("trail"), inside.alias("inside")),
-            lambda e: F.struct(
-                start.alias("u0"), stop.alias("u1"), e["lead"].alias("lead"), e["trail"].alias("trail"),
-                (e["inside"] + e["lead"] + e["trail"]).alias("words"),
-            ),
-        )
-
-    return F.filter(F.transform(runs, cut), lambda c: c["words"] >= min_words)
-
-
-def without(text: Column, found: Column) -> Column:
-    """The text less the runs found."""
-
-    def most(name: str, at: str, place: Column) -> Column:
-        """The most words cut at this side of the line."""
-        return F.coalesce(F.array_max(F.transform(F.filter(found, lambda c: c[at] == place), lambda c: c[name])), F.lit(0))
-
-    def rest(line: Column, i: Column) -> Column:
-        inside = F.exists(found, lambda c: (c["u0"] <= i) & (i < c["u1"]))
-        edge = F.struct(most("lead", "u0", i + 1).alias("tail"), most("trail", "u1", i).alias("head"), F.split(bare(line), " ").alias("words"))
-
-        def trimmed(e: Column) -> Column:
-            left = F.slice(e["words"], e["head"] + 1, F.greatest(F.size(e["words"]) - e["head"] - e["tail"], F.lit(0)))
-            end = F.when(e["tail"] == 0, F.regexp_extract(line, r"[ \n]*\z", 0)).when(F.size(left) > 0, " ").otherwise("")
-            return F.when((e["head"] > 0) | (e["tail"] > 0), F.concat(F.array_join(left, " "), end)).otherwise(line)
-
-        return F.when(inside, "").otherwise(let(edge, trimmed))
-
-    return F.array_join(F.transform(lines(text), rest), "")
-
-
-def matches(docs: DataFrame) -> DataFrame:
-    """docs (key, ord, text) -> (later, first, d, low, high): diagonals of matching fingerprints."""
-    marks = docs.select("key", "ord", F.explode(fingerprints(F.col("text"))).alias("f")).select("key", "ord", "f.pos", "f.g", "f.w")
-    marks = written(marks)  # read twice below
-    shared = marks.groupBy("g").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").select("g", "least")
-    shared = checkpoint(shared)  # plain tables, so that hot fingerprints can be split in the joins
-    marks = checkpoint(marks.join(shared, "g"))
-    place = F.struct("ord", "key", "pos")
-    first = checkpoint(marks.where("ord = least").groupBy("g").agg(F.min(place).alias("first")))
-    return (
-        marks.join(first, "g")
-        .where(place != F.col("first"))
-        .groupBy(F.col("key").alias("later"), F.col("first.key").alias("first"), (F.col("pos") - F.col("first.pos")).alias("d"))
-        .agg(F.min("first.pos").alias("low"), F.max("first.pos").alias("high"), F.sum("w").alias("w"))
-        .where(F.col("w") >= LEAST_WORDS)
-        .drop("w")
-    )
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Words:
+    """The words of several texts: their places in the joined bytes, and hashes of their runs."""
+
+    def __init__(self, texts: list[bytes]):
+        self.size = np.array([len(t) + 1 for t in texts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        blank = (self.data == 32) | (self.data == 10)
+        edge = np.flatnonzero(np.diff(blank, prepend=True))
+        self.start, self.stop = edge[::2], edge[1::2]
+        self.first = np.searchsorted(self.start, np.append(self.begin, len(self.data)))  # of each text, and the end
+
+    def hashed(self) -> Words:
+        codes = np.empty(len(self.start), np.uint64)
+        for at in range(0, len(codes), 1 << 15):
+            start, stop = self.start[at : at + (1 << 15)], self.stop[at : at + (1 << 15)]
+            own = self.data[start[0] : stop[-1]]
+            nth = np.arange(start[0], stop[-1]) - np.repeat(start, np.diff(start, append=stop[-1]))
+            live = nth < np.repeat(stop - start, np.diff(start, append=stop[-1]))
+            codes[at : at + len(start)] = np.add.reduceat(_BYTE[own] * _PLACE[nth & 4095] * live, start - start[0])
+        self.back = np.cumprod(np.full(len(codes) + 1, _BACK, np.uint64)) * np.uint64(_STEP)
+        power = np.cumprod(np.full(len(codes), _STEP, np.uint64)) * np.uint64(_BACK)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes + (self.stop - self.start).astype(np.uint64)) * power)])
+        return self
+
+    def runs(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hashes of the runs of n words from each place on."""
+        return mixed((self.sums[at + n] - self.sums[at]) * self.back[at] + np.asarray(n).astype(np.uint64))
+
+    def groups(self, min_words: int) -> tuple[np.ndarray, ...]:
+        """text, first window, number of windows, fingerprint, hash of the whole: of each group of windows."""
+        k = max(min_words // 2, 1)
+        reach = min_words - k + 1
+        n = len(self.start) - min_words + 1
+        if n <= 0:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, none
+        short = self.runs(np.arange(len(self.start) - k + 1), k)
+        least, have = (short & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(short), dtype=np.uint64), 1
+        while have < reach:
+            step = min(have, reach - have)
+            least, have = np.minimum(least[:-step], least[step:]), have + step
+        picked = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        text = np.repeat(np.arange(len(self.size)), np.diff(self.first))
+        window = np.flatnonzero(text[:n] == text[min_words - 1 :])
+        picked, text = picked[window], text[window]
+        head = np.flatnonzero(np.append(True, (np.diff(picked) != 0) | (np.diff(text) != 0))[: len(window)])
+        at, many = window[head], np.diff(np.append(head, len(window)))
+        g, whole, text = short[picked[head]], self.runs(at, many + (min_words - 1)), text[head]
+        # of equal groups in a row (one word over and over) those are kept that cover the same words
+        new = np.append(True, (np.diff(text) != 0) | (np.diff(g) != 0) | (np.diff(whole) != 0))[: len(text)]
+        nth = np.arange(len(text)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        clear = nth - -(-min_words // many)  # -1 and 0: the first that lie clear of the group before, or of the first one
+        kept = (nth % (min_words // many) == 0) | (clear == -1) | (clear == 0) | np.append(new[1:], True)[: len(text)]
+        g, whole, text, at, many = (x[kept] for x in (g, whole, text, at, many))
+        return text, at - self.first[text], many, g.view(np.int64), whole.view(np.int64)
+
+
+def parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in parts of about PART_BYTES, each with the number of its first."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size > PART_BYTES:
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def marks(keyed: DataFrame, min_words: int) -> DataFrame:
+    """keyed (key, ord, text) -> (key, ord, a, n, g, h): all groups, their fingerprints and hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, order = (column(batch, c).to_numpy() for c in ("key", "ord"))
+            for at, texts in parts(column(batch, "text").to_pylist()):
+                text, a, n, g, h = Words(texts).hashed().groups(min_words)
+                row = text + at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[row]), pa.array(order[row]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g), pa.array(h)],
+                    ["key", "ord", "a", "n", "g", "h"],
+                )
+
+    texts = keyed.select("key", "ord", F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "key long, ord long, a int, n int, g long, h long")
+
+
+def windows(asked: DataFrame, min_words: int) -> DataFrame:
+    """asked (key, ord, text, groups array<struct<a, n, g>>) -> (key, ord, a, g, hs): the hashes of each window of the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, order = (column(batch, c).to_numpy() for c in ("key", "ord"))
+            groups = column(batch, "groups")
+            ends, flat = groups.offsets.to_numpy(), groups.values
+            a, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("a", "n"))
+            for at, texts in parts(column(batch, "text").to_pylist()):
+                words = Words(texts).hashed()
+                own = slice(ends[at], ends[at + len(texts)])
+                row = np.repeat(np.arange(len(texts)), np.diff(ends[at : at + len(texts) + 1]))
+                many = n[own]
+                head = np.cumsum(many) - many
+                place = np.repeat(a[own] + words.first[row] - head, many) + np.arange(many.sum())
+                h = pa.ListArray.from_arrays(pa.array(np.append(head, many.sum()).astype(np.int32)), pa.array(words.runs(place, min_words).view(np.int64)))
+                row = row + at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[row]), pa.array(order[row]), pa.array(a[own].astype(np.int32)), flat.field("g")[own.start : own.stop], h],
+                    ["key", "ord", "a", "g", "hs"],
+                )
+
+    return asked.select("key", "ord", F.col("text").cast("binary").alias("text"), "groups").mapInArrow(run, "key long, ord long, a int, g long, hs array<long>")
+
+
+def repeats(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """keyed (key, ord, text) -> (key, found array<struct<a, n>>): n windows from word a on that equal earlier ones."""
+    first = F.min(F.struct("ord", "key", "a"))
+    later = (F.col("key") != F.col("first.key")) | (F.col("a") - F.col("first.a") >= min_words)
+    by = Window.partitionBy("g")
+    hits = (
+        marks(keyed, min_words)
+        .withColumns({"many": F.count("*").over(by), "same": F.min("h").over(by) == F.max("h").over(by), "first": first.over(by)})
+        .where("many > 1").where(~F.col("same") | later).select("key", "a", "n", "g", "same")
+    )
+    hits = written(hits)
+    asked = written(hits.where("not same").groupBy("key").agg(F.collect_set(F.struct("a", "n", "g")).alias("groups")))
+    near = keyed.withColumn("slot", slot(F.col("key"))).join(slots(asked, "key"), "slot", "left_semi").drop("slot")
+    single = windows(near.join(asked, "key"), min_words).repartition("g")  # unfolded behind the shuffle
+    single = single.select("key", "ord", "a", "g", F.posexplode("hs").alias("nth", "h")).withColumn("a", F.col("a") + F.col("nth"))
+    single = single.withColumn("first", first.over(Window.partitionBy("g", "h"))).where(later).select("key", "a", F.lit(1).alias("n"))
+    found = hits.where("same").select("key", "a", "n").unionByName(single)
+    return written(found.groupBy("key").agg(F.collect_set(F.struct("a", "n")).alias("found")))
+
+
+def without(words: Words, text: int, found: list[dict], min_words: int) -> tuple[bytes, int, int]:
+    """The text less its repeated windows, how many runs that were and of how many words."""
+    start = words.start[words.first[text] : words.first[text + 1]]
+    begin, end = words.begin[text], words.begin[text] + words.size[text] - 1
+    change = np.zeros(len(start) + 1, np.int64)
+    a, n = (np.array([f[c] for f in found], np.int64) for c in ("a", "n"))
+    np.add.at(change, a, 1)
+    np.add.at(change, a + n + min_words - 1, -1)
+    edge = np.flatnonzero(np.diff(np.cumsum(change) > 0, prepend=False))
+    kept, at = [], begin
+    for low, high in zip(edge[::2], edge[1::2]):
+        kept.append(words.data[at : start[low] if low else begin].tobytes())
+        at = start[high] if high < len(start) else end
+    return b"".join([*kept, words.data[at:end].tobytes()]), len(edge) // 2, int((edge[1::2] - edge[::2]).sum())
+
+
+def cut(rows: DataFrame, min_words: int) -> DataFrame:
+    """rows (..., text, FOUND) -> (..., text, n_runs, n_removed_words)"""
+    own = [c for c in rows.columns if c not in ("text", FOUND)]
+    rows = rows.select(*own, F.col("text").cast("binary").alias("text"), FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = column(batch, "text").to_pylist(), column(batch, FOUND)
+            n_runs, n_words = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            found = found.take(pa.array(hit)).to_pylist()
+            for at, some in parts([texts[i] for i in hit]):
+                words = Words(some)
+                for j in range(len(some)):
+                    i = hit[at + j]
+                    texts[i], n_runs[i], n_words[i] = without(words, j, found[at + j], min_words)
+            columns = [*(column(batch, c) for c in own), pa.array(texts, pa.binary()), pa.array(n_runs), pa.array(n_words)]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "text", "n_runs", "n_removed_words"])
+
+    added = [StructField("text", BinaryType()), StructField("n_runs", IntegerType()), StructField("n_removed_words", IntegerType())]
+    done = rows.mapInArrow(run, StructType([*(rows.schema[c] for c in own), *added]))
+    return done.withColumn("text", F.col("text").cast("string"))
 
 
 def slots(keys: DataFrame, name: str) -> DataFrame:
@@ -180,52 +252,17 @@ def slot(key: Column) -> Column:
     return F.pmod(key, F.lit(SLOTS))
 
 
-def unrepeated(keyed: DataFrame) -> DataFrame:
-    """One row for each key; texts are shuffled for that only where a key is repeated."""
-    repeated = checkpoint(keyed.groupBy("key").count().where("count > 1").select("key"))
-    if repeated.isEmpty():
-        return keyed
-    once = keyed.join(repeated, "key", "left_semi").dropDuplicates(["key"])
-    return keyed.join(repeated, "key", "left_anti").unionByName(once)
-
-
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with ``text`` less its repeated passages, and ``n_chars``, ``n_runs``, ``n_removed_words``."""
     added = ("n_chars", "n_runs", "n_removed_words")
     own = [c for c in docs.columns if c not in added and c != "text"]
     key = F.xxhash64("doc_id", "text")
     keyed = docs.where("text is not null").select(key.alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text")
-    pairs = checkpoint(matches(keyed))
-    salt = F.pmod("later", F.lit(SALTS))  # a text that very many others repeat is looked at in parts
-    asked = pairs.groupBy("first", salt.alias("salt")).agg(F.collect_list(F.struct("later", "d", "low", "high")).alias("asked"))
-    near = keyed.withColumn("slot", slot(F.col("key"))).join(slots(pairs, "first"), "slot", "left_semi").drop("slot")
-    low = lambda p: F.greatest(p["low"] - REACH, F.lit(0))
-
-    def part(line: Column, p: Column) -> Column:
-        segs = F.transform(F.slice(line, low(p) + 1, p["high"] + 2 + REACH - low(p)), bare)
-        return F.struct(p["later"].alias("key"), F.struct(p["d"].alias("d"), low(p).alias("a"), segs.alias("segs")).alias("m"))
-
-    parts = let(lines(F.col("text")), lambda line: F.transform("asked", lambda p: part(line, p)))
-    firsts = asked.join(unrepeated(near).select(F.col("key").alias("first"), "text"), "first").select(F.explode(parts).alias("p"))
-    firsts = firsts.select("p.*").groupBy("key").agg(F.collect_list("m").alias("found"))
-    text = F.col("text")
-    found = let(
-        F.transform(lines(text), bare),
-        lambda line: F.array_distinct(F.flatten(F.transform(FOUND, lambda m: cuts(line, m, min_words)))),
-    )
+    found = repeats(keyed, min_words).withColumnsRenamed({"key": KEY, "found": FOUND})
     # only texts whose slot has a match are shuffled
-    rows = docs.withColumn(KEY, key).withColumn(SLOT, slot(F.col(KEY)))
-    later = slots(pairs, "later").withColumnRenamed("slot", SLOT)
+    rows = docs.select(*own, "text").withColumns({KEY: F.when(F.col("text").isNotNull(), key)}).withColumn(SLOT, slot(F.col(KEY)))
+    later = slots(found, KEY).withColumnRenamed("slot", SLOT)
     clear = rows.join(later, SLOT, "left_anti").select(*own, "text")
-    rows = rows.join(later, SLOT, "left_semi").join(firsts.withColumnsRenamed({"key": KEY, "found": FOUND}), KEY, "left")
-    rows = rows.select(*own, "text", F.when(F.col(FOUND).isNotNull() & text.isNotNull(), found).alias(CUTS))
-    hit = F.size(CUTS) > 0
-    done = rows.select(
-        *own,
-        F.when(hit, let(F.struct(text.alias("t"), F.col(CUTS).alias("c")), lambda e: without(e["t"], e["c"]))).otherwise(text).alias("text"),
-        F.when(hit, F.size(CUTS)).otherwise(0).alias("n_runs"),
-        F.when(hit, n_tokens(text)).otherwise(0).alias(BEFORE),
-    )
-    removed = F.when(F.col("n_runs") > 0, F.col(BEFORE) - n_tokens(text)).otherwise(0)
-    done = done.unionByName(clear.withColumns({"n_runs": F.lit(0), BEFORE: F.lit(0)}))
-    return done.withColumn("n_chars", F.length("text")).withColumn("n_removed_words", removed).drop(BEFORE)
+    hit = cut(rows.join(later, SLOT, "left_semi").join(found, KEY, "left").select(*own, "text", FOUND), min_words)
+    done = hit.unionByName(clear.withColumns({"n_runs": F.lit(0), "n_removed_words": F.lit(0)}))
+    return done.withColumn("n_chars", F.length("text"))
