@@ -296,6 +296,20 @@ def test_line_dedup_against_all_windows(spark, docs):
         assert got[doc]["n_runs"] == sum(i - 1 not in cut[doc] for i in cut[doc])
 
 
+def test_line_dedup_gathers_by_document_only(spark, monkeypatch):
+    """No row holds what many documents share with a first one: lists are of one document's own places."""
+    plans = []
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.createDataFrame([(i, text) for i in range(200)] + [(900, "own words " + text[:600])], "doc_id long, text string")
+    done = line_dedup.dedup(rows)
+    plans.append(done._jdf.queryExecution().optimizedPlan().toString())
+    lists = [re.search(r"Aggregate \[([^\]]*)\]", line).group(1) for p in plans for line in p.splitlines() if "collect_" in line]
+    assert lists and all(re.fullmatch(r"key#\d+L?", keys) for keys in lists)
+    assert {r["doc_id"]: r["text"] for r in done.collect()} == {0: text, **{i: "" for i in range(1, 200)}, 900: "own words "}
+
+
 def test_line_cut_without_regular_expressions(spark):
     rows = spark.createDataFrame([("a. b, c; d! e? f: g\nh.\ni",), ("",), (". ",), ("x\x01y. z",)], "t string").coalesce(1)
     for text, got in rows.select("t", line_dedup.lines(F.col("t"))).collect():
