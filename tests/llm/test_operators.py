@@ -78,6 +78,16 @@ def test_toxicity_learns_held_out_documents(spark, sf):
     assert (score[bad][:, None] > score[~bad][None, :]).mean() > 0.95
 
 
+def test_toxicity_sample_does_not_follow_the_file(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 4000)
+    rows = [(0, "x" * 5000, 0), *((i, f"plain {i} " + "word " * 20, 0) for i in range(1, 100)), *((i, f"bad {i} " + "word " * 20, 1) for i in range(100, 200))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
+    texts, toxic = toxicity.training_rows(d, d.select("doc_id", "toxic"))
+    assert 10 < toxic.sum() < 20 and 20 < (~toxic).sum() < 30 and sum(map(len, texts)) <= 4000
+    again = toxicity.training_rows(d.orderBy(F.desc("doc_id")).coalesce(1), d.select("doc_id", "toxic"))
+    assert again[0] == texts
+
+
 def test_gradients_match_differences():
     g = np.random.default_rng(1)
     net = toxicity.Network()

@@ -7,7 +7,8 @@ attention pools their states into one logit. A document's score is that of its w
 all windows are scored, STEP words apart, so neighbours overlap.
 
 Training takes at most MAX_TOXIC toxic and MAX_OTHER other labelled documents, and at most
-MAX_CHARS characters of them (the only bounds; all else covers all data). Documents have one
+MAX_CHARS bytes of them (the only bounds; all else covers all data), shared out to the labels
+in this proportion and filled in hash order; a text too long for the rest is passed over. Documents have one
 label and toxicity is local, so the window that stands for a document is chosen anew in each
 round: first by the log-odds, then by the network itself (multiple-instance learning). The
 log-odds used in training come from the half of the sample that does not hold the document.
@@ -335,14 +336,17 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.n
     sample = parts[0].union(parts[1])  # MAX_TOXIC + MAX_OTHER rows at most
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("length(text) > 0")
-        .select(F.col("text").cast("binary").alias("text"), "toxic", drawn.alias("drawn"))
+        .select("text", "toxic", drawn.alias("drawn"), F.xxhash64("doc_id", "text").alias("key"))
     )
-    found, chars = [], 0
-    for row in rows.toLocalIterator():
-        found.append((row["drawn"], row["toxic"], bytes(row["text"])))
-        chars += len(row["text"])
-        if chars > MAX_CHARS:
-            break
+    left, chosen = {1: MAX_CHARS * MAX_TOXIC // (MAX_TOXIC + MAX_OTHER), 0: MAX_CHARS * MAX_OTHER // (MAX_TOXIC + MAX_OTHER)}, []
+    for size in sorted(rows.select("drawn", "key", "toxic", F.octet_length("text").alias("n")).distinct().collect()):
+        if size["n"] <= left[size["toxic"]]:
+            left[size["toxic"]] -= size["n"]
+            chosen.append((size["key"],))
+    if not chosen:
+        return [], np.zeros(0, bool)
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "key long")), "key").dropDuplicates(["key"])
+    found = [(row["drawn"], row["toxic"], bytes(row["text"])) for row in rows.withColumn("text", F.col("text").cast("binary")).collect()]
     found.sort()
     return [t for _, _, t in found], np.array([y == 1 for _, y, _ in found], bool)
 
