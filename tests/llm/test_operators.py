@@ -320,11 +320,10 @@ def test_line_dedup_gathers_by_document_only(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in done.collect()} == {0: text, **{i: "" for i in range(1, 200)}, 900: "own words "}
 
 
-def test_line_cut_without_regular_expressions(spark):
-    rows = spark.createDataFrame([("a. b, c; d! e? f: g\nh.\ni",), ("",), (". ",), ("x\x01y. z",)], "t string").coalesce(1)
-    for text, got in rows.select("t", line_dedup.lines(F.col("t"))).collect():
-        assert "".join(got) == text
-        assert [x for x in got if x] == [x for x in re.split(line_dedup.LINE_CUT, text) if x]
+def test_pieces_join_to_the_text(spark):
+    rows = spark.createDataFrame([("a. b,  c\nd \n e",), ("",), (" ",), ("x\x01y. z ",)], "t string").coalesce(1)
+    for text, got in rows.select("t", line_dedup.pieces(F.col("t"))).collect():
+        assert got == re.split("(?<=[ \n])", text)
 
 
 def test_suffix_array_and_index():

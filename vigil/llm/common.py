@@ -12,27 +12,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names.
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the whole cluster can write to, as the session or its context names it.
 
-    A local folder is taken only if the session names none, as in tests.
+    Only a session in local mode that names none, as in tests, gets a temporary one; on a
+    cluster that would be a different disk for each machine, so there it is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="vigil-checkpoint-"))
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if top:
+        return top
+    sc = spark.sparkContext
+    set_before = sc._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="vigil-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_top(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the whole cluster can write; a local one only if the session names none, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vigil-")
-    return f"{top}/{uuid.uuid4().hex}"
+    """A new folder where the whole cluster can write."""
+    return f"{shared_top(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: smaller than a checkpoint where columns repeat."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -1,246 +1,172 @@
-"""Removal of repeated passages by winnowing over hashes of short word runs, in numpy, and joins.
-
-Words are what blanks and line ends part. Of every ``min_words`` neighbouring words the least
-hash of the runs of half as many words is kept as their fingerprint (the leftmost of equals),
-so any two equal windows of ``min_words`` words have the same one: none is missed, whatever
-lines or punctuation they hold. The windows that share a place's fingerprint are one group.
-
-Fingerprints found once are left. Where all groups of a fingerprint are equal in full, the
-group is compared as a whole; where they differ (the ends of a repeat, or chance), each of
-their windows is compared by itself. A window that equals an earlier one (by doc_id, then
-place) is deleted; windows that overlap make one run, so every run of ``min_words`` words or
-more that repeats is cut to its full length. The first one stays, also within a document: a
-window that overlaps its own first place is no repeat. Equality is that of 64-bit hashes.
+"""Removal of repeated passages by winnowing over hashes of words, in DataFrame operations only.
+
+Words are what blanks and line ends part. Of every half window of words (``min_words`` // 2 + 1
+neighbours) the word with the least hash is kept (the leftmost of equals), and the run of
+``min_words`` // 2 words that starts there is hashed as a fingerprint. Any two equal windows of
+``min_words`` words hold the same fingerprint at the same place: none is missed, whatever
+lines or punctuation they hold.
+
+Fingerprints found once are left. A place of a repeated one is extended both ways: its context
+of all words that a window over it can reach is hashed too. Where the context equals an
+earlier place's, all its windows are repeats. The places that remain (the first with their
+context, so one for each different context) are compared window by window, if another one also
+holds the dozen words before or behind that such windows need. A window that equals
+an earlier one (by doc_id, then place) is deleted; windows that overlap make one run, so every
+run of ``min_words`` words or more that repeats is cut to its full length. The first one stays,
+also within a document: a window that overlaps its own first place is no repeat. Equality is
+that of 64-bit hashes.
 
 Copies of a passage are each matched with the first, not with one another, so the work is
-linear in their number. What is gathered into one row are places of one document, never
-texts; the rows of a fingerprint that very many documents share are small and pass a task as
-a stream that spills. Texts without a match are not shuffled, as far as the slots of their
-keys tell (a broadcast of SLOTS rows at most; a full one costs a shuffle, not a result).
+linear in their number. Counts and first places are aggregated before the shuffle, and what
+they are joined with has a plain exchange on either side, so a fingerprint that very many
+documents share is split. What is gathered into one row are places of one document, never
+texts. Texts without a match are not shuffled, as far as the slots of their keys tell (a
+broadcast of SLOTS rows at most; a full one costs a shuffle, not a result).
 
 Nulls: a null text stays null. A document that is all repeats keeps its row, with an empty
 text. Rows that repeat both doc_id and text are one document: each keeps the same text. A
-null doc_id comes last in order. An empty table gives an empty result. All other columns
-pass through; columns whose names clash with the added ones are replaced.
+null doc_id comes last in order. An empty table gives an empty result. A very long text is
+one row like any other; its arrays are as long as its words. All other columns pass through;
+the columns that are added (``ADDED``) replace those of the same name, and no other name clashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .common import written
 
 MIN_WORDS = 50
 SLOTS = 1 << 18
-PART_BYTES = 1 << 21  # texts hashed at a time
-LINE_CUT = r"(?<=[.!?,;:] )|(?<=\n)"
-ENDS, MARK = (". ", "! ", "? ", ", ", "; ", ": ", "\n"), "\x01"
+ADDED = ("n_chars", "n_runs", "n_removed_words")
+MARK = "\x01"
 
 #: Working columns, named so that they meet no column of the input.
-KEY, SLOT, FOUND = "__key", "__slot", "__found"
-
-_G = np.random.default_rng(17)
-_BYTE = _G.integers(1, 1 << 63, 256, dtype=np.uint64)
-_PLACE = _G.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 1 << 64)
-
-
-def lines(text: Column) -> Column:
-    """The text's sentences and clauses, each with what ends it (a view of the text; repeats do not depend on it)."""
-    marked = reduce(lambda t, end: F.replace(t, F.lit(end), F.lit(end + MARK)), ENDS, text)
-    return F.when(text.contains(MARK), F.split(text, LINE_CUT, -1)).otherwise(F.split(marked, MARK, -1))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class Words:
-    """The words of several texts: their places in the joined bytes, and hashes of their runs."""
-
-    def __init__(self, texts: list[bytes]):
-        self.size = np.array([len(t) + 1 for t in texts], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        blank = (self.data == 32) | (self.data == 10)
-        edge = np.flatnonzero(np.diff(blank, prepend=True))
-        self.start, self.stop = edge[::2], edge[1::2]
-        self.first = np.searchsorted(self.start, np.append(self.begin, len(self.data)))  # of each text, and the end
-
-    def hashed(self) -> Words:
-        codes = np.empty(len(self.start), np.uint64)
-        for at in range(0, len(codes), 1 << 15):
-            start, stop = self.start[at : at + (1 << 15)], self.stop[at : at + (1 << 15)]
-            own = self.data[start[0] : stop[-1]]
-            nth = np.arange(start[0], stop[-1]) - np.repeat(start, np.diff(start, append=stop[-1]))
-            live = nth < np.repeat(stop - start, np.diff(start, append=stop[-1]))
-            codes[at : at + len(start)] = np.add.reduceat(_BYTE[own] * _PLACE[nth & 4095] * live, start - start[0])
-        self.back = np.cumprod(np.full(len(codes) + 1, _BACK, np.uint64)) * np.uint64(_STEP)
-        power = np.cumprod(np.full(len(codes), _STEP, np.uint64)) * np.uint64(_BACK)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes + (self.stop - self.start).astype(np.uint64)) * power)])
-        return self
-
-    def runs(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        """Hashes of the runs of n words from each place on."""
-        return mixed((self.sums[at + n] - self.sums[at]) * self.back[at] + np.asarray(n).astype(np.uint64))
-
-    def groups(self, min_words: int) -> tuple[np.ndarray, ...]:
-        """text, first window, number of windows, fingerprint, hash of the whole: of each group of windows."""
-        k = max(min_words // 2, 1)
-        reach = min_words - k + 1
-        n = len(self.start) - min_words + 1
-        if n <= 0:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none, none
-        short = self.runs(np.arange(len(self.start) - k + 1), k)
-        least, have = (short & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(short), dtype=np.uint64), 1
-        while have < reach:
-            step = min(have, reach - have)
-            least, have = np.minimum(least[:-step], least[step:]), have + step
-        picked = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        text = np.repeat(np.arange(len(self.size)), np.diff(self.first))
-        window = np.flatnonzero(text[:n] == text[min_words - 1 :])
-        picked, text = picked[window], text[window]
-        head = np.flatnonzero(np.append(True, (np.diff(picked) != 0) | (np.diff(text) != 0))[: len(window)])
-        at, many = window[head], np.diff(np.append(head, len(window)))
-        g, whole, text = short[picked[head]], self.runs(at, many + (min_words - 1)), text[head]
-        # of equal groups in a row (one word over and over) those are kept that cover the same words
-        new = np.append(True, (np.diff(text) != 0) | (np.diff(g) != 0) | (np.diff(whole) != 0))[: len(text)]
-        nth = np.arange(len(text)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        clear = nth - -(-min_words // many)  # -1 and 0: the first that lie clear of the group before, or of the first one
-        kept = (nth % (min_words // many) == 0) | (clear == -1) | (clear == 0) | np.append(new[1:], True)[: len(text)]
-        g, whole, text, at, many = (x[kept] for x in (g, whole, text, at, many))
-        return text, at - self.first[text], many, g.view(np.int64), whole.view(np.int64)
-
-
-def parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts in parts of about PART_BYTES, each with the number of its first."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size > PART_BYTES:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
-
-
-def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+KEY, SLOT, RUNS = "__key", "__slot", "__runs"
+
+
+def hashes(text: Column) -> Column:
+    """Of the text's words, in order."""
+    words = F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1), "")
+    return F.transform(words, lambda word: F.xxhash64(word))
+
+
+def pieces(text: Column) -> Column:
+    """The text cut behind each blank and line end; the pieces joined are the text."""
+    marked = F.replace(F.replace(text, F.lit(" "), F.lit(" " + MARK)), F.lit("\n"), F.lit("\n" + MARK))
+    return F.when(text.contains(MARK), F.split(text, "(?<=[ \n])", -1)).otherwise(F.split(marked, MARK, -1))
+
+
+def part(array: Column | str, start: Column, n: Column | int) -> Column:
+    return F.slice(array, start + 1, F.lit(n) if isinstance(n, int) else n)
 
 
 def marks(keyed: DataFrame, min_words: int) -> DataFrame:
-    """keyed (key, ord, text) -> (key, ord, a, n, g, h): all groups, their fingerprints and hashes."""
+    """keyed (key, ord, text) -> (key, ord, p, a, n, g, h): each fingerprint g and its place p, the n windows from a on that hold it, and the hash h of their words."""
+    half = min_words // 2
+    cells = min_words - half + 1
+    rows = keyed.select("key", "ord", hashes(F.col("text")).alias("t"))
+    last = F.size("t") - min_words
+    # the outer explode has no filter inferred, which would be pushed down into the arrays
+    rows = rows.select("key", "ord", "t", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
+    # a window's choice differs from that of the window before it if the word that left was that one's, or the word that entered is its own
+    left, entered = F.get("t", F.col("i") - 1), F.get("t", F.col("i") + (cells - 1))
+    rest = F.array_min(part("t", F.col("i"), cells - 1)) if cells > 1 else F.lit(None).cast("long")
+    chosen = rows.where((F.col("i") == 0) | (left <= rest) | (entered < rest))
+    p = (F.col("i") + F.array_position(part("t", F.col("i"), cells), F.least(rest, entered)) - 1).cast("int")
+    placed = chosen.select("key", "ord", "t", p.alias("p"))
+    a = F.greatest(F.col("p") - (min_words - half), F.lit(0))
+    placed = placed.select("*", a.alias("a"), (F.least("p", F.size("t") - min_words) - a + 1).alias("n"))
+    # of the windows, those that begin half of the reach or more before p all hold the words before it, the others those behind it
+    reach = reach_before(min_words)
+    return placed.select(
+        "key", "ord", "p", "a", "n",
+        F.xxhash64(part("t", F.col("p"), half)).alias("g"),
+        F.xxhash64(part("t", F.col("a"), F.col("n") + (min_words - 1)), F.col("p") - F.col("a")).alias("h"),
+        F.when(F.col("p") - F.col("a") >= reach, F.xxhash64(part("t", F.col("p") - reach, half + reach))).alias("before"),
+        F.when(F.col("p") - F.col("a") - F.col("n") < reach - 1, F.xxhash64(part("t", F.col("p"), min_words - reach + 1))).alias("behind"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, order = (column(batch, c).to_numpy() for c in ("key", "ord"))
-            for at, texts in parts(column(batch, "text").to_pylist()):
-                text, a, n, g, h = Words(texts).hashed().groups(min_words)
-                row = text + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row]), pa.array(order[row]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g), pa.array(h)],
-                    ["key", "ord", "a", "n", "g", "h"],
-                )
 
-    texts = keyed.select("key", "ord", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "key long, ord long, a int, n int, g long, h long")
+def reach_before(min_words: int) -> int:
+    return max((min_words - min_words // 2 + 1) // 2, 1)
+
+
+def halves(places: DataFrame, min_words: int) -> DataFrame:
+    """places (key, p, a, n, before, behind) -> (key, a, n): their windows that another place can hold, told by the words that half of them share."""
+    last, middle = F.col("a") + F.col("n") - 1, F.col("p") - reach_before(min_words)
+    first_half = F.struct(F.col("before").alias("s"), F.col("a"), (F.least(last, middle) - F.col("a") + 1).alias("n"))
+    second_half = F.struct(F.col("behind").alias("s"), F.greatest("a", middle + 1).alias("a"), (last - F.greatest("a", middle + 1) + 1).alias("n"))
+    each = written(places.select("key", F.explode(F.array(first_half, second_half)).alias("half")).select("key", "half.*").where("n > 0"))
+    return each.join(written(each.groupBy("s").agg(F.count("*").alias("many")).where("many > 1").select("s")), "s").drop("s")
+
+
+def firsts(places: DataFrame, *by: str) -> DataFrame:
+    """The first place of each group of more than one: (by..., first)."""
+    found = places.groupBy(*by).agg(F.min(F.struct("ord", "key", "p")).alias("first"), F.count("*").alias("many"))
+    return written(found.where("many > 1").drop("many"))
+
+
+def later(min_words: int) -> Column:
+    """Not the first place itself, nor one that overlaps it."""
+    return (F.col("key") != F.col("first.key")) | (F.col("p") - F.col("first.p") >= min_words)
 
 
 def windows(asked: DataFrame, min_words: int) -> DataFrame:
-    """asked (key, ord, text, groups array<struct<a, n, g>>) -> (key, ord, a, g, hs): the hashes of each window of the groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, order = (column(batch, c).to_numpy() for c in ("key", "ord"))
-            groups = column(batch, "groups")
-            ends, flat = groups.offsets.to_numpy(), groups.values
-            a, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("a", "n"))
-            for at, texts in parts(column(batch, "text").to_pylist()):
-                words = Words(texts).hashed()
-                own = slice(ends[at], ends[at + len(texts)])
-                row = np.repeat(np.arange(len(texts)), np.diff(ends[at : at + len(texts) + 1]))
-                many = n[own]
-                head = np.cumsum(many) - many
-                place = np.repeat(a[own] + words.first[row] - head, many) + np.arange(many.sum())
-                h = pa.ListArray.from_arrays(pa.array(np.append(head, many.sum()).astype(np.int32)), pa.array(words.runs(place, min_words).view(np.int64)))
-                row = row + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row]), pa.array(order[row]), pa.array(a[own].astype(np.int32)), flat.field("g")[own.start : own.stop], h],
-                    ["key", "ord", "a", "g", "hs"],
-                )
-
-    return asked.select("key", "ord", F.col("text").cast("binary").alias("text"), "groups").mapInArrow(run, "key long, ord long, a int, g long, hs array<long>")
+    """asked (key, ord, text, groups array<struct<a, n>>) -> (key, ord, p, w): place and hash of each window of the groups."""
+    rows = asked.select("key", "ord", hashes(F.col("text")).alias("t"), "groups").select("key", "ord", "t", F.explode_outer("groups").alias("at"))
+    rows = rows.select("key", "ord", "t", F.explode_outer(F.sequence(F.col("at.a"), F.col("at.a") + F.col("at.n") - 1)).alias("p"))
+    return rows.select("key", "ord", "p", F.xxhash64(part("t", F.col("p"), min_words)).alias("w"))
+
+
+def runs(found: DataFrame, min_words: int) -> DataFrame:
+    """found (key, a, n), n windows from word a on -> (key, runs array<struct<low, high>>): their union, in order."""
+    by = Window.partitionBy("key").orderBy("low", "high")
+    before = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = found.select("key", F.col("a").alias("low"), (F.col("a") + F.col("n") + (min_words - 1)).alias("high"))
+    spans = spans.withColumn("opens", F.coalesce(F.col("low") > before, F.lit(True)).cast("int"))
+    spans = spans.withColumn("run", F.sum("opens").over(by)).groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
 
 
 def repeats(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """keyed (key, ord, text) -> (key, found array<struct<a, n>>): n windows from word a on that equal earlier ones."""
-    first = F.min(F.struct("ord", "key", "a"))
-    later = (F.col("key") != F.col("first.key")) | (F.col("a") - F.col("first.a") >= min_words)
-    by = Window.partitionBy("g")
-    hits = (
-        marks(keyed, min_words)
-        .withColumns({"many": F.count("*").over(by), "same": F.min("h").over(by) == F.max("h").over(by), "first": first.over(by)})
-        .where("many > 1").where(~F.col("same") | later).select("key", "a", "n", "g", "same")
-    )
-    hits = written(hits)
-    asked = written(hits.where("not same").groupBy("key").agg(F.collect_set(F.struct("a", "n", "g")).alias("groups")))
+    """keyed (key, ord, text) -> (key, runs array<struct<low, high>>): the words that equal earlier ones."""
+    placed = written(marks(keyed, min_words))
+    shared = placed.groupBy("g").agg(F.count("*").alias("many"), (F.min("h") == F.max("h")).alias("same")).where("many > 1")
+    hits = written(placed.join(written(shared.drop("many")), "g"))
+    whole = hits.join(firsts(hits, "g", "h"), ["g", "h"], "left")
+    whole = written(whole.withColumn("later", F.coalesce(later(min_words), F.lit(False))).where("later or not same"))
+    asked = written(halves(whole.where("not later"), min_words).groupBy("key").agg(F.collect_set(F.struct("a", "n")).alias("groups")))
     near = keyed.withColumn("slot", slot(F.col("key"))).join(slots(asked, "key"), "slot", "left_semi").drop("slot")
-    single = windows(near.join(asked, "key"), min_words).repartition("g")  # unfolded behind the shuffle
-    single = single.select("key", "ord", "a", "g", F.posexplode("hs").alias("nth", "h")).withColumn("a", F.col("a") + F.col("nth"))
-    single = single.withColumn("first", first.over(Window.partitionBy("g", "h"))).where(later).select("key", "a", F.lit(1).alias("n"))
-    found = hits.where("same").select("key", "a", "n").unionByName(single)
-    return written(found.groupBy("key").agg(F.collect_set(F.struct("a", "n")).alias("found")))
-
-
-def without(words: Words, text: int, found: list[dict], min_words: int) -> tuple[bytes, int, int]:
-    """The text less its repeated windows, how many runs that were and of how many words."""
-    start = words.start[words.first[text] : words.first[text + 1]]
-    begin, end = words.begin[text], words.begin[text] + words.size[text] - 1
-    change = np.zeros(len(start) + 1, np.int64)
-    a, n = (np.array([f[c] for f in found], np.int64) for c in ("a", "n"))
-    np.add.at(change, a, 1)
-    np.add.at(change, a + n + min_words - 1, -1)
-    edge = np.flatnonzero(np.diff(np.cumsum(change) > 0, prepend=False))
-    kept, at = [], begin
-    for low, high in zip(edge[::2], edge[1::2]):
-        kept.append(words.data[at : start[low] if low else begin].tobytes())
-        at = start[high] if high < len(start) else end
-    return b"".join([*kept, words.data[at:end].tobytes()]), len(edge) // 2, int((edge[1::2] - edge[::2]).sum())
-
-
-def cut(rows: DataFrame, min_words: int) -> DataFrame:
-    """rows (..., text, FOUND) -> (..., text, n_runs, n_removed_words)"""
-    own = [c for c in rows.columns if c not in ("text", FOUND)]
-    rows = rows.select(*own, F.col("text").cast("binary").alias("text"), FOUND)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = column(batch, "text").to_pylist(), column(batch, FOUND)
-            n_runs, n_words = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            found = found.take(pa.array(hit)).to_pylist()
-            for at, some in parts([texts[i] for i in hit]):
-                words = Words(some)
-                for j in range(len(some)):
-                    i = hit[at + j]
-                    texts[i], n_runs[i], n_words[i] = without(words, j, found[at + j], min_words)
-            columns = [*(column(batch, c) for c in own), pa.array(texts, pa.binary()), pa.array(n_runs), pa.array(n_words)]
-            yield pa.RecordBatch.from_arrays(columns, [*own, "text", "n_runs", "n_removed_words"])
-
-    added = [StructField("text", BinaryType()), StructField("n_runs", IntegerType()), StructField("n_removed_words", IntegerType())]
-    done = rows.mapInArrow(run, StructType([*(rows.schema[c] for c in own), *added]))
-    return done.withColumn("text", F.col("text").cast("string"))
+    single = written(windows(near.join(asked, "key"), min_words))
+    single = single.join(firsts(single, "w"), "w").where(later(min_words)).select("key", F.col("p").alias("a"), F.lit(1).alias("n"))
+    return written(runs(whole.where("later").select("key", "a", "n").unionByName(single), min_words))
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows (..., text, RUNS) -> (..., text, n_runs, n_removed_words): the text less its runs of words."""
+    own = [c for c in rows.columns if c not in ("text", RUNS)]
+    split, at, kept, spans = "__pieces", "__at", "__kept", F.col(RUNS)
+    rows = rows.withColumn(split, pieces(F.col("text")))
+    # the piece of each word: two blanks in a row leave pieces without one
+    rows = rows.withColumn(at, F.filter(F.transform(split, lambda x, i: F.when(~x.isin("", " ", "\n"), i)), lambda i: i.isNotNull()))
+    begin = lambda r: F.when(r["low"] == 0, 0).otherwise(F.get(at, r["low"]))
+    end = lambda r: F.coalesce(F.get(at, r["high"]), F.size(split))
+    rows = rows.withColumn(RUNS, F.transform(spans, lambda r: F.struct((r["high"] - r["low"]).alias("n"), begin(r).alias("low"), end(r).alias("high"))))
+    flags = F.transform(
+        spans,
+        lambda r, i: F.concat(
+            F.array_repeat(F.lit(True), r["low"] - F.coalesce(F.get(spans, i - 1)["high"], F.lit(0))), F.array_repeat(F.lit(False), r["high"] - r["low"])
+        ),
+    )
+    rows = rows.withColumn(kept, F.flatten(flags)).withColumn(kept, F.coalesce(kept, F.array().cast("array<boolean>")))
+    text = F.array_join(F.zip_with(split, kept, lambda x, k: F.when(F.coalesce(k, F.lit(True)), x)), "")
+    removed = F.aggregate(spans, F.lit(0), lambda n, r: n + r["n"])
+    return rows.select(
+        *own, F.when(spans.isNull(), F.col("text")).otherwise(text).alias("text"),
+        F.coalesce(F.size(spans), F.lit(0)).alias("n_runs"), F.coalesce(removed, F.lit(0)).alias("n_removed_words"),
+    )
 
 
 def slots(keys: DataFrame, name: str) -> DataFrame:
@@ -254,15 +180,14 @@ def slot(key: Column) -> Column:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with ``text`` less its repeated passages, and ``n_chars``, ``n_runs``, ``n_removed_words``."""
-    added = ("n_chars", "n_runs", "n_removed_words")
-    own = [c for c in docs.columns if c not in added and c != "text"]
+    own = [c for c in docs.columns if c not in ADDED and c != "text"]
     key = F.xxhash64("doc_id", "text")
     keyed = docs.where("text is not null").select(key.alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text")
-    found = repeats(keyed, min_words).withColumnsRenamed({"key": KEY, "found": FOUND})
+    found = repeats(keyed, min_words).withColumnsRenamed({"key": KEY, "runs": RUNS})
     # only texts whose slot has a match are shuffled
     rows = docs.select(*own, "text").withColumns({KEY: F.when(F.col("text").isNotNull(), key)}).withColumn(SLOT, slot(F.col(KEY)))
-    later = slots(found, KEY).withColumnRenamed("slot", SLOT)
-    clear = rows.join(later, SLOT, "left_anti").select(*own, "text")
-    hit = cut(rows.join(later, SLOT, "left_semi").join(found, KEY, "left").select(*own, "text", FOUND), min_words)
+    full = slots(found, KEY).withColumnRenamed("slot", SLOT)
+    clear = rows.join(full, SLOT, "left_anti").select(*own, "text")
+    hit = cut(rows.join(full, SLOT, "left_semi").join(found, KEY, "left").select(*own, "text", RUNS))
     done = hit.unionByName(clear.withColumns({"n_runs": F.lit(0), "n_removed_words": F.lit(0)}))
     return done.withColumn("n_chars", F.length("text"))
