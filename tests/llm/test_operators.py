@@ -426,11 +426,10 @@ def test_best_cuts_are_optimal():
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
-    extra = spark.createDataFrame([(9000, None), (9001, "<|endoftext|> tab\there  two"), (9002, "a" * 9000), (9003, "日本語 ñ \U0001f600 x" * 50)], "doc_id long, text string")
+    extra = spark.createDataFrame([(9000, None), (9001, "<|endoftext|> tab\there  two"), (9002, "a" * 9000), (9003, "日本語 ñ \U0001f600 x" * 50), (9004, "a  b \n\n c   \n1,2 ..  it's  "), (9005, "one \n"), (9006, "x<|endoftext|>y")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").union(extra)
     pieces = packing.pack(rows, with_ids=True).collect()
     plain = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
-    plain.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for p in pieces:
         assert zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"] and len(p["ids"]) == p["length"] > 0

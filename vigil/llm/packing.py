@@ -13,12 +13,15 @@ Each Spark partition is packed on its own, in runs of ``run_tokens`` tokens at m
 bounds memory and costs one partly filled window for each run. Nothing is shuffled.
 
 Nulls: a null text is an empty one; an empty document is its end mark alone. Repeated rows
-are separate documents. An empty table gives an empty result.
+are separate documents. An empty table gives an empty result. Only doc_id and text are read,
+so extra columns take no part and cannot clash. A very long text is cut like any other; what
+is held at once is one text and a run of ``run_tokens``.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -36,6 +39,7 @@ END_MARK = np.zeros(1, np.uint32)
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 _UNUSUAL = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f]")
+_BLANKS = re.compile(r"\s\s")
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,33 +49,46 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """Token ids of texts, and which tokens may be followed by a cut.
+    """Token ids of texts as the vocabulary file gives them, and which tokens may be followed by a cut.
 
-    Plain texts (printable Latin letters, blanks and line ends) are encoded from the same
-    vocabulary's ranks, which gives the same ids several times faster; all others by the
-    vocabulary file itself.
+    Plain texts (printable Latin letters, blanks and line ends, none of the file's added
+    tokens) are encoded from the same vocabulary's ranks, which gives the same ids several
+    times faster. Where no two blanks meet, the word pattern's look-ahead decides nothing and
+    is left out, for a third of the time. All other texts go to the vocabulary file, which is
+    loaded when the first of them comes.
     """
 
     def __init__(self, path: str, ranks: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.made = path, {}
         with open(ranks, "rb") as file:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        size = max(table.values()) + 2
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        with open(path, "rb") as file:
+            added = json.load(file).get("added_tokens") or []
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        size = max([*self.ranks.values(), *(t["id"] for t in added)]) + 1
         self.stops, self.opens, self.line = (np.zeros(size, bool) for _ in range(3))
-        for token, i in table.items():
+        for token, i in self.ranks.items():
             self.stops[i], self.opens[i], self.line[i] = token[-1:] in b".!?", token[:1].isspace(), token == b"\n"
 
+    def by(self, kind: str):
+        if kind not in self.made:
+            if kind == "file":
+                from tokenizers import Tokenizer
+
+                self.made[kind] = Tokenizer.from_file(self.path)
+            else:
+                import tiktoken
+                from public_tokenizers import PATTERN
+
+                pattern = PATTERN if kind == "blanks" else PATTERN.replace(r"\s+(?!\S)|", "")
+                self.made[kind] = tiktoken.Encoding(kind, pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return self.made[kind]
+
     def __call__(self, text: str) -> np.ndarray:
-        if _UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.plain.encode_to_numpy(text)
+        if _UNUSUAL.search(text) or self.added.search(text):
+            return np.array(self.by("file").encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.by("blanks" if _BLANKS.search(text) else "plain").encode_to_numpy(text)
 
     def cuts(self, ids: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         """Token offsets at which sentences end, and one word start in each ``step`` tokens."""
