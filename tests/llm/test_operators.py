@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +127,72 @@ def test_html():
     assert html_extract.main_text("<div><div class=sidebar><ul><li><a>x</a></ul></div><div class=content><p>a, b, c, d</p><p>e</p></div></div>") == "a, b, c, d\ne"
 
 
+def test_html_broken_pages_take_linear_time():
+    for piece in ("<a", '<a "', "<!--", "</", "<a ='", "<button>", '<a b="', "<div>x"):
+        page = piece * (1_000_000 // len(piece))
+        start = time.process_time()
+        html_extract.main_text(page)
+        html_extract.main_text(page + ">")
+        assert time.process_time() - start < 8, piece
+
+
+def test_html_keeps_what_the_article_holds():
+    get = html_extract.main_text
+    for tag in ("button", "svg", "select", "video", "object", "math"):
+        assert get(f"<article><p>one<{tag}>b<p>two</article>").endswith("\ntwo"), tag
+        assert get(f"<article><p>one</p><{tag}/></{tag}><p>two</article>") == "one\ntwo"
+    assert get("<article><p>one<button>b</button> more<p>two</article>") == "one more\ntwo"
+    assert get("<article><p id='related-work'>Related work in science.<p class='popup-note'>A note.</article>") == "Related work in science.\nA note."
+    assert get("<article><p>One, two.</p><div class=related><a href=x>Read this</a></div><div class=newsletter>Sign up</div></article>") == "One, two."
+    assert get("<div><div class=content><p>Long, text.<p>And, more.</div><div class=share-story>Share</div></div>") == "Long, text.\nAnd, more."
+    assert get("<p>a < b</p><p>tail <b") == "a < b\ntail <b"
+
+
+def plain_scores(page):
+    """By brute force: each div's score, by walking up from every paragraph of a page of div and p elements."""
+    divs, stack, text = [], [], {}
+    for end, tag, body in re.findall(r"<(/?)(div|p)>([^<]*)", page):
+        if tag == "div":
+            if end:
+                stack.pop()
+            else:
+                divs.append({"up": stack[-1] if stack else None, "score": 0.0})
+                stack.append(len(divs) - 1)
+        elif not end:
+            text.setdefault(stack[-1], []).append(body)
+            at, share = stack[-1], 1 + body.count(",") + min(len(body) / 100, 3)
+            while at is not None:
+                divs[at]["score"] += share
+                at, share = divs[at]["up"], share * html_extract.PASSED_ON
+    best = max(range(len(divs)), key=lambda k: divs[k]["score"])
+    kept = {best} | {k for k, d in enumerate(divs) if d["up"] is not None and d["up"] == divs[best]["up"] and d["score"] >= 0.2 * divs[best]["score"]}
+    for k, d in enumerate(divs):  # parents come first
+        if d["up"] in kept:
+            kept.add(k)
+    return sorted(x for k in kept for x in text.get(k, []))
+
+
+def test_html_against_a_plain_tree_scorer():
+    g = np.random.default_rng(4)
+
+    def grow(depth):
+        inner = [f"<p>{'w, ' * int(g.integers(0, 12))}{g.integers(1 << 40)}</p>" for _ in range(g.integers(0, 4))]
+        inner += [grow(depth - 1) for _ in range(g.integers(0, 4) if depth else 0)]
+        return f"<div>{''.join(inner[i] for i in g.permutation(len(inner)))}</div>"
+
+    for _ in range(200):
+        page = f"<div>{grow(4)}<p>x{g.integers(1 << 40)}</p></div>"
+        assert sorted(html_extract.main_text(page).split("\n")) == plain_scores(page)
+
+
+def test_html_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    rows = [(1, None, None, "x", 1), (2, "u", "", "x", 1), (None, "u", "<p>a", "x", 1), (3, "u", "<p>b", "x", 1), (3, "u", "<p>b", "x", 1)]
+    got = html_extract.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "a", 1), (1, "", 0), (2, "", 0), (3, "b", 1), (3, "b", 1)]
+    assert html_extract.extract(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_html_pages(spark, sf):
     rows = queries.QUERIES["op3_html_extraction"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()

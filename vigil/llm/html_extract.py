@@ -1,23 +1,30 @@
 """Main text of web pages by tree scoring.
 
 Each page becomes a tree of its block elements. A text block passes points for its length
-and commas on to its ancestors (all to the parent, half to the next, less to those above),
-and each container's sum is discounted by the share of its text that is in links. The best
-container gives the main text, with those siblings whose score is a fifth of its own; if it
-lies in an article (or else in the main element), all of that is taken. Menus, headers and
-footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are taken out by element, role and class before scoring.
+and commas on to its ancestors (all to the parent, two thirds of that to the next, and so on), and
+each container's sum is discounted by the share of its text that is in links; an article or
+main element, or a class that names content, raises it. The best container gives the main text,
+with those siblings whose value is a fifth of its own, and sibling headings and sentences that
+are no links. Menus, headers and footers of the page, sidebars, forms, scripts, styles and
+reader comments are taken out by element, role and class before scoring, and so are adverts,
+notices and share bars; within an article, a class of the doubtful kind takes out only what is
+short or mostly links.
 
 Character references are decoded, white space within a block becomes one blank, and blocks
-are joined in page order by a line end. Line breaks inside a block are white space.
+are joined in page order by a line end. Line breaks inside a block are white space. A tag or
+quote that never ends is text or ends at the next ">"; a button, drawing or player that
+never ends hides nothing. Time and memory are linear in the page's length, however it is
+broken or nested, so a very long page is one row like any other.
 
 Nulls: a null page is an empty one. A page without text gives an empty string. Repeated rows
-give repeated results. An empty table gives an empty result.
+give repeated results. An empty table gives an empty result. Only page_id, url and html are
+read, so extra columns take no part and cannot clash.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,14 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"""<!--(?:-?>|.*?(?:--!?>|\Z))
-      | <[!?][^>]*(?:>|\Z)
-      | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
-      | <(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""",
-    re.X | re.S,
-)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r""">|=\s*+(["'])""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -40,168 +42,260 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object select button canvas audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+HIDDEN = frozenset("svg select button canvas audio video template datalist".split())
 NEVER = frozenset("aside dialog footer form fieldset head menu nav search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | {"p", "pre", "blockquote", "li", "figcaption", "caption", "dd", "dt", "td", "th", "summary"}
 CLOSES = {
     "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"},
     "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"},
 }
 SPACES = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dd": {"dl"}, "dt": {"dl"}}
+REACH = 64  # open elements that an implied end looks through
 
-#: Words of a class or id that mark what is not the article, and those that mark the article.
+#: Words of a class or id that mark what is not the article, those that do so only of short or linked text within it, and those that mark it.
 UNWANTED = frozenset(
-    "ad ads adbox adslot advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "feedback login masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted "
-    "promotion related recommendations recommended reply replies respond rail search share sharing sidebar signup skip social sponsor "
-    "sponsored subscribe subscription taboola toolbar widget".split()
+    "ad ads adbox adslot advert advertisement advertising breadcrumb breadcrumbs consent cookie cookies disqus masthead nav navbar "
+    "navigation newsletter outbrain pager promo promoted promotion recommendations recommended share sharing sidebar signup social "
+    "sponsor sponsored subscribe subscription taboola".split()
 )
+DOUBTFUL = frozenset("alert banner feedback login menu modal notice notification pagination popup rail related search skip toolbar widget".split())
 OUTSIDE_ONLY = frozenset("header footer".split())
 WANTED = frozenset("article body content entry main post story text".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-_DEPTH_SHARE = (1.0, 0.5)
+PASSED_ON, BONUS, WANTED_BONUS, SIBLING_SHARE = 2 / 3, {"article": 4.0, "main": 2.0}, 1.25, 0.2
+KEEP, DOUBT, SKIP = 0, 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "linked", "skip", "inside")
+    """A block element; ``fate``: kept, skipped, or taken out if it turns out short or linked."""
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool, inside: bool):
-        self.tag, self.parent, self.skip, self.inside = tag, parent, skip, inside
-        self.score, self.chars, self.linked = 0.0, 0, 0
+    __slots__ = ("tag", "parent", "fate", "inside", "wanted", "score", "chars", "linked", "kept")
+
+    def __init__(self, tag: str, parent: Node | None, fate: int, inside: bool, wanted: bool = False):
+        self.tag, self.parent, self.fate, self.inside, self.wanted = tag, parent, fate, inside, wanted
+        self.score, self.chars, self.linked, self.kept = 0.0, 0, 0, False
 
     def value(self) -> float:
-        return self.score * (1 - self.linked / self.chars) if self.chars else 0.0
+        if not self.chars:
+            return 0.0
+        return self.score * (1 - self.linked / self.chars) * BONUS.get(self.tag, WANTED_BONUS if self.wanted else 1.0)
+
+    def goes(self) -> bool:
+        if self.fate != DOUBT:
+            return self.fate == SKIP
+        links = self.linked / self.chars if self.chars else 0
+        return links > 0.5 if self.tag in LEAVES else links > 0.3 or self.chars < 200
 
 
-def unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article or main element, whose own header (its title) belongs to it."""
-    if tag in NEVER or tag == "header" and not inside:
-        return True
+def fate_of(tag: str, attrs: str, inside: bool) -> tuple[int, bool]:
+    """What becomes of an element, and whether its class names content; inside: within an article or main, whose own header (its title) belongs to it."""
+    if tag in NEVER or tag in HIDDEN or tag == "header" and not inside:
+        return SKIP, False
     if not attrs or tag in ("html", "body"):
-        return False
+        return KEEP, False
     named = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
     if "hidden" in named or named.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", ""), re.I):
-        return True
+        return SKIP, False
+    if re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", named.get("style", ""), re.I):
+        return SKIP, False
     if named.get("role", "").lower() in ROLES:
-        return True
+        return SKIP, False
     marks = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{named.get('class', '')} {named.get('id', '')}").lower()))
+    wanted = bool(marks & WANTED)
     if tag in ("article", "main"):
-        return bool(marks & COMMENTS)
-    if marks & COMMENTS:
-        return True
-    if marks & WANTED:
-        return False
-    return bool(marks & UNWANTED or not inside and marks & OUTSIDE_ONLY)
-
-
-def blocks(html: str) -> list[tuple[Node, str, int]]:
-    """Text blocks in page order: their element, text and number of characters in links."""
-    root = Node("html", None, False, False)
-    stack, found, held, linked, links = [root], [], [], 0, 0
-
-    def text(raw: str) -> None:
-        nonlocal linked
-        if raw and not stack[-1].skip:
+        return (SKIP if marks & COMMENTS else KEEP), wanted
+    if marks & UNWANTED or marks & COMMENTS:
+        return (DOUBT if inside and tag in LEAVES else SKIP), False
+    if marks & DOUBTFUL:
+        return (DOUBT if inside or wanted else SKIP), False
+    return (SKIP if not inside and not wanted and marks & OUTSIDE_ONLY else KEEP), wanted
+
+
+class Parser:
+    """Text blocks of a page in order, and the tree of its block elements (parents first)."""
+
+    def __init__(self, html: str):
+        self.html, self.size, self.quotes = html, len(html), True
+        self.last_end = html.rfind(">")
+        self.nodes = [Node("html", None, KEEP, False)]
+        self.stack, self.open = [self.nodes[0]], Counter()
+        self.found: list[tuple[Node, str, int]] = []  # element, text, characters in links
+        self.held: list[str] = []
+        self.linked, self.links = 0, False
+        self.ends: dict[str, tuple[int, int]] = {}
+
+    def text(self, start: int, stop: int) -> None:
+        if start < stop and self.stack[-1].fate != SKIP:
+            raw = self.html[start:stop]
             decoded = unescape(raw) if "&" in raw else raw
-            held.append(decoded)
-            if links:
-                linked += len(decoded)
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            whole = " ".join("".join(held).split())
+            self.held.append(decoded)
+            if self.links:
+                self.linked += len(decoded)
+
+    def flush(self) -> None:
+        if self.held:
+            whole = " ".join("".join(self.held).split())
             if whole:
-                found.append((stack[-1], whole, min(linked, len(whole))))
-            held.clear()
-        linked = 0
-
-    at, token = 0, TOKEN.search(html)
-    while token:
-        text(html[at : token.start()])
-        at = token.end()
-        tag = token["tag"] or token["tag2"]
-        if tag:
-            tag, end, attrs = tag.lower(), token["end"] or token["end2"], token["attrs"] or token["attrs2"] or ""
-            if end:
-                if tag in BLOCKS:
-                    flush()
-                    depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                    if depth:
-                        del stack[depth:]
-                elif tag == "a":
-                    links = 0
-            elif tag in RAW:
-                if not attrs.endswith("/"):
-                    closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = closing.end() if closing else len(html)
-                held.append(" ")
-            elif tag in BLOCKS:
-                flush()
-                if stack[-1].tag == "p":
-                    stack.pop()
-                if tag in CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in SPACES.get(tag, {"table", "select"}):
+                self.found.append((self.stack[-1], whole, min(self.linked, len(whole))))
+            self.held.clear()
+        self.linked = 0
+
+    def push(self, tag: str, fate: int, wanted: bool) -> None:
+        top = self.stack[-1]
+        node = Node(tag, top, SKIP if top.fate == SKIP else fate, top.inside or tag in ("article", "main"), wanted)
+        self.nodes.append(node)
+        self.stack.append(node)
+        self.open[tag] += 1
+
+    def pop_to(self, depth: int) -> None:
+        for node in self.stack[depth:]:
+            self.open[node.tag] -= 1
+        del self.stack[depth:]
+
+    def tag_end(self, at: int) -> int:
+        """Behind the ">" of the tag whose attributes start here; quoted values may hold one."""
+        stop = STOP.search(self.html, at) if self.quotes else None
+        while stop and stop[1]:
+            close = self.html.find(stop[1], stop.end())
+            if close < 0:
+                break
+            stop = STOP.search(self.html, close + 1)
+        if stop and not stop[1]:
+            return stop.end()
+        self.quotes = False  # a quote is open to the end: from here on quotes mean nothing, so no text is looked through twice
+        return self.html.find(">", at) + 1
+
+    def closes(self, tag: str, at: int) -> bool:
+        """Whether the hidden element that starts here has an end before the next of its kind starts."""
+        begin, end = self.ends.get(tag, (-1, -1))
+        if 0 <= end < at:
+            end = -1
+        if end < 0:
+            hit = re.compile(rf"</{tag}\b", re.I).search(self.html, at)
+            end = hit.start() if hit else self.size
+        if begin < at:
+            hit = re.compile(rf"<{tag}\b", re.I).search(self.html, at)
+            begin = hit.start() if hit else self.size
+        self.ends[tag] = begin, end
+        return end < self.size and end <= begin
+
+    def end_tag(self, tag: str) -> None:
+        if tag == "a":
+            self.links = False
+        elif tag in BLOCKS or tag in HIDDEN:
+            if tag in BLOCKS:
+                self.flush()
+            if self.open[tag]:
+                self.pop_to(next(k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == tag))
+
+    def start_tag(self, tag: str, attrs: str, at: int) -> int:
+        """Where to go on."""
+        if tag in RAW:
+            self.held.append(" ")
+            if not attrs.endswith("/"):
+                close = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(self.html, at)
+                return close.end() if close else self.size
+        elif tag in HIDDEN:
+            self.held.append(" ")
+            if not attrs.endswith("/") and self.closes(tag, at):
+                self.push(tag, SKIP, False)
+        elif tag in BLOCKS:
+            self.flush()
+            if self.stack[-1].tag == "p":
+                self.pop_to(len(self.stack) - 1)
+            if tag in CLOSES and any(self.open[t] for t in CLOSES[tag]):
+                for k in range(len(self.stack) - 1, max(len(self.stack) - REACH, 0), -1):
+                    if self.stack[k].tag in SPACES.get(tag, {"table", "select"}):
+                        break
+                    if self.stack[k].tag in CLOSES[tag]:
+                        self.pop_to(k)
+                        if not tag.startswith("t"):
                             break
-                        if stack[k].tag in CLOSES[tag]:
-                            del stack[k:]
-                            if tag != "tr" and not tag.startswith("t"):
-                                break
-                if tag not in VOID:
-                    top = stack[-1]
-                    skip = top.skip or unwanted(tag, attrs, top.inside)
-                    stack.append(Node(tag, top, skip, top.inside or tag in ("article", "main")))
-            elif tag == "a":
-                links = 1
-            elif tag == "br":
-                held.append(" ")
-        token = TOKEN.search(html, at)
-    text(html[at:])
-    flush()
-    return found
-
-
-def lift(node: Node) -> Node:
-    """The nearest article around the node, or else the main element, or else the node."""
-    for wanted in ("article", "main"):
-        up: Node | None = node
-        while up:
-            if up.tag == wanted:
-                return up
-            up = up.parent
-    return node
+            if tag not in VOID:
+                self.push(tag, *fate_of(tag, attrs, self.stack[-1].inside))
+        elif tag == "a":
+            self.links = True
+        elif tag == "br":
+            self.held.append(" ")
+        return at
+
+    def parse(self) -> Parser:
+        html, at = self.html, 0
+        while True:
+            begin = html.find("<", at)
+            if begin < 0 or begin > self.last_end:  # no tag can end any more
+                break
+            after = html[begin + 1 : begin + 2]
+            name = NAME.match(html, begin + 1)
+            if not name and after not in ("!", "?", "/"):
+                self.text(at, begin + 1)
+                at = begin + 1
+                continue
+            self.text(at, begin)
+            if not name:
+                if html.startswith("<!--", begin) and not html.startswith(("<!-->", "<!--->"), begin):
+                    close = html.find("-->", begin + 4)
+                    at = close + 3 if close >= 0 else self.size
+                else:
+                    at = html.find(">", begin) + 1
+                continue
+            at = self.tag_end(name.end())
+            if not at:  # only after quotes to the end
+                at = self.size
+            attrs = html[name.end() : at - 1]
+            if name[1]:
+                self.end_tag(name[2].lower())
+            else:
+                at = self.start_tag(name[2].lower(), attrs, at)
+        self.text(at, self.size)
+        self.flush()
+        return self
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    seen: dict[int, Node] = {}
-    for node, text, linked in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        container = node.parent if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") and node.parent else node
-        up, depth = container, 0
-        while up:
-            seen[id(up)] = up
-            up.score += points * (_DEPTH_SHARE[depth] if depth < 2 else 1 / (3 * depth))
-            up.chars += len(text)
-            up.linked += linked
-            up, depth = up.parent, depth + 1
-    if not seen:
+    page = Parser(html or "").parse()
+    nodes = page.nodes
+    for node, text, linked in page.found:
+        node.chars += len(text)
+        node.linked += linked
+    for node in reversed(nodes[1:]):  # children before parents
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+    for node in nodes:
+        if node.goes() or node.parent and node.parent.fate == SKIP:
+            node.fate = SKIP
+    blocks = [b for b in page.found if b[0].fate != SKIP]
+    for node in nodes:
+        node.chars = node.linked = 0
+    for node, text, linked in blocks:
+        container = node.parent if node.tag in LEAVES and node.parent else node
+        container.score += 1 + text.count(",") + min(len(text) / 100, 3)
+        node.chars += len(text)
+        node.linked += linked
+    for node in reversed(nodes[1:]):
+        node.parent.score += PASSED_ON * node.score
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+    if not blocks:
         return ""
-    best = lift(max(seen.values(), key=Node.value))
-    least = 0.2 * best.value()
-    kept = {id(best)} | {k for k, n in seen.items() if best.parent and n.parent is best.parent and n.value() >= least}
-    out = []
-    for node, text, _ in found:
-        up = node
-        while up and id(up) not in kept:
-            up = up.parent
-        if up:
-            out.append(text)
-    return "\n".join(out)
+    best = max(nodes, key=Node.value)
+    if not best.value():  # all of it in links
+        best = nodes[0]
+    least, own = SIBLING_SHARE * best.value(), {}
+    for node, text, linked in blocks:
+        own.setdefault(id(node), text)
+    for node in nodes:
+        beside = best.parent is not None and node.parent is best.parent and node is not best
+        text = own.get(id(node), "") if beside and node.linked < 0.25 * node.chars else ""
+        node.kept = (
+            node is best or node.parent is not None and node.parent.kept or beside and node.value() >= least > 0
+            or node.tag in HEADINGS and bool(text) or node.tag in LEAVES and text.endswith((".", "!", "?"))
+        )
+    return "\n".join(text for node, text, _ in blocks if node.kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
