@@ -127,6 +127,18 @@ def test_html():
     assert html_extract.main_text("<div><div class=sidebar><ul><li><a>x</a></ul></div><div class=content><p>a, b, c, d</p><p>e</p></div></div>") == "a, b, c, d\ne"
 
 
+def test_decontamination_in_parts_and_removal(spark):
+    long = " ".join(f"W{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"a b, {long}! c d", 5, "x"), (2, "nothing here", 6, "y"), (3, None, 7, "z")], "doc_id long, text string, n_hit int, spans string")
+    bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(0, 20, 5)] + [(99, "d")], BENCH).coalesce(1)
+    whole, parts = (
+        {r["doc_id"]: r.asDict(True) for r in decontam.scan(docs, bench, keep=tuple(docs.columns), prefix="f_", max_words=n).collect()} for n in (5_000_000, 20)
+    )
+    assert whole == parts and whole[1]["f_n_hit"] == 36 and whole[1]["f_n_items"] == 5 and whole[1]["n_hit"] == 5
+    got = {r["doc_id"]: r for r in decontam.removed(docs, bench).collect()}
+    assert got[1]["text"] == "a b, ! c d".replace("! c d", f" {' '.join(f'W{i}' for i in range(35, 40))}! c ") and got[2]["text"] == "nothing here" and got[3]["text"] is None
+
+
 def test_html_broken_pages_take_linear_time():
     for piece in ("<a", '<a "', "<!--", "</", "<a ='", "<button>", '<a b="', "<div>x"):
         page = piece * (1_000_000 // len(piece))

@@ -29,6 +29,23 @@ def test_stages_keep_columns_and_clean_documents(spark, docs, sf):
     assert len(cut) == rows.count() and cut[70_010]["text"] and cut[70_011]["text"] == "" and cut[70_001]["n_chars"] == len(plant[1][1])
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars int, n_hit int, spans string, score double, n_runs int, n_removed_words int, items string, key string, count int"
+
+
+def test_stages_pass_clashing_columns_nulls_and_repeats(spark, sf):
+    other = (5, "s", 0.25, 3, 4, "i", "k", 9)
+    texts = [(1, None), (2, ""), (3, "one text of its own here"), (3, "one text of its own here"), (None, "a text without an id"), (4, "w " * 30_000)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *other) for i, t in texts], EXTRA)
+    for name, stage in p.STAGES[:-1]:
+        for d in (rows, rows.limit(0)):
+            done = stage(spark, d, sf)
+            assert done.columns == rows.columns, name
+            got = done.collect()
+            assert all(tuple(r)[5:] == other for r in got), name
+            assert len(got) == (0 if d is not rows else 4 if name == "near_dedup" else 6), name
+    assert p.pack(spark, rows, sf).count() >= 6 and p.pack(spark, rows.limit(0), sf).count() == 0
+
+
 def test_run(spark, sf, docs):
     pieces = p.run(spark, sf).toPandas()
     assert len(p.STAGES) == 5 and set(pieces.doc_id) <= {r["doc_id"] for r in docs.select("doc_id").collect()}

@@ -8,27 +8,33 @@ queries, their occurrences located from sampled suffix positions, and the spans
 
 A window is ``WINDOW`` consecutive words of an item (the whole item if it has fewer, but not
 none). Documents are read once; nothing is shuffled. The benchmark is a stated query set: it
-goes to every task, and its size is checked against ``max_words``.
+goes to every task, in parts of about ``max_words`` words, with a pass over the documents for
+each. ``removed`` cuts the merged spans out of the texts.
 
 Nulls: a null text has no words; null items and items without words are ignored. Repeated
 rows are separate documents; repeated items with one id count once. Empty tables give no
-hits or no rows.
+hits or no rows. A very long text is part of one shard like any other. Kept columns pass
+through unchanged; where they have the names of found ones, a prefix is asked for.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+
+from .common import written
 
 WINDOW = 13
 
 #: ASCII bytes that are no word bytes become blanks, A-Z becomes a-z, all others stay.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _SENTINEL = 0
 
 
@@ -165,7 +171,8 @@ class Windows:
 
 
 class _Shard:
-    def __init__(self, windows: Windows):
+    def __init__(self, windows: Windows, into: str):
+        self.into = into
         self.windows, self.n_words, self.runs, self.owner, self.base, self.size = windows, [], [], [], [], 0
         self.batches: list[pa.RecordBatch] = []
 
@@ -218,50 +225,116 @@ class _Shard:
         names = [sorted(map(str, i)) for i in items]
         hit = np.array([sum(b - a for a, b in s) for s in spans], np.int64)
         kept = pa.Table.from_batches(self.batches).combine_chunks()
-        columns = {n: pa.concat_arrays(kept[n].chunks) for n in kept.column_names} | {
+        found = {
             "n_words": pa.array(self.n_words, pa.int64()),
             "n_hit": pa.array(hit),
             "n_items": pa.array([len(i) for i in items], pa.int64()),
             "items": pa.array(names, pa.list_(pa.string())),
             "spans": pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
         }
-        return pa.RecordBatch.from_pydict(columns)
+        own = [pa.concat_arrays(kept[n].chunks) for n in kept.column_names]
+        return pa.RecordBatch.from_arrays([*own, pa.StructArray.from_arrays(list(found.values()), list(found))], [*kept.column_names, self.into])
 
 
 FOUND = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 
-def read_windows(benchmark: DataFrame, max_words: int = 5_000_000) -> Windows:
+def benchmark_parts(benchmark: DataFrame, max_words: int) -> Iterator[Windows]:
+    """The benchmark's windows, in parts of about max_words words."""
     items, size = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
-        size += len(row["text"].split())
-        if size > max_words:
-            raise ValueError(f"the benchmark has over {max_words} words; pass it in parts")
         items.append((row["item_id"], row["text"]))
-    return Windows(items)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), shard_words: int = 1 << 20) -> DataFrame:
-    """One row per document: the columns to keep, word counts, items found and merged spans of words to remove."""
-    windows = docs.sparkSession.sparkContext.broadcast(read_windows(benchmark))
+        size += len(row["text"].split())
+        if size >= max_words:
+            yield Windows(items)
+            items, size = [], 0
+    yield Windows(items)
+
+
+def merged(spans: Column) -> Column:
+    """The union of several lists of spans of a document, in order."""
+    return F.aggregate(
+        F.array_sort(F.flatten(spans)), F.array().cast("array<struct<start:long,stop:long>>"),
+        lambda done, s: F.when((F.size(done) > 0) & (s["start"] <= F.get(done, F.size(done) - 1)["stop"]), F.concat(
+            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+            F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["stop"], s["stop"]).alias("stop"))),
+        )).otherwise(F.concat(done, F.array(s))),
+    )
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: str = "", shard_words: int = 1 << 20, max_words: int = 5_000_000) -> DataFrame:
+    """One row per document: the columns to keep, word counts, items found and merged spans of words to remove.
+
+    The columns found are named with ``prefix``, so that kept ones of the same names do not clash.
+    A benchmark of over ``max_words`` words goes to the tasks in parts, one pass over the
+    documents for each; their items and spans are united.
+    """
+    if prefix == "" and set(keep) & {f.name for f in StructType.fromDDL(FOUND)}:
+        raise ValueError("a kept column has the name of a found one; give a prefix")
+    rows = docs.select(*(F.col(c).alias(f"__kept{i}") for i, c in enumerate(keep)), "text")
+    parts, left = [], benchmark_parts(benchmark, max_words)
+    windows = next(left)
+    while windows:
+        parts.append(f"__found{len(parts)}")
+        after = next(left, None)
+        rows = in_part(rows, windows, parts[-1], shard_words, last=after is None)
+        rows, windows = written(rows) if after else rows, after
+    first = F.col(parts[0])
+    names = {f.name: first[f.name] for f in StructType.fromDDL(FOUND)}
+    if len(parts) > 1:
+        names["items"] = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(p)["items"] for p in parts)))))
+        names["spans"] = merged(F.array(*(F.col(p)["spans"] for p in parts)))
+        names["n_items"] = F.size(names["items"]).cast("long")
+        names["n_hit"] = F.aggregate(names["spans"], F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return rows.select(*(F.col(f"__kept{i}").alias(c) for i, c in enumerate(keep)), *(c.alias(prefix + n) for n, c in names.items()))
+
+
+def in_part(rows: DataFrame, windows: Windows, into: str, shard_words: int, last: bool) -> DataFrame:
+    """rows (..., text) with a struct of what is found of the windows; less the text if no part is left."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+    at = rows.columns.index("text")
+    own = [f for f in rows.schema.fields if not (last and f.name == "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(windows.value)
+        shard = _Shard(shared.value, into)
         for batch in batches:
-            for text in batch.column(0):
+            for text in batch.column(at):
                 shard.add(text.as_py())
-            shard.batches.append(pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]))
+            shard.batches.append(batch.select([f.name for f in own]))
             if shard.size >= shard_words or len(shard.n_words) >= 50_000:
                 yield shard.result()
-                shard = _Shard(windows.value)
+                shard = _Shard(shared.value, into)
         if shard.n_words:
             yield shard.result()
 
-    rows = docs.select(F.col("text").alias("__scanned"), *keep)
-    schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL(FOUND).fields])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*own, StructField(into, StructType.fromDDL(FOUND))]))
+
+
+def removed(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """docs with ``text`` less the words in removal spans (lower-cased A-Z runs as ``words`` cuts them, with what stands between them)."""
+    own = [c for c in docs.columns if c != "text"]
+    found = scan(docs, benchmark, keep=(*own, "text"), prefix="__", **how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist()
+            cut = [without(t, s) if s else t for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(cut, pa.string())], [*own, "text"])
+
+    rows = found.select(*own, "text", "__spans")
+    return rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name != "__spans"])).select(docs.columns)
+
+
+def without(text: str, spans: list[dict]) -> str:
+    place = [m.span() for m in WORD.finditer(text)]
+    kept, at = [], 0
+    for span in spans:
+        kept.append(text[at : place[span["start"]][0]])
+        at = place[span["stop"] - 1][1]
+    return "".join([*kept, text[at:]])
 
 
-def contaminated() -> Column:
+def contaminated(prefix: str = "") -> Column:
     """The share rule: a twentieth of the words, and one at least, lies in benchmark windows."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    n_hit, n_words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
+    return (n_hit > 0) & (20 * n_hit >= n_words)

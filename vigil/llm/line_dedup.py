@@ -27,7 +27,7 @@ Nulls: a null text stays null. A document that is all repeats keeps its row, wit
 text. Rows that repeat both doc_id and text are one document: each keeps the same text. A
 null doc_id comes last in order. An empty table gives an empty result. A very long text is
 one row like any other; its arrays are as long as its words. All other columns pass through;
-the columns that are added (``ADDED``) replace those of the same name, and no other name clashes.
+the columns that are added (``added``) replace those of the same name, and no other name clashes.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ ADDED = ("n_chars", "n_runs", "n_removed_words")
 MARK = "\x01"
 
 #: Working columns, named so that they meet no column of the input.
-KEY, SLOT, RUNS = "__key", "__slot", "__runs"
+KEY, SLOT, RUNS, N_RUNS, N_WORDS = "__key", "__slot", "__runs", "__n_runs", "__n_words"
 
 
 def hashes(text: Column) -> Column:
@@ -152,7 +152,7 @@ def repeats(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows (..., text, RUNS) -> (..., text, n_runs, n_removed_words): the text less its runs of words."""
+    """rows (..., text, RUNS) -> (..., text, N_RUNS, N_WORDS): the text less its runs of words."""
     own = [c for c in rows.columns if c not in ("text", RUNS)]
     split, at, kept, spans = "__pieces", "__at", "__kept", F.col(RUNS)
     rows = rows.withColumn(split, pieces(F.col("text")))
@@ -172,7 +172,7 @@ def cut(rows: DataFrame) -> DataFrame:
     removed = F.aggregate(spans, F.lit(0), lambda n, r: n + r["n"])
     return rows.select(
         *own, F.when(spans.isNull(), F.col("text")).otherwise(text).alias("text"),
-        F.coalesce(F.size(spans), F.lit(0)).alias("n_runs"), F.coalesce(removed, F.lit(0)).alias("n_removed_words"),
+        F.coalesce(F.size(spans), F.lit(0)).alias(N_RUNS), F.coalesce(removed, F.lit(0)).alias(N_WORDS),
     )
 
 
@@ -185,9 +185,9 @@ def slot(key: Column) -> Column:
     return F.pmod(key, F.lit(SLOTS))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with ``text`` less its repeated passages, and ``n_chars``, ``n_runs``, ``n_removed_words``."""
-    own = [c for c in docs.columns if c not in ADDED and c != "text"]
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with ``text`` less its repeated passages, and (named ``added``) its characters, runs cut and words cut."""
+    own = [c for c in docs.columns if c not in added and c != "text"]
     key = F.xxhash64("doc_id", "text")
     keyed = docs.where("text is not null").select(key.alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text")
     found = repeats(keyed, min_words).withColumnsRenamed({"key": KEY, "runs": RUNS})
@@ -196,5 +196,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     full = slots(found, KEY).withColumnRenamed("slot", SLOT)
     clear = rows.join(full, SLOT, "left_anti").select(*own, "text")
     hit = cut(rows.join(full, SLOT, "left_semi").join(found, KEY, "left").select(*own, "text", RUNS))
-    done = hit.unionByName(clear.withColumns({"n_runs": F.lit(0), "n_removed_words": F.lit(0)}))
-    return done.withColumn("n_chars", F.length("text"))
+    done = hit.unionByName(clear.withColumns({N_RUNS: F.lit(0), N_WORDS: F.lit(0)}))
+    return done.withColumn(added[0], F.length("text")).withColumnsRenamed({N_RUNS: added[1], N_WORDS: added[2]})

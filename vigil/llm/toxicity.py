@@ -15,7 +15,9 @@ log-odds used in training come from the half of the sample that does not hold th
 
 Nulls: a null or empty text has no words and is scored as one empty window. Labels that are
 null, or whose document is missing, are not used. Without both labels the score is 0.
-Repeated rows get equal scores. An empty table gives an empty result.
+Repeated rows get equal scores. An empty table gives an empty result. A very long text is
+scored in full, window by window. All other columns pass through; a column named as the
+score's (``into``) is replaced, and no other name clashes.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ WINDOW, STEP = 32, 24
 BUCKETS = 1 << 15
 EMBED, HIDDEN, ATTEND = 6, 8, 8
 MAX_TOXIC, MAX_OTHER, MAX_CHARS = 1500, 2500, 16_000_000
-ROUNDS, EPOCHS, BATCH = 2, 2, 128
+ROUNDS, VISITS, BATCH = 2, 18_000, 128  # windows seen in each round, whatever the sample's size
 
 #: Word bytes in lower case; 0 for all others. Values below 0x30 are free for marks.
 _LETTER = np.zeros(256, np.uint8)
@@ -274,7 +276,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
         order = np.lexsort((-strength, doc))
         ranked = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
         chosen = order[ranked < np.where(toxic[doc[order]], 1, 3)]
-        for _ in range(EPOCHS * max(1, 5000 // len(chosen))):
+        for _ in range(-(-VISITS // len(chosen))):
             for at in np.array_split(g.permutation(chosen), max(1, len(chosen) // BATCH)):
                 step += 1
                 half = fold[doc[at]]
@@ -316,12 +318,11 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Network:
 
 
 def settle(net: Network, logits: np.ndarray, toxic: np.ndarray, at: float = 0.7) -> None:
-    """Move the bias so that the score ``at`` lies midway between the two kinds, if they are many and apart."""
-    if toxic.sum() < 200:
-        return
+    """Move the bias so that the score ``at`` lies midway between the two kinds, if they are apart; the fewer toxic rows tell, the less."""
     low, high = np.quantile(logits[~toxic], 0.999), np.quantile(logits[toxic], 0.02)
     if low < high:
-        net.p["c"] += np.float32(np.log(at / (1 - at)) - (low + high) / 2)
+        told = toxic.sum() / (toxic.sum() + 20)
+        net.p["c"] += np.float32(told * (np.log(at / (1 - at)) - (low + high) / 2))
 
 
 def held_out() -> F.Column:
@@ -356,10 +357,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train(texts, toxic) if toxic.any() and not toxic.all() else None
 
 
-def score(docs: DataFrame, net: Network | None, part_bytes: int = 1 << 21) -> DataFrame:
-    """docs with a column ``score``: the text's probability to be toxic."""
+def score(docs: DataFrame, net: Network | None, part_bytes: int = 1 << 21, into: str = "score") -> DataFrame:
+    """docs with a column ``into``: the text's probability to be toxic; one of that name is replaced."""
     model = docs.sparkSession.sparkContext.broadcast(net)
-    own = [c for c in docs.columns if c != "score"]
+    own = [c for c in docs.columns if c != into]
     docs = docs.select(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +373,6 @@ def score(docs: DataFrame, net: Network | None, part_bytes: int = 1 << 21) -> Da
                     scores.append(model.value.score(held) if model.value else np.zeros(len(held)))
                     held, size = [], 0
             scores.append(model.value.score(held) if model.value else np.zeros(len(held)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
