@@ -5,6 +5,12 @@ repeat an earlier one are cut; the documents stay. near_dedup: of documents whos
 fingerprints are linked, the one with the least doc_id stays. decontamination: documents of
 which a twentieth or more lies in benchmark windows go. packing: the rest, as pieces of
 sequences of 1024 tokens.
+
+Near duplicates are told by the SimHash rule of the query: 3-word shingles, fingerprints that
+differ in 2 bits at most. Columns besides those of the table documents pass through unchanged,
+whatever their names, up to the last stage, which returns its own; ``n_chars`` is that of the
+text as cut. Null texts are kept as empty ones, rows that repeat both doc_id and text become
+one in near_dedup, and an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -17,11 +23,11 @@ from vigil.llm.common import shared_folder, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.7").select(docs.columns)
+    return toxicity.score(docs, model, into="__toxicity").where("__toxicity < 0.7").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(docs).select(docs.columns)
+    return line_dedup.dedup(docs, added=("n_chars", "__cut_runs", "__cut_words")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~decontam.contaminated()).select(docs.columns)
+    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), prefix="__found_")
+    return found.where(~decontam.contaminated("__found_")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
