@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.functions import ip as addr
 from vigil.functions import scalars
 from vigil.operators import attribution
+from vigil.sources import ingest
 
 GOOD = ["10.0.0.5", "255.255.255.255", "0.0.0.0", "::1", "::", "fd00::1", "2001:db8::8:800:200c:417a", "fe80::1%eth0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "64:ff9b::192.0.2.33"]
 BAD = ["", " ", "1.2.3", "256.1.1.1", "1.2.3.4.5", "10.0.0.0/8", "g::1", "1::2::3", "1:2:3:4:5:6:7", "12345::", "a", ":1", "1:"]
@@ -79,3 +80,36 @@ def test_attribution(spark):
 def test_evidence_modes(spark):
     rows = spark.createDataFrame([(0.6, 0.6), (0.5, 0.6), (0.39, 0.39), (0.5, 0.5)], "a double, b double").coalesce(1)
     assert [r[0] for r in rows.select(scalars.evidence_mode(F.col("a"), F.col("b"))).collect()] == ["dominant_remote", "dominant_port", "distributed", "mixed"]
+
+
+DOCUMENT = """<domain type='kvm'><name>dom1</name><uuid> u-1 </uuid><metadata><n:instance xmlns:n="urn:n"><n:name>{name}</n:name>
+<n:flavor name="small"><n:memory>1024</n:memory><n:vcpus>2</n:vcpus></n:flavor>
+<n:owner><n:user uuid="3">a user</n:user><n:project uuid="4">pro&amp;ject</n:project></n:owner>
+<n:ports><n:port uuid='A'/><n:port uuid='B'><n:ip type="fixed" address="10.0.0.5" ipVersion="4"/><n:ip address='fd00::1' ipVersion='6'/></n:port>
+<n:port uuid=' '><n:ip address='10.0.0.6'/></n:port><n:port uuid='C'><n:ip address='10.0.0.7'/><n:ip address=''/></n:port></n:ports></n:instance></metadata>
+<devices><disk type='file' device='disk'><source file='/a&amp;b'/><target dev='vda'/></disk><disk type='file' device='cdrom'><target dev='hda'/></disk>
+<interface type='bridge'><target dev=' '/></interface><interface type='bridge'><target dev='tap0'/></interface><interface/></devices></domain>"""
+
+
+def test_inventory_documents(spark):
+    rows = [("h", "dom1", DOCUMENT.format(name="test-vm")), ("h", "dom2", DOCUMENT.format(name="  ")), ("h", "bad", "<domain><uuid>x"), ("h", "none", None), ("h", "few", "<domain><uuid>z</uuid></domain>")]
+    docs = spark.createDataFrame(rows, "host_id string, domain_name string, xml string")
+    got = {r["domain_name"]: r for r in ingest.inventory(docs).collect()}
+    assert len(got) == 5 and got["dom1"]["server_name"] == "test-vm" and got["dom2"]["server_name"] == "dom2"
+    one = got["dom1"]
+    assert (one["instance"], one["project"], one["owner"], one["mem_mb"], one["vcpus"]) == ("u-1", "pro&ject", "a user", 1024, 2)
+    assert one["port_uuids"] == ["A", "B", "C"] and one["ifaces"] == ["tap0"] and one["disk_targets"] == ["vda"]
+    assert got["few"]["instance"] == "z" and got["few"]["project"] == "unknown" and got["few"]["mem_mb"] is None
+    ports = ingest.inventory_ports(docs.where("domain_name = 'dom1'")).select("port_uuid", "family", addr.show(F.col("ip")).alias("ip")).collect()
+    assert sorted(map(tuple, ports)) == [("B", "4", "10.0.0.5"), ("B", "6", "fd00:0000:0000:0000:0000:0000:0000:0001"), ("C", "4", "10.0.0.7")]
+    assert [r["path"] for r in ingest.inventory_disks(docs.where("domain_name = 'dom1'")).collect()] == ["vda"]
+
+
+def test_masked_bits(spark):
+    pairs = [("10.1.2.3", n) for n in (0, 1, 7, 8, 9, 24, 29, 31, 32)] + [("fd00::abcd:1", n) for n in (0, 3, 29, 48, 64, 127, 128)]
+    rows = spark.createDataFrame([(t, n, 4 if "." in t else 6, str(ipaddress.ip_network(f"{t}/{n}", strict=False)[0]), str(ipaddress.ip_network(f"{t}/{n}", strict=False)[-1])) for t, n in pairs], "t string, n int, f int, first string, last string")
+    key = lambda c: addr.masked(addr.parse(F.col(c)), F.col("f"), F.col("n"))
+    assert rows.where((key("t") == key("first")) & (key("t") == key("last"))).count() == len(pairs)
+    other = lambda t, n: str(ipaddress.ip_address(int(ipaddress.ip_address(t)) ^ (1 << ((32 if "." in t else 128) - n))))
+    flipped = spark.createDataFrame([(t, n, 4 if "." in t else 6, other(t, n)) for t, n in pairs if n], "t string, n int, f int, o string")
+    assert flipped.where(key("t") == key("o")).count() == 0

@@ -118,7 +118,10 @@ def mark_infrastructure(df: DataFrame, host_ips: DataFrame, ip: str, out: str =
 
 
 def masked(ip: Column, family: Column, length: Column) -> Column:
-    """The first ``length`` bits (of the 32 or 128 of the family) as a bit string: the key of a prefix join."""
-    digits = F.when(family == 4, F.hex(F.substring(ip, 13, 4))).otherwise(F.hex(ip))
-    bits = F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("."), F.lit(0)), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
-    return F.substring(bits, F.lit(1), length)
+    """The first ``length`` bits (of the 32 or 128 of the family): whole bytes and the bits of the next one, the key of a prefix join."""
+    bits = F.when(family == 4, length + 96).otherwise(length)
+    whole = F.floor(bits / 8).cast("int")
+    byte = F.conv(F.hex(F.substring(ip, whole + 1, F.lit(1))), 16, 10).cast("int")
+    shift = 8 - bits % 8
+    part = sum((F.when(shift == k, F.shiftright(byte, k)).otherwise(0) for k in range(1, 8)), F.lit(0))
+    return F.struct(F.substring(ip, F.lit(1), whole).alias("bytes"), part.alias("bits"))

@@ -34,68 +34,66 @@ def partial_reads(loads: DataFrame) -> DataFrame:
 
 # ---- inventory documents -------------------------------------------------------------
 
-def _all(path: str) -> Column:
-    return F.expr(f"xpath(xml, \"{path}\")")
+#: What is read of a domain document, by local names; attributes start with an underscore.
+DOMAIN = """
+name string, uuid string,
+metadata struct<instance: struct<
+  name: string, flavor: struct<memory: string, vcpus: string>, owner: struct<user: string, project: string>,
+  ports: struct<port: array<struct<_uuid: string, ip: array<struct<_address: string, _ipVersion: string>>>>>>>,
+devices struct<
+  disk: array<struct<_type: string, _device: string, source: struct<_file: string, _name: string>, target: struct<_dev: string>>>,
+  interface: array<struct<target: struct<_dev: string>>>>
+"""
 
 
-def _one(path: str) -> Column:
-    return F.trim(F.expr(f"xpath_string(xml, \"{path}\")"))
+def parsed(docs: DataFrame) -> DataFrame:
+    """docs (host_id, domain_name, xml) with the document as a struct ``d``; one that is no XML has none of its fields."""
+    domain = F.from_xml("xml", DOMAIN, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    return docs.select("host_id", "domain_name", domain.alias("d")).withColumn("instance", F.trim("d.uuid"))
 
 
-def _local(*names: str) -> str:
-    return "".join(f"/*[local-name()='{n}']" for n in names)
+def _texts(array: str, of) -> Column:
+    """Non-blank texts of an array of elements; without the element an empty array."""
+    return F.filter(F.transform(F.coalesce(F.col(array), F.array()), lambda x: F.trim(of(x))), lambda t: t != "")
 
 
 def inventory(docs: DataFrame) -> DataFrame:
     """docs: host_id, domain_name, xml -> one row each, with arrays of ports, disks and interfaces."""
-    meta, flavor = "//*[local-name()='instance']", "//*[local-name()='flavor']"
-    port = "//*[local-name()='port']"
-    number = lambda path: F.expr(f"try_cast(xpath_string(xml, \"{path}\") as int)")
-    ports = _all(port + "/@uuid")
-    disk = "//*[local-name()='disk'][@device='disk']"
-    return docs.select(
-        "host_id", "domain_name", _one("//*[local-name()='domain']/*[local-name()='uuid']").alias("instance"),
-        F.coalesce(F.nullif(_one(meta + _local("name")), F.lit("")), F.col("domain_name")).alias("server_name"),
-        scalars.project_name(_one("//*[local-name()='owner']" + _local("project"))).alias("project"),
-        _one("//*[local-name()='owner']" + _local("user")).alias("owner"),
-        number(flavor + _local("memory")).alias("mem_mb"), number(flavor + _local("vcpus")).alias("vcpus"),
-        ports.alias("port_uuids"), "xml",
-        _all("//*[local-name()='devices']" + _local("interface", "target") + "/@dev").alias("ifaces"),
-        _all(disk + _local("target") + "/@dev").alias("disk_targets"),
+    of, number = "d.metadata.instance", lambda c: F.trim(c).try_cast("int")
+    disks = F.filter(F.coalesce(F.col("d.devices.disk"), F.array()), lambda x: x["_device"] == "disk")
+    return parsed(docs).withColumn("disks", disks).select(
+        "host_id", "domain_name", "instance",
+        F.coalesce(F.nullif(F.trim(f"{of}.name"), F.lit("")), F.col("domain_name")).alias("server_name"),
+        scalars.project_name(F.coalesce(F.trim(f"{of}.owner.project"), F.lit(""))).alias("project"),
+        F.coalesce(F.trim(f"{of}.owner.user"), F.lit("")).alias("owner"),
+        number(F.col(f"{of}.flavor.memory")).alias("mem_mb"), number(F.col(f"{of}.flavor.vcpus")).alias("vcpus"),
+        _texts(f"{of}.ports.port", lambda x: x["_uuid"]).alias("port_uuids"),
+        _texts("d.devices.interface", lambda x: x["target"]["_dev"]).alias("ifaces"),
+        _texts("disks", lambda x: x["target"]["_dev"]).alias("disk_targets"),
     )
 
 
 def inventory_ports(docs: DataFrame) -> DataFrame:
     """host_id, instance, port_uuid, ip (BINARY), family: blank ports and addresses are skipped, the version defaults to 4."""
-    instance = _one("//*[local-name()='domain']/*[local-name()='uuid']")
-    parts = F.expr("regexp_extract_all(xml, '(?s)<(?:[A-Za-z0-9]+:)?port [^>]*>.*?</(?:[A-Za-z0-9]+:)?port>', 0)")
-    ports = docs.select("host_id", instance.alias("instance"), F.explode(parts).alias("port"))
-    attr = lambda col, name: F.trim(F.regexp_extract(col, rf"\b{name}=[\"']([^\"']*)[\"']", 1))
-    ips = ports.select(
-        "host_id", "instance", attr(F.regexp_extract("port", "^<[^>]*>", 0), "uuid").alias("port_uuid"),
-        F.explode(F.expr("regexp_extract_all(port, '<(?:[A-Za-z0-9]+:)?ip [^>]*>', 0)")).alias("tag"),
-    )
+    ports = parsed(docs).select("host_id", "instance", F.explode("d.metadata.instance.ports.port").alias("port"))
+    ips = ports.select("host_id", "instance", F.trim("port._uuid").alias("port_uuid"), F.explode("port.ip").alias("at"))
     ips = ips.select(
-        "host_id", "instance", "port_uuid", addr.parse(attr(F.col("tag"), "address")).alias("ip"),
-        F.coalesce(F.nullif(attr(F.col("tag"), "ipVersion"), F.lit("")), F.lit("4")).alias("family"),
+        "host_id", "instance", "port_uuid", addr.parse(F.col("at._address")).alias("ip"),
+        F.coalesce(F.nullif(F.trim("at._ipVersion"), F.lit("")), F.lit("4")).alias("family"),
     )
     return ips.where("port_uuid <> '' and ip is not null").distinct()
 
 
 def inventory_disks(docs: DataFrame) -> DataFrame:
     """host_id, instance, path, disk_type, volume of every disk (no CD or floppy drives)."""
-    instance = _one("//*[local-name()='domain']/*[local-name()='uuid']")
-    parts = F.expr("regexp_extract_all(xml, '(?s)<disk [^>]*>.*?</disk>', 0)")
-    disks = docs.select("host_id", instance.alias("instance"), F.explode(parts).alias("disk"))
-    attr = lambda tag, name: F.trim(F.regexp_extract(F.regexp_extract("disk", f"<{tag}[^>]*>", 0), rf"\b{name}=[\"']([^\"']*)[\"']", 1))
-    disks = disks.where(attr("disk", "device") == "disk")
-    kind, volume = scalars.disk_type(attr("disk", "type"), attr("source", "file"), attr("source", "name"))
-    return disks.select("host_id", "instance", attr("target", "dev").alias("path"), kind.alias("disk_type"), volume.alias("volume")).where("path <> ''")
+    disks = parsed(docs).select("host_id", "instance", F.explode("d.devices.disk").alias("disk")).where("disk._device = 'disk'")
+    text = lambda c: F.trim(F.coalesce(F.col(f"disk.{c}"), F.lit("")))
+    kind, volume = scalars.disk_type(text("_type"), text("source._file"), text("source._name"))
+    return disks.select("host_id", "instance", text("target._dev").alias("path"), kind.alias("disk_type"), volume.alias("volume")).where("path <> ''")
 
 
 def inventory_ifaces(docs: DataFrame) -> DataFrame:
-    rows = inventory(docs).select("host_id", "instance", F.explode("ifaces").alias("iface"))
-    return rows.withColumn("iface", F.trim("iface")).where("iface <> ''").distinct()
+    return inventory(docs).select("host_id", "instance", F.explode("ifaces").alias("iface")).distinct()
 
 
 # ---- statistics ----------------------------------------------------------------------
