@@ -67,6 +67,21 @@ FROM (SELECT user_id, event_id, event_type, ts, CAST(floor(value * 100) AS BIGIN
              sum(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch FROM events) e"""
 
+#: Feature columns as a fleet with far more traffic would have them, so that the rules with high thresholds meet rows on either side of them.
+LOUD = {
+    "flows": "flows * 40", "dark_flows": "dark_flows * 8", "smtp_flows": "smtp_flows * 40", "stratum_flows": "stratum_flows * 2", "udp": "udp * 40",
+    "icmp": "icmp * 40", "multicast": "multicast * 60", "unique_remotes": "CASE WHEN flows % 11 = 0 THEN CAST(floor(unique_remotes / 4) AS BIGINT) ELSE unique_remotes * 8 END", "new_remotes": "new_remotes * 8",
+    "unique_ports": "CASE WHEN flows % 5 = 0 THEN least(unique_ports, 4) ELSE unique_ports * 4 END",
+    "geneve_flows": "CASE WHEN flows % 7 = 0 THEN flows ELSE 0 END", "bgp_flows": "CASE WHEN flows % 5 = 0 THEN bgp_flows ELSE 0 END", "metadata_flows": "CASE WHEN flows % 2 = 0 THEN metadata_flows * 40 ELSE metadata_flows * 10 END",
+    "metadata_unreplied_ratio": "CASE WHEN flows % 3 = 0 THEN 0.7 ELSE metadata_unreplied_ratio END", "infra_max_flows": "CASE WHEN flows % 3 = 0 THEN infra_max_flows * 40 ELSE infra_max_flows END",
+    "top_port": "CASE WHEN flows % 11 = 0 THEN 3333 ELSE top_port END",
+    "unreplied_ratio": "CASE WHEN flows % 3 = 0 THEN least(1, unreplied_ratio * 3) WHEN flows % 3 = 1 THEN unreplied_ratio / 4 ELSE unreplied_ratio END",
+    "bytes_per_flow": "CASE WHEN flows % 2 = 0 THEN bytes_per_flow / 100 ELSE bytes_per_flow * 10 END",
+    "mode": "CASE WHEN flows % 4 = 0 THEN 'dominant_remote' WHEN flows % 4 = 1 THEN 'dominant_port' ELSE mode END",
+    "remote_share": "CASE WHEN flows % 4 = 0 THEN 0.95 ELSE remote_share END", "port_share": "CASE WHEN flows % 4 = 1 THEN 0.8 ELSE port_share END",
+    "host_impact": "host_impact * 10", "signal": "least(1, signal * 2)",
+}
+
 #: Contact direction of each list.
 CONTACT = {"custom": "any", "relays": "out", "drop": "in"}
 TABLE_MAX = 500
@@ -155,6 +170,11 @@ class Fleet:
     def classified(self) -> DataFrame:
         return classifier.classify(self.scored, config=self.config)
 
+    @cached_property
+    def loud(self) -> DataFrame:
+        """The scored features of the fleet with more traffic. What is observed keeps the columns from being written out once for each use in the rules."""
+        return self.scored.withColumns({c: F.expr(sql) for c, sql in LOUD.items()}).observe("loud", F.count(F.lit(1)).alias("rows"))
+
     @cached_property
     def alerts(self) -> DataFrame:
         return scoring.score_alerts(self.classified, self.config)

@@ -191,6 +191,9 @@ def _won(prefix: str, physics: str, scan: str) -> str:
 CTE["cls"] = f"""
 SELECT *, {_won('k', 'darkspace_plus_physics', 'darkspace_plus_scan')} AS kind, {_won('r', 'synergy_darkspace_plus_physics', 'synergy_darkspace_plus_scan')} AS rule_id,
        ({_BOTH} k_scan IS NOT NULL) AS synergy_scan, ({_BOTH} k_protocol IS NOT NULL) AS synergy_physics FROM cand"""
+CTE["loudsig"] = f"SELECT * REPLACE ({', '.join(f'{sql} AS {c}' for c, sql in a.LOUD.items())}) FROM sig"
+CTE["loudcand"] = CTE["cand"].replace("FROM sig", "FROM loudsig")
+CTE["loudcls"] = CTE["cls"].replace("FROM cand", "FROM loudcand")
 CTE["pers"] = """
 SELECT *, row_number() OVER (PARTITION BY host_id, instance, ip, direction, kind, island ORDER BY ts) AS hits FROM (
 SELECT *, sum(CASE WHEN ts - last > 180 THEN 1 ELSE 0 END) OVER (PARTITION BY host_id, instance, ip, direction, kind ORDER BY ts) AS island FROM (
@@ -226,6 +229,13 @@ CTE["routed"] = """
 SELECT DISTINCT host_id, ts, list, instance, a_ip, a_port, b_ip, b_port, proto FROM (
 SELECT *, src_inst AS instance FROM thits WHERE (list = 'relays' AND side = 'dst') OR list = 'custom'
 UNION ALL SELECT *, dst_inst FROM thits WHERE (list = 'drop' AND side = 'src') OR list = 'custom') WHERE instance IS NOT NULL"""
+CTE["tsig"] = """
+SELECT *, row_number() OVER (PARTITION BY host_id, instance ORDER BY ts) AS no FROM (
+SELECT host_id, ts, instance, 1 - exp(sum(ln(greatest(1 - least(1, active / 10.0), 1e-300)))) AS instant FROM (
+SELECT host_id, ts, list, instance, least(count(*), 5000) AS active FROM routed GROUP BY host_id, ts, list, instance) GROUP BY host_id, ts, instance)"""
+CTE["intel"] = """
+SELECT host_id, instance, ts, no, instant, instant AS e FROM tsig WHERE no = 1
+UNION ALL SELECT o.host_id, o.instance, o.ts, o.no, o.instant, i.e + 0.1 * (o.instant - i.e) FROM intel i JOIN tsig o ON o.host_id = i.host_id AND o.instance = i.instance AND o.no = i.no + 1"""
 CTE["counters"] = a.COUNTERS
 _LAG = "OVER (PARTITION BY host_id, instance ORDER BY ts, event_id)"
 CTE["lagged"] = f"""

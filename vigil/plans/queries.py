@@ -322,7 +322,7 @@ def win_resource_events(f):
     return scoring.resource_events(f.resources).select("host_id", "instance", F.col("ts").alias("at"), "overall", "band", "top_axis", "cap_active")
 
 
-@query()
+@query("SELECT host_id, instance, ts, round(instant, 4) AS instant, round(e, 4) AS intel_ewma, round(least(1, greatest(0, 0.5 * instant + 0.5 * e)), 4) AS intel_combined FROM intel")
 def win_threat_intel_ewma(f):
     counts = threat.hit_counts(f.routed).select("host_id", "snapshot_ts", "instance", "list", F.col("active").alias("hits"))
     return folds.threat_intel(scoring.threat_signal(counts)).select("host_id", "instance", "snapshot_ts", "instant", "intel_ewma", "intel_combined")
@@ -365,19 +365,37 @@ def first_match_rule(f):
     return f.classified.select(*IDENT, "kind", "rule_id", "synergy_scan", "synergy_physics")
 
 
+@query(f"SELECT {ID}, " + ", ".join(f"coalesce({w}, false) AS {fam}_{i}" for fam, rules in oracle.RULES.items() for i, (w, _, _) in enumerate(rules)) + " FROM loudsig")
+def rule_flags_loud(f):
+    out = classifier.rule_flags(f.loud, f.config)
+    return out.select(*IDENT, *(c for c in out.columns if c.rsplit("_", 1)[0] in classifier.FAMILIES and c.rsplit("_", 1)[1].isdigit()))
+
+
+#: Families whose thresholds the tables' own traffic stays under: asked of the fleet with more of it.
+LOUD_FAMILIES = ("dark", "protocol", "scan", "attack", "capacity")
+
+
 def _family(name: str):
+    loud = name in LOUD_FAMILIES
+    chosen = sorted({r for _, _, r in oracle.RULES[name]})
+
     def run(f):
-        return f.classified.where(F.col("rule_id").isin(*sorted({r for _, _, r in oracle.RULES[name]}))).select(*IDENT, "kind", "rule_id")
+        rows = classifier.classify(f.loud, config=f.config) if loud else f.classified
+        return rows.where(F.col("rule_id").isin(*chosen)).select(*IDENT, "kind", "rule_id")
 
     run.__name__ = f"rules_{name}"
-    ids = ", ".join(sorted({repr(r) for _, _, r in oracle.RULES[name]}))
-    query(f"SELECT {ID}, kind, rule_id FROM cls WHERE rule_id IN ({ids})")(run)
+    query(f"SELECT {ID}, kind, rule_id FROM {'loudcls' if loud else 'cls'} WHERE rule_id IN ({', '.join(map(repr, chosen))})")(run)
 
 
 for _name in oracle.RULES:
     _family(_name)
 
 
+@query(f"SELECT {ID}, kind, rule_id, synergy_scan, synergy_physics FROM loudcls")
+def rule_synergy(f):
+    return classifier.classify(f.loud, config=f.config).select(*IDENT, "kind", "rule_id", "synergy_scan", "synergy_physics")
+
+
 @query(f"SELECT {ID}, kind, severity_score FROM prio")
 def score_alert_severity(f):
     return f.alerts.select(*IDENT, "kind", "severity_score")
@@ -701,7 +719,7 @@ def stream_resource_state(f):
     return state.replay(f.pressures, state.resource_state).select("host_id", "instance", F.col("ts").alias("at"), "overall", "top_axis", "band")
 
 
-@query()
+@query("SELECT host_id, instance, ts, round(e, 4) AS intel_ewma, round(least(1, greatest(0, 0.5 * instant + 0.5 * e)), 4) AS intel_combined FROM intel")
 def stream_threat_state(f):
     from ..streaming import state
 
