@@ -57,6 +57,19 @@ def threat_events(routed: DataFrame) -> DataFrame:
     )
 
 
+def notices(alerts: DataFrame, routed: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every event that may be told, with the key under which it is throttled: machine and kind of an alert; list, machine and
+    both addresses of a threat hit; list and address of a host's own. listed: host_id, snapshot_ts, list, ip."""
+    c = F.col
+    key = lambda *parts: F.concat_ws("|", *(p.cast("string") for p in parts)).alias("key")
+    shown = lambda x: F.when(addr.is_v4_mapped(x), addr.to_long(x).cast("string")).otherwise(F.hex(x))
+    head = lambda family: (F.lit(family).alias("family"), "host_id")
+    behavior = alerts.select(*head("behavior"), key(c("instance"), c("kind")), "snapshot_ts")
+    hits = routed.select(*head("threat"), key(c("list"), c("instance"), shown(c("pair.a.ip")), shown(c("pair.b.ip"))), "snapshot_ts")
+    own = listed.select(*head("host"), key(c("list"), shown(c("ip"))), "snapshot_ts")
+    return behavior.unionByName(hits).unionByName(own)
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -240,6 +240,17 @@ class Fleet:
     def resources(self) -> DataFrame:
         return folds.resource_axes(self.pressures, self.config)
 
+    @cached_property
+    def machine_scores(self) -> DataFrame:
+        """Resource scores by snapshot: sample k of a machine is taken as that of snapshot k; it is stopped where the event is a view."""
+        first = Window.partitionBy("host_id", "instance").orderBy("ts")
+        kinds = self.counters.select("host_id", "instance", "ts", (F.col("event_type") != "view").alias("running"))
+        rows = self.resources.join(kinds, ["host_id", "instance", "ts"]).withColumn("n", F.row_number().over(first))
+        return rows.select(
+            "host_id", F.regexp_replace("instance", "^m", "vm").alias("instance"), F.timestamp_seconds(START + 15 * (F.col("n") - 1)).alias("snapshot_ts"),
+            "overall", *(f"{a}_severity" for a in ("cpu", "mem", "disk", "net")), "running",
+        )
+
     @cached_property
     def metrics(self) -> DataFrame:
         """One counter and one gauge for each machine, as the long metric table."""

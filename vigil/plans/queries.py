@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ip as addr
 from ..functions import scalars
 from ..operators import attribution, classifier, deltas, features, fleet, folds, scoring, sinks, threat
-from . import adapters, oracle
+from . import adapters, oracle, oracle_state
 from .adapters import Fleet, plain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,7 +247,7 @@ def except_prev_set(f):
     return now.join(before, ["host_id", "instance", "remote", "snapshot_ts"], "left_anti").select("host_id", "snapshot_ts", "instance", "remote")
 
 
-_CPU = "least(100, coalesce(inc * {n}.0 / nullif(dt, 0) / 1e9 * 100 / vcpus, 0))"
+_CPU = oracle_state.CPU
 
 
 @query(f"SELECT host_id, instance, ts, counter, round({_CPU.format(n=400000000)}, 4) AS cpu_percent, round({_CPU.format(n=30000000)}, 4) AS steal_percent, round({_CPU.format(n=9000000)}, 4) AS wait_percent FROM lagged")
@@ -296,28 +296,32 @@ def win_alert_persistence(f):
     return f.alerts.select(*IDENT, "kind", "hits", "required")
 
 
-@query()
+@query(f"SELECT {ID}, kind, priority, hits, required, emitted, emit_reason, suppress_reason FROM gated")
 def win_alert_emit_gate(f):
     return f.gated.select(*IDENT, "kind", "priority", "hits", "required", "emitted", "emit_reason", "suppress_reason")
 
 
-@query()
+@query("SELECT family, host_id, key, ts, events, delivered FROM throttled")
 def win_event_throttle(f):
-    rows = f.gated.where("emitted").select("host_id", "instance", "snapshot_ts", "kind")
-    return folds.throttle(rows, ["host_id", "instance"], "snapshot_ts", f.config)
+    listed = threat.host_listed(f.host_ips, f.threat_ips, f.threat_cidrs).join(f.flows.select("host_id", "snapshot_ts").distinct(), "host_id")
+    sent = folds.throttle(sinks.notices(f.gated.where("emitted"), f.routed, listed), ["family", "host_id", "key"], "snapshot_ts", f.config)
+    return sent.groupBy("family", "host_id", "key", "snapshot_ts").agg(F.count("*").alias("events"), F.count_if("delivered").alias("delivered"))
 
 
-@query()
+_AXES = [f"{a}_{c}" for a in ("cpu", "mem", "disk", "net") for c in ("ewma", "severity")]
+
+
+@query(f"SELECT host_id, instance, ts AS at, {', '.join(f'round({c}, 4) AS {c}' for c in _AXES)} FROM res")
 def win_resource_axis_ewma(f):
-    return f.resources.select("host_id", "instance", F.col("ts").alias("at"), *(c for a in ("cpu", "mem", "disk", "net") for c in (f"{a}_ewma", f"{a}_severity")))
+    return f.resources.select("host_id", "instance", F.col("ts").alias("at"), *_AXES)
 
 
-@query()
+@query("SELECT host_id, instance, ts AS at, round(overall_raw, 4) AS overall_raw, round(overall, 4) AS overall, axes90, streak, cap_active, persistence_triggered, top_axis, band FROM res")
 def win_resource_cap_streak(f):
     return f.resources.select("host_id", "instance", F.col("ts").alias("at"), "overall_raw", "overall", "axes90", "streak", "cap_active", "persistence_triggered", "top_axis", "band")
 
 
-@query()
+@query("SELECT host_id, instance, ts AS at, round(overall, 4) AS overall, band, top_axis, cap_active FROM resev")
 def win_resource_events(f):
     return scoring.resource_events(f.resources).select("host_id", "instance", F.col("ts").alias("at"), "overall", "band", "top_axis", "cap_active")
 
@@ -411,7 +415,7 @@ def score_band_priority(f):
     return f.alerts.select(*IDENT, "severity_band", "priority", "priority_basis")
 
 
-_SIG = "greatest(least(1, greatest(0, least(1, log10(1 + 9 * s.host_impact)) + s.signal)), CASE p.priority WHEN 'P1' THEN 1.0 WHEN 'P2' THEN 0.7 WHEN 'P3' THEN 0.5 ELSE 0 END)"
+_SIG = oracle_state.SIGNAL
 
 
 def _signals(f) -> DataFrame:
@@ -470,7 +474,7 @@ def win_state_ttl(f):
     return deltas.state_islands(f.counters.select("host_id", "instance", "ts"), ["host_id", "instance"], 86400)
 
 
-@query()
+@query("SELECT host_id, instance, ts AS at, round(overall_raw, 4) AS overall_raw, top_axis, axes90, band FROM res")
 def score_resource_overall(f):
     return f.resources.select("host_id", "instance", F.col("ts").alias("at"), "overall_raw", "top_axis", "axes90", "band")
 
@@ -481,16 +485,23 @@ def score_threat_signal(f):
     return scoring.threat_signal(counts)
 
 
-@query()
-def score_attention(f):
-    """Behaviour and threat of every machine, with the resource part of a stopped one left out."""
+def _attention(f) -> DataFrame:
+    """Resource, behaviour and threat scores of every machine and snapshot, and their blend; a stopped machine has no resource part."""
     counts = threat.hit_counts(f.routed).select("host_id", "snapshot_ts", "instance", "list", F.col("active").alias("hits"))
     intel = folds.threat_intel(scoring.threat_signal(counts)).select("host_id", "instance", "snapshot_ts", "intel_combined")
-    rows = scoring.ip_signal(_signals(f)).join(intel, ["host_id", "instance", "snapshot_ts"], "left")
-    running = F.pmod(F.xxhash64("instance"), F.lit(5)) > 0
-    resource = F.when(running, F.col("behavior_score") / 2).otherwise(0.0)
-    score = scoring.attention(resource, running, F.col("behavior_score"), F.coalesce("intel_combined", F.lit(0.0)) * 100, config=f.config)
-    return rows.select("host_id", "instance", "snapshot_ts", score.alias("attention"))
+    key = ["host_id", "instance", "snapshot_ts"]
+    rows = scoring.ip_signal(_signals(f)).join(f.machine_scores, key, "left").join(intel, key, "left")
+    running = F.coalesce("running", F.lit(False))
+    rows = rows.withColumns({
+        "running": running, "resource_score": F.when(running, F.col("overall")).otherwise(0.0), "threat_score": F.coalesce("intel_combined", F.lit(0.0)) * 100,
+    })
+    return rows.withColumn("attention", scoring.attention(F.col("resource_score"), F.col("running"), F.col("behavior_score"), F.col("threat_score"), config=f.config))
+
+
+@query(f"SELECT host_id, instance, ts, running, round(resource, 3) AS resource_score, round(behavior, 2) AS behavior_score, round(threat, 3) AS threat_score, round({oracle_state.ATTENTION}, 2) AS attention FROM attend")
+def score_attention(f):
+    scores = (F.round(c, n).alias(c) for c, n in (("resource_score", 3), ("behavior_score", 2), ("threat_score", 3), ("attention", 2)))
+    return _attention(f).select("host_id", "instance", "snapshot_ts", "running", *scores)
 
 
 # ---- threat lists ------------------------------------------------------------------------
@@ -645,10 +656,10 @@ def topk_noisy_ips(f):
     return fleet.noisy_ips(per_ip, hosts, 0.5, 3).select("host_id", "snapshot_ts", "instance", "ip", "flows_total", "rank")
 
 
-@query()
+@query("SELECT host_id, day, instance, round(disk_severity, 4) AS disk_severity, rank FROM (SELECT *, row_number() OVER (PARTITION BY host_id, day ORDER BY disk_severity DESC, instance) AS rank, max(disk_severity) OVER (PARTITION BY host_id, day) AS pressure FROM (SELECT host_id, instance, date_trunc('day', ts) AS day, round(max(disk_severity), 6) AS disk_severity FROM res GROUP BY 1, 2, 3)) WHERE rank <= 3 AND pressure >= 10")
 def topk_noisy_neighbors(f):
     day = F.date_trunc("day", "ts")
-    worst = f.resources.groupBy("host_id", "instance", day.alias("ts")).agg(F.max("disk_severity").alias("disk_severity"))
+    worst = f.resources.groupBy("host_id", "instance", day.alias("ts")).agg(F.round(F.max("disk_severity"), 6).alias("disk_severity"))
     hosts = worst.groupBy("host_id", "ts").agg(F.max("disk_severity").alias("pressure"))
     return fleet.noisy_neighbors(worst, hosts, "disk", 10.0, 3).select("host_id", F.col("ts").alias("day"), "instance", "disk_severity", "rank")
 
@@ -663,7 +674,7 @@ def sink_metrics(f):
     return rows.withColumnRenamed("ts", "snapshot_ts").groupBy("snapshot_ts", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query()
+@query(oracle_state.ALERTS)
 def sink_alert_events(f):
     return sinks.alerts(f.gated, features.alert_endpoints(f.remotes, f.host_ips))
 
@@ -673,9 +684,13 @@ def sink_threat_events(f):
     return sinks.threat_events(f.routed).select("host_id", "snapshot_ts", "list", "instance", "a_port", "b_port", "proto")
 
 
-@query(raw=True)
+@query(f"SELECT host_id, instance, t, {oracle_state.five('overall')} AS overall, band, top_axis, cap_active, persistence_triggered, {', '.join(f"{oracle_state.five(f'{a}_{n}')} AS {a}_{n}" for a in ('cpu', 'mem', 'disk', 'net') for n in ('p', 'conf', 'ewma', 'severity'))} FROM resev")
 def sink_resource_events(f):
-    return sinks.as_json(sinks.resource_records(scoring.resource_events(f.resources)))
+    """The JSON records, read back."""
+    records = sinks.resource_records(scoring.resource_events(f.resources))
+    read = sinks.as_json(records).select(F.from_json("value", records.schema).alias("r")).select("r.*")
+    parts = (F.col(a)[n].alias(f"{a}_{n}") for a in ("cpu", "mem", "disk", "net") for n in ("p", "conf", "ewma", "severity"))
+    return read.select("host_id", "instance", F.unix_timestamp("ts").alias("t"), "overall", "band", "top_axis", "cap_active", "persistence_triggered", *parts)
 
 
 @query(f"SELECT host_id, instance, ip, direction, ts, min(remote) AS sample_remote, min(CASE WHEN {oracle.PRIVATE} AND NOT {oracle.INFRA} THEN remote END) AS private_remote, min(CASE WHEN {oracle.INFRA} THEN remote END) AS infra_remote FROM marked GROUP BY {ID}")
@@ -712,7 +727,7 @@ def stream_behavior_state(f):
     return state.replay(f.features, state.behavior_state).select(*IDENT, F.round("signal", 3).alias("signal"))
 
 
-@query()
+@query("SELECT host_id, instance, ts AS at, round(overall, 4) AS overall, top_axis, band FROM res")
 def stream_resource_state(f):
     from ..streaming import state
 
