@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as addr
 from ..functions import scalars
-from ..operators import attribution, classifier, deltas, features, fleet, folds, scoring, sinks, threat
-from . import adapters, oracle, oracle_state
+from ..operators import attribution, catalogue, classifier, deltas, features, fleet, folds, scoring, sinks, threat
+from . import adapters, metric_frames, oracle, oracle_state
 from .adapters import Fleet, plain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,9 +498,10 @@ def _attention(f) -> DataFrame:
     return rows.withColumn("attention", scoring.attention(F.col("resource_score"), F.col("running"), F.col("behavior_score"), F.col("threat_score"), config=f.config))
 
 
-@query(f"SELECT host_id, instance, ts, running, round(resource, 3) AS resource_score, round(behavior, 2) AS behavior_score, round(threat, 3) AS threat_score, round({oracle_state.ATTENTION}, 2) AS attention FROM attend")
+@query(f"SELECT host_id, instance, ts, running, round(resource + 1e-9, 3) AS resource_score, round(behavior + 1e-9, 2) AS behavior_score, round(threat + 1e-9, 3) AS threat_score, round({oracle_state.ATTENTION} + 1e-9, 2) AS attention FROM attend")
 def score_attention(f):
-    scores = (F.round(c, n).alias(c) for c, n in (("resource_score", 3), ("behavior_score", 2), ("threat_score", 3), ("attention", 2)))
+    # the little that is added parts halves alike on every engine
+    scores = (F.round(F.col(c) + 1e-9, n).alias(c) for c, n in (("resource_score", 3), ("behavior_score", 2), ("threat_score", 3), ("attention", 2)))
     return _attention(f).select("host_id", "instance", "snapshot_ts", "running", *scores)
 
 
@@ -667,11 +668,12 @@ def topk_noisy_neighbors(f):
 # ---- sinks ---------------------------------------------------------------------------------
 
 
-@query(f"SELECT ts, metric, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT ts, UNNEST(['flows', 'unique_remotes', 'max_single_port']) AS metric, CAST(UNNEST([flows, unique_remotes, max_single_port]) AS DOUBLE) AS value FROM feat) GROUP BY ts, metric")
+@query(metric_frames.TOTALS)
 def sink_metrics(f):
-    names = {c: (c, "gauge") for c in ("flows", "unique_remotes", "max_single_port")}
-    rows = sinks.metrics(f.features, names, ["instance", "direction"])
-    return rows.withColumnRenamed("ts", "snapshot_ts").groupBy("snapshot_ts", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """Rows and total of every family of the catalogue."""
+    rows = catalogue.emit(metric_frames.frames(f, _attention(f)))
+    total = F.sum(F.col("value").cast("decimal(28, 5)"))
+    return rows.groupBy("metric", "type").agg(F.count("*").alias("n"), F.round(total, 0).cast("long").alias("total"))
 
 
 @query(oracle_state.ALERTS)
@@ -684,13 +686,16 @@ def sink_threat_events(f):
     return sinks.threat_events(f.routed).select("host_id", "snapshot_ts", "list", "instance", "a_port", "b_port", "proto")
 
 
-@query(f"SELECT host_id, instance, t, {oracle_state.five('overall')} AS overall, band, top_axis, cap_active, persistence_triggered, {', '.join(f"{oracle_state.five(f'{a}_{n}')} AS {a}_{n}" for a in ('cpu', 'mem', 'disk', 'net') for n in ('p', 'conf', 'ewma', 'severity'))} FROM resev")
+_DETAIL = ["overall", *(f"{a}_{n}" for a in ("cpu", "mem", "disk", "net") for n in ("p", "conf", "ewma", "severity"))]
+
+
+@query(f"SELECT host_id, instance, t, band, top_axis, cap_active, persistence_triggered, {', '.join(f'round({c}, 5) AS {c}' for c in _DETAIL)} FROM resev", raw=True)
 def sink_resource_events(f):
     """The JSON records, read back."""
     records = sinks.resource_records(scoring.resource_events(f.resources))
     read = sinks.as_json(records).select(F.from_json("value", records.schema).alias("r")).select("r.*")
-    parts = (F.col(a)[n].alias(f"{a}_{n}") for a in ("cpu", "mem", "disk", "net") for n in ("p", "conf", "ewma", "severity"))
-    return read.select("host_id", "instance", F.unix_timestamp("ts").alias("t"), "overall", "band", "top_axis", "cap_active", "persistence_triggered", *parts)
+    detail = (F.col(c.replace("_", ".")).alias(c) for c in _DETAIL)
+    return read.select("host_id", "instance", F.unix_timestamp("ts").alias("t"), F.col("band").cast("long").alias("band"), "top_axis", "cap_active", "persistence_triggered", *detail)
 
 
 @query(f"SELECT host_id, instance, ip, direction, ts, min(remote) AS sample_remote, min(CASE WHEN {oracle.PRIVATE} AND NOT {oracle.INFRA} THEN remote END) AS private_remote, min(CASE WHEN {oracle.INFRA} THEN remote END) AS infra_remote FROM marked GROUP BY {ID}")
