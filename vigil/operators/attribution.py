@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -105,3 +105,20 @@ def host_conntrack(flows: DataFrame, host_samples: DataFrame) -> DataFrame:
         flows.groupBy("host_id", "snapshot_ts").agg(F.count("*").alias("entries")).join(host_samples.select("host_id", "table_max"), "host_id")
         .withColumn("utilization", scalars.ratio(F.col("entries"), F.col("table_max")))
     )
+
+
+def usable(flows: DataFrame, reads: DataFrame) -> DataFrame:
+    """Flows of the snapshots that were read at least in part. reads: host_id, snapshot_ts, status."""
+    failed = reads.where(F.col("status") == "failed").select("host_id", "snapshot_ts")
+    return flows.join(failed, ["host_id", "snapshot_ts"], "left_anti")
+
+
+def last_good_active(loads: DataFrame, active: DataFrame) -> DataFrame:
+    """The active machines at each load: those of the latest good one up to then; none before the first.
+
+    loads: host_id, snapshot_ts, ok; active: host_id, snapshot_ts, instance, as each load saw them.
+    """
+    order = Window.partitionBy("host_id").orderBy("snapshot_ts").rowsBetween(Window.unboundedPreceding, 0)
+    good = loads.withColumn("_good", F.last(F.when(F.col("ok"), F.col("snapshot_ts")), ignorenulls=True).over(order))
+    seen = active.withColumnRenamed("snapshot_ts", "_good")
+    return good.join(seen, ["host_id", "_good"]).select("host_id", "snapshot_ts", "instance")

@@ -126,3 +126,16 @@ def state_islands(samples: DataFrame, key: list[str], ttl_s: float, ts: str = "t
     order = Window.partitionBy(*key).orderBy(ts)
     gap = F.col(ts).cast("double") - F.lag(ts).over(order).cast("double")
     return samples.withColumn("island", F.sum(F.when(gap > ttl_s, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def presence_islands(active: DataFrame, cycles: DataFrame, key: list[str]) -> DataFrame:
+    """Adds island: a new one where a key was away for one of its host's cycles, for state that ends with absence.
+
+    active: host_id, snapshot_ts and the key, a row for each cycle that saw it; cycles: host_id, snapshot_ts.
+    """
+    numbers = cycles.select("host_id", "snapshot_ts").distinct()
+    numbers = numbers.withColumn("_no", F.row_number().over(Window.partitionBy("host_id").orderBy("snapshot_ts")))
+    order = Window.partitionBy(*key).orderBy("_no")
+    away = F.col("_no") - F.lag("_no").over(order) > 1
+    rows = active.join(numbers, ["host_id", "snapshot_ts"]).withColumn("_away", F.when(away, 1).otherwise(0))
+    return rows.withColumn("island", F.sum("_away").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_no", "_away")

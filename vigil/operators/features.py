@@ -118,6 +118,12 @@ def unmonitored(ports: DataFrame, monitored: DataFrame) -> DataFrame:
     return ports.join(F.broadcast(known), ["direction", "port"], "left_anti").join(F.broadcast(mapped), "direction", "left_semi")
 
 
+def port_names(ports: DataFrame, monitored: DataFrame) -> DataFrame:
+    """Rows of by_port with the name that their direction's map has for the port; empty where it has none."""
+    names = monitored.groupBy("direction", "port").agg(F.min("name").alias("port_name"))  # at most 65535 ports for each direction
+    return ports.join(F.broadcast(names), ["direction", "port"], "left").fillna("", ["port_name"])
+
+
 def darkspace(ports: DataFrame, monitored: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("flows")).alias("minus"), "port")).alias("b")
     got = unmonitored(ports, monitored).groupBy(*SNAPSHOT).agg(F.sum("flows").alias("dark_flows"), F.count("*").alias("dark_ports"), best)

@@ -83,9 +83,10 @@ def ewma_step(config: Config) -> Callable[[dict, dict], dict]:
 EWMA_COLUMNS = ", ".join(f"{a[0]}_{k} double" for a in AXES for k in ("fast", "slow", "anomaly")) + ", signal double"
 
 
-def flow_ewma(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def flow_ewma(features: DataFrame, config: Config = DEFAULT, key: list[str] = IDENTITY) -> DataFrame:
+    """key may add the island of presence, so that a machine that returns starts anew."""
     timed = features.withColumn("t", F.unix_timestamp("snapshot_ts"))
-    return fold(timed, IDENTITY, ["snapshot_ts"], ewma_step(config), EWMA_COLUMNS).drop("t")
+    return fold(timed, key, ["snapshot_ts"], ewma_step(config), EWMA_COLUMNS).drop("t")
 
 
 RESOURCE_AXES = (("cpu", 30.0, 120.0), ("mem", 45.0, 180.0), ("disk", 30.0, 180.0), ("net", 30.0, 120.0))
@@ -134,6 +135,17 @@ def resource_axes(pressures: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return fold(timed, ["host_id", "instance"], ["ts"], resource_step(config), RESOURCE_COLUMNS).drop("t")
 
 
+def contact_step(config: Config) -> Callable[[dict, dict], dict]:
+    """Whether a pair is a new contact: not seen in the interval before."""
+
+    def step(state: dict, row: dict) -> dict:
+        new = "t" not in state or row["t"] - state["t"] > config.interval_s
+        state["t"] = row["t"]
+        return {"is_new": new}
+
+    return step
+
+
 RANK = {"P4": 1, "P3": 2, "P2": 3, "P1": 4}
 
 

@@ -163,10 +163,11 @@ def ingest_threat_cidr_list(f):
     return ingest.threat_cidrs(lines).groupBy("list", "prefix_len").agg(F.count("*").alias("networks"))
 
 
-@query("SELECT direction, count(*) AS ports FROM (SELECT 'inbound' AS direction, s_suppkey FROM supplier WHERE s_suppkey BETWEEN 1 AND 65535 UNION ALL SELECT * FROM (SELECT 'outbound' AS direction, UNNEST(range(50)) AS n)) GROUP BY direction")
+@query("SELECT direction, count(*) AS ports, 'loaded' AS status, 'mixed' AS source FROM (SELECT 'inbound' AS direction, s_suppkey FROM supplier WHERE s_suppkey BETWEEN 1 AND 65535 UNION ALL SELECT * FROM (SELECT 'outbound' AS direction, UNNEST(range(50)) AS n)) GROUP BY direction")
 def load_monitored_ports(f):
     config = f.table("supplier").select(F.lit("inbound").alias("direction"), F.col("s_suppkey").cast("int").alias("port"), F.col("s_name").alias("name")).where("port between 1 and 65535")
-    return ingest.monitored_ports(f.spark, config, BUILTIN)[0].groupBy("direction").agg(F.count("*").alias("ports"))
+    ports, status, using = ingest.monitored_ports(f.spark, config, BUILTIN)
+    return ports.groupBy("direction").agg(F.count("*").alias("ports")).withColumns({"status": F.lit(status), "source": F.lit(using)})
 
 
 def rule_table(f):
@@ -199,6 +200,26 @@ def match_external_rules(f):
     return classifier.match_external(f.features, f.ports, good).select(*IDENT, F.col("hit.rule_id").alias("rule_id"))
 
 
+@query(f"SELECT c.host_id, c.instance, c.ip, c.direction, c.ts, coalesce(c.kind, concat('kind', m.o)) AS kind, coalesce(c.rule_id, concat('r', m.o)) AS rule_id, CASE WHEN c.kind IS NULL THEN 'external' ELSE 'internal' END AS source FROM cls c LEFT JOIN (SELECT s.host_id, s.instance, s.ip, s.direction, s.ts, min(r.o) AS o FROM featm s JOIN {_R} r ON r.d = s.direction AND s.flows >= r.o * 3 + 10 AND s.unique_remotes >= r.o + 5 AND s.unreplied_ratio >= 0.1 WHERE EXISTS (SELECT 1 FROM prt p WHERE p.host_id = s.host_id AND p.instance = s.instance AND p.ip = s.ip AND p.direction = s.direction AND p.ts = s.ts AND p.port IN (80, 443)) GROUP BY 1, 2, 3, 4, 5) m ON m.host_id = c.host_id AND m.instance = c.instance AND m.ip = c.ip AND m.direction = c.direction AND m.ts = c.ts WHERE coalesce(c.kind, concat('kind', m.o)) <> 'kind'")
+def rule_external(f):
+    """User rules behind all others."""
+    good, _ = ingest.external_rules(rule_table(f), port_sets(f))
+    rows = classifier.classify(f.scored, classifier.match_external(f.features, f.ports, good), f.config)
+    return rows.where("kind is not null").select(*IDENT, "kind", "rule_id", "source")
+
+
+@query("SELECT list, family, count(*) AS networks FROM (SELECT DISTINCT 'drop' AS list, s_suppkey % 2 * 2 + 4 AS family, s_suppkey AS k FROM supplier WHERE s_suppkey % 10 > 1) GROUP BY list, family")
+def union_cidr_lists(f):
+    """A list of both families, from one file of lines for each."""
+    k = F.col("k")
+    four = F.concat(F.col("address"), F.lit("/32 ; x"))
+    six = F.concat(F.lit("2001:db8:"), F.hex(k), F.lit("::/48 ; x"))
+    line = F.when(k % 10 < 2, F.lit("; none")).when(k % 2 == 0, four).otherwise(six)
+    lines = list_lines(f).select(F.lit("drop").alias("list"), F.when(k % 2 == 0, 4).otherwise(6).alias("family"), line.alias("line"))
+    both = ingest.threat_cidrs(lines.where("family = 4")).unionByName(ingest.threat_cidrs(lines.where("family = 6")))
+    return both.groupBy("list", "family").agg(F.count("*").alias("networks"))
+
+
 @query("SELECT o_orderpriority, CASE WHEN x THEN 'out' ELSE 'in' END AS contact, count(*) AS n FROM (SELECT o_orderpriority, o_custkey % 2 = 0 AS x FROM orders) GROUP BY 1, 2")
 def parse_contact_direction(f):
     text = F.when(F.col("o_custkey") % 2 == 0, " Src ").otherwise(" inbound")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ip as addr
 from ..functions import scalars
 from ..operators import attribution, catalogue, classifier, deltas, features, fleet, folds, scoring, sinks, threat
+from ..sources.builtin_ports import BUILTIN
 from . import adapters, metric_frames, oracle, oracle_state
 from .adapters import Fleet, plain
 
@@ -165,11 +166,19 @@ def agg_top_dst_port(f):
     return features.top_port(f.ports)
 
 
-@query(f"SELECT {ID}, count(*) AS remotes FROM (SELECT {ID}, remote FROM rem) GROUP BY {ID}")
+@query(f"SELECT {ID}, rank, flows FROM (SELECT *, row_number() OVER (PARTITION BY {ID} ORDER BY flows DESC, remote) AS rank FROM rem) WHERE rank <= 5")
 def agg_top_remote_approx(f):
-    # the sketch is exact while an identity has fewer remotes than it holds items: every remote is listed
-    top = features.top_remotes_sketch(f.events, k=10_000, items=20_000)
-    return top.select(*IDENT, F.size("top").alias("remotes"))
+    # the sketch is exact while an identity has fewer remotes than it holds items; which of equal remotes it lists is open
+    top = features.top_remotes_sketch(f.events, k=5, items=10_000)
+    return top.select(*IDENT, F.posexplode("top").alias("n", "t")).select(*IDENT, (F.col("n") + 1).alias("rank"), F.col("t.count").alias("flows"))
+
+
+_NAMED = ", ".join(f"('{d}', {p}, '{n}')" for d, ports in BUILTIN.items() for p, n in ports.items())
+
+
+@query(f"SELECT {ID}, p.port, flows, coalesce(name, '') AS port_name FROM prt p LEFT JOIN (SELECT * FROM (VALUES {_NAMED}) v(d, port, name)) m ON m.d = p.direction AND m.port = p.port")
+def port_name(f):
+    return features.port_names(f.ports, f.monitored).select(*IDENT, "port", "flows", "port_name")
 
 
 @query(f"SELECT {ID}, public_remotes, metadata_flows, round(metadata_unreplied_ratio, 4) AS metadata_unreplied_ratio, infra_hits, infra_max_flows, local_scan_hits FROM policy")
@@ -355,6 +364,26 @@ def snapshot_partial_read(f):
     return ingest.partial_reads(n.select("host_id", "snapshot_ts", F.inline(F.array(family(4, 2), family(6, 3)))))
 
 
+@query("SELECT host_id, ts, src_inst, dst_inst, count(*) AS flows FROM attr a WHERE EXISTS (SELECT 1 FROM (SELECT host_id, ts, count(*) AS n FROM flows GROUP BY host_id, ts) s WHERE s.host_id = a.host_id AND s.ts = a.ts AND (n % 2 = 0 OR n % 3 = 0)) GROUP BY host_id, ts, src_inst, dst_inst")
+def attribution_without_failed_reads(f):
+    rows = attribution.usable(f.flows, snapshot_partial_read(f))
+    return attribution.attribute(rows, f.zone_ips, f.instance_ips).groupBy("host_id", "snapshot_ts", "src_inst", "dst_inst").agg(F.count("*").alias("flows"))
+
+
+@query(f"SELECT l.host_id, l.ts, i.instance FROM (SELECT host_id, ts, max(CASE WHEN ok THEN ts END) OVER (PARTITION BY host_id ORDER BY ts) AS good FROM ({_LOADS})) l JOIN (SELECT DISTINCT host_id, instance, vcpus FROM inst) i ON i.host_id = l.host_id WHERE l.good IS NOT NULL AND (i.vcpus + l.good) % 4 <> 0")
+def last_good_active(f):
+    """The machines that each load saw, or the last good one before a failed load."""
+    loads = f.flows.groupBy("host_id", "snapshot_ts").agg((F.count("*") % 3 != 0).alias("ok"))
+    seen = loads.select("host_id", "snapshot_ts").join(f.instances.select("host_id", "instance", "vcpus"), "host_id")
+    return attribution.last_good_active(loads, seen.where((F.col("vcpus") + F.unix_timestamp("snapshot_ts")) % 4 != 0).drop("vcpus"))
+
+
+@query("SELECT host_id, instance, ts, CAST(sum(CASE WHEN no - last > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY host_id, instance ORDER BY no) AS BIGINT) AS island FROM (SELECT *, lag(no) OVER (PARTITION BY host_id, instance ORDER BY no) AS last FROM (SELECT t.*, n.no FROM totals t JOIN (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY ts) AS no FROM (SELECT DISTINCT host_id, ts FROM flows)) n ON n.host_id = t.host_id AND n.ts = t.ts WHERE t.flows % 5 <> 0))")
+def win_presence_islands(f):
+    active = f.totals.where("flows % 5 <> 0").select("host_id", "snapshot_ts", "instance")
+    return deltas.presence_islands(active, f.flows, ["host_id", "instance"]).select("host_id", "instance", "snapshot_ts", "island")
+
+
 # ---- rules and scores --------------------------------------------------------------------
 
 
@@ -551,11 +580,6 @@ def threat_list_swap(f):
     return threat.current_lists(loads, entries).groupBy("list").agg(F.count("*").alias("entries"), F.min("version").alias("version"))
 
 
-@query("SELECT list, count(*) AS networks FROM (SELECT * FROM threat_cidrs UNION ALL SELECT * FROM threat_cidrs WHERE prefix_len = 8) GROUP BY list")
-def union_cidr_lists(f):
-    return f.threat_cidrs.unionByName(f.threat_cidrs.where("prefix_len = 8")).groupBy("list").agg(F.count("*").alias("networks"))
-
-
 # ---- questions over the metric table --------------------------------------------------------
 
 _M = "(SELECT host_id, ts, event_id, instance, concat('p', CAST(user_id % 5 AS STRING)) AS project, event_type AS kind, counter, step, t, step2 FROM lagged)"
@@ -747,6 +771,22 @@ def stream_threat_state(f):
     return state.replay(scoring.threat_signal(counts), state.threat_state).select("host_id", "instance", "snapshot_ts", "intel_ewma", "intel_combined")
 
 
+@query(f"SELECT {ID}, kind, emitted, emit_reason, suppress_reason FROM gated")
+def stream_emit_gate(f):
+    from ..streaming import state
+
+    needed = ("kind", "hits", "required", "priority", "severity_band", "remote_share", "port_share", "top_remote", "top_port")
+    return state.replay(f.alerts.select(*IDENT, *needed), state.emit_state).select(*IDENT, "kind", "emitted", "emit_reason", "suppress_reason")
+
+
+@query("SELECT host_id, list, instance, ts, sum(CASE WHEN last IS NULL OR ts - last > 15 THEN 1 ELSE 0 END) AS new_contacts FROM (SELECT *, lag(ts) OVER (PARTITION BY host_id, list, instance, a_ip, a_port, b_ip, b_port, proto ORDER BY ts) AS last FROM routed) GROUP BY host_id, list, instance, ts")
+def stream_threat_contacts(f):
+    from ..streaming import state
+
+    rows = state.replay(f.routed, state.contact_state)
+    return rows.groupBy("host_id", "list", "instance", "snapshot_ts").agg(F.count_if("is_new").alias("new_contacts"))
+
+
 @query("SELECT f.host_id, l.list, count(*) AS hits FROM flows f JOIN (SELECT DISTINCT list, ip FROM threat_ips) l ON l.ip = f.dst_ip GROUP BY f.host_id, l.list")
 def stream_list_refresh(f):
     from ..streaming import state

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import ip as addr
@@ -214,17 +215,39 @@ def threat_cidrs(lines: DataFrame) -> DataFrame:
 # ---- ports and rules -----------------------------------------------------------------
 
 
-def monitored_ports(spark: SparkSession, config: DataFrame | None, builtin: dict[str, dict[int, str]]) -> tuple[DataFrame, str]:
-    """config: direction, port, name. A direction it gives replaces the built-in one; anything invalid brings all of those back."""
+PORTS_DOCUMENT = "struct<behavior: struct<ports: struct<inbound_monitored: map<string,string>, outbound_monitored: map<string,string>>>>"
+
+
+def ports_file(spark: SparkSession, path: str | None) -> tuple[DataFrame | None, str]:
+    """A JSON document of ports -> direction, port, name, and whether it could be read: not_configured, missing, parse_error or read."""
+    if not (path or "").strip():
+        return None, "not_configured"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return None, "missing"
+    read = text.select(F.from_json("value", f"{PORTS_DOCUMENT[:-1]}, _corrupt_record: string>", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
+    if not read.where("d is null or d._corrupt_record is not null").isEmpty():
+        return None, "parse_error"
+    side = lambda d: F.transform(F.map_entries(F.coalesce(F.col(f"d.behavior.ports.{d}_monitored"), F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lit(d).alias("direction"), e["key"].try_cast("int").alias("port"), e["value"].alias("name")))
+    return read.select(F.inline(F.concat(side("inbound"), side("outbound")))), "read"
+
+
+def monitored_ports(spark: SparkSession, config: DataFrame | None, builtin: dict[str, dict[int, str]], read: str = "not_configured") -> tuple[DataFrame, str, str]:
+    """config: direction, port, name. A direction it gives replaces the built-in one; anything invalid brings all of those back.
+
+    Also the status (read's own where there is no config) and what is in use: builtin, file or mixed.
+    """
     rows = [(d, p, n) for d, ports in builtin.items() for p, n in ports.items()]
     own = spark.createDataFrame(rows, "direction string, port int, name string")
     if config is None:
-        return own, "not_configured"
+        return own, read, "builtin"
     wrong = config.where("port is null or port not between 1 and 65535 or trim(coalesce(name, '')) = '' or direction not in ('inbound', 'outbound')")
     if config.isEmpty() or not wrong.isEmpty():
-        return own, "invalid"
+        return own, "invalid", "builtin"
     given = config.select("direction").distinct()
-    return config.select("direction", "port", "name").unionByName(own.join(given, "direction", "left_anti")), "loaded"
+    using = "file" if given.count() == 2 else "mixed"  # two directions at most
+    return config.select("direction", "port", F.trim("name").alias("name")).unionByName(own.join(given, "direction", "left_anti")), "loaded", using
 
 
 def external_rules(rules: DataFrame, port_sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,12 @@ def threat_state(signals: DataFrame) -> DataFrame:
     return stateful(on_time(signals), ["host_id", "instance"], "snapshot_ts", folds.intel_step, added, 86400)
 
 
+def contact_state(routed: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """routed pairs and whether each is a new contact; a pair's state goes once an interval has passed without it."""
+    keyed = on_time(routed.withColumn("pair_id", F.sha2(F.to_json("pair"), 256)).drop("pair"))
+    return stateful(keyed, ["host_id", "list", "instance", "pair_id"], "snapshot_ts", folds.contact_step(config), "is_new boolean", int(2 * config.interval_s))
+
+
 def against_current_lists(flows: DataFrame, read_list: Callable[[], DataFrame], out: Callable[[DataFrame, int], None], checkpoint: str):
     """Each micro-batch meets the list as it is then. Returns the started query."""
 
