@@ -13,6 +13,7 @@ alert_endpoints load_monitored_ports agg_top_remote agg_top_dst_port agg_port_gr
 win_cpu_usage win_disk_io win_threat_contacts_total first_match_rule score_alert_confidence score_behavior_signal score_threat_signal
 join_threat_cidr agg_threat_hits join_host_ip_listed q_counter_rate q_counter_increase q_for_duration q_deriv q_count_having agg_project_showback
 ingest_inventory_xml ingest_zone_map ingest_domain_stats ingest_threat_ip_list ingest_threat_cidr_list match_external_rules load_external_rules
+win_alert_emit_gate win_event_throttle win_resource_cap_streak score_attention sink_alert_events rule_external stream_threat_contacts port_name
 stream_snapshots rules_dark rule_flags_loud rule_synergy ingest_inventory_ports ingest_inventory_disks win_threat_intel_ewma""".split()
 
 
