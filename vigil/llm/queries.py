@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, license_scan, line_dedup, packing, pii, sharding, simhash, toxicity
+from . import ann, decontam, html_extract, license_scan, line_dedup, packing, pii, prefix_trie, resample, sharding, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -67,5 +67,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_pii, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_nearest_neighbours, op10_packing)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_pii, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_nearest_neighbours, op10_packing, op11_conversation_trie, op12_importance_resampling, op13_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
