@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import written
 from .decontam import WORD_BYTES
@@ -184,7 +185,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     drawn = percent * scored.where(able).count() // 100
     order = [F.desc("score"), F.asc_nulls_last("doc_id")]
     rows = scored.where(able).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    rows = written(rows.mapInArrow(numbered, rows.schema.add("nth", "long")))
+    rows = written(rows.mapInArrow(numbered, StructType([*rows.schema.fields, StructField("nth", LongType())])))
     # one row for each partition of the sort
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
