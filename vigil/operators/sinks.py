@@ -32,7 +32,7 @@ def alerts(gated: DataFrame, ends: DataFrame) -> DataFrame:
     detail = F.format_string(
         "Alert: %s detected (Flows: %d, Unreplied: %.0f%%, Impact: %.2f%%)", "kind", "flows", c("unreplied_ratio") * 100, c("host_impact") * 100
     )
-    five = lambda x: F.round(x, 5)
+    five = lambda x: F.round(x + 1e-9, 5)  # noqa: E731  halves go up, also where a double lies just below one
     return rows.select(
         *key[:2], "snapshot_ts", addr.show(c("ip")).alias("fixed_ip"), "kind", "reason", detail.alias("detail"), "direction", "rule_id", "source",
         "synergy_scan", "synergy_physics", "threshold_flows", "local_scan_hits", "infra_hits", "infra_max_flows",

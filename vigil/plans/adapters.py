@@ -261,8 +261,8 @@ class Fleet:
         return self.counters.select("host_id", "ts", labels.alias("labels"), F.explode(F.array(*cells)).alias("m")).select("host_id", "ts", "m.metric", "m.type", "labels", "m.value")
 
 
-def plain(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """Columns as both engines give them: seconds for snapshots, BIGINT for addresses and integers, doubles of 4 places."""
+def plain(df: DataFrame, *columns: str | Column, places: int = 4) -> DataFrame:
+    """Columns as both engines give them: seconds for snapshots, BIGINT for addresses and integers, doubles of so many places."""
     df = df.select(*columns) if columns else df
     out = []
     for name, kind in df.dtypes:
@@ -274,6 +274,6 @@ def plain(df: DataFrame, *columns: str | Column) -> DataFrame:
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         elif kind in ("double", "float"):
-            c = F.round(c, 4)
+            c = F.round(c, places)
         out.append(c.alias(name))
     return df.select(*out)

@@ -20,11 +20,11 @@ ID = oracle.ID
 IDENT = ["host_id", "instance", "ip", "direction", "snapshot_ts"]
 
 
-def query(sql: str | None = None, raw: bool = False):
+def query(sql: str | None = None, raw: bool = False, places: int = 4):
     def add(f: Callable[[Fleet], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             got = f(Fleet(spark, sf_dir))
-            return got if raw else plain(got)
+            return got if raw else plain(got, places=places)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -700,8 +700,9 @@ def sink_metrics(f):
     return rows.groupBy("metric", "type").agg(F.count("*").alias("n"), F.round(total, 0).cast("long").alias("total"))
 
 
-@query(oracle_state.ALERTS)
+@query(oracle_state.ALERTS, places=5)
 def sink_alert_events(f):
+    """Records hold 5 places; they are compared as they are, since a second rounding meets ties."""
     return sinks.alerts(f.gated, features.alert_endpoints(f.remotes, f.host_ips))
 
 
