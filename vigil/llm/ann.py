@@ -15,8 +15,10 @@ hashing must look at a good part of the rows for a recall of 0.9; the defaults d
 neighbours are closer, fewer ``probes`` do.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
-components take no part, neither do null ids. Rows that repeat an id count once for each
-distinct vector. An empty table gives an empty result.
+components take no part, neither do null ids. Components may be as small or large as doubles are.
+Rows that repeat an id count once for each distinct vector. Ties go to the smaller id. An empty
+table gives an empty result. Very long vectors are rows like others; a block of BLOCK of them is
+one matrix. Columns other than the two that are named are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ class Hashes:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    """The vectors, each scaled by a power of two to components of about 1: cosines stay the same to the last bit, and no square is too small or too large."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _points(dim: int, keep: int):
@@ -196,8 +200,13 @@ def search(
     have = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
     short = checkpoint(queries.join(have.where(F.col("n") >= keep), queries["rep"] == have["query"], "left_anti"))
     if not short.isEmpty():
-        cell = [F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "rep", "vec"]
-        all_rows = meet(blocks(points.select(*cell), "members", ["tab", "bucket"]), blocks(short.select(*cell), "queries", ["tab", "bucket"]), dim, keep)
+        # the points are dealt into parts, and the queries that are short meet each of them
+        parts = points.count() // BLOCK + 1
+        part = F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("bucket")
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("bucket")
+        members = points.select(F.lit(0).alias("tab"), part, "rep", "vec")
+        asking = short.select(F.lit(0).alias("tab"), every_part, "rep", "vec")
+        all_rows = meet(blocks(members, "members", ["tab", "bucket"]), blocks(asking, "queries", ["tab", "bucket"]), dim, keep)
         found = found.join(short, found["query"] == short["rep"], "left_anti").unionByName(checkpoint(best(all_rows)))
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
