@@ -7,8 +7,10 @@ main element, or a class that names content, raises it. The best container gives
 with those siblings whose value is a fifth of its own, and sibling headings and sentences that
 are no links. Menus, headers and footers of the page, sidebars, forms, scripts, styles and
 reader comments are taken out by element, role and class before scoring, and so are adverts,
-notices and share bars; within an article, a class of the doubtful kind takes out only what is
-short or mostly links.
+notices and share bars, be they containers or single lines. A class name decides as a whole: all of its
+words must name such a thing or its place, so that of "ad-slot-2" and "ad-free-guide" only the first
+goes. Names that are not certain take out what sentences do not fill, and below the best container
+so do blocks of links, whatever their names or sizes.
 
 Character references are decoded, white space within a block becomes one blank, and blocks
 are joined in page order by a line end. Line breaks inside a block are white space. A tag or
@@ -24,8 +26,8 @@ read, so extra columns take no part and cannot clash.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -52,20 +54,27 @@ CLOSES = {
     "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"},
 }
 SPACES = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dd": {"dl"}, "dt": {"dl"}}
-REACH = 64  # open elements that an implied end looks through
-
-#: Words of a class or id that mark what is not the article, those that do so only of short or linked text within it, and those that mark it.
+#: Words that name what is not the article, those that do so unless sentences fill the element, and readers' comments.
 UNWANTED = frozenset(
-    "ad ads adbox adslot advert advertisement advertising breadcrumb breadcrumbs consent cookie cookies disqus masthead nav navbar "
-    "navigation newsletter outbrain pager promo promoted promotion recommendations recommended share sharing sidebar signup social "
-    "sponsor sponsored subscribe subscription taboola".split()
+    "ad ads adbox adslot advert advertisement advertisements advertising alert alerts banner breadcrumb breadcrumbs consent cookie cookies gdpr login "
+    "masthead modal nav navbar navigation newsletter notice notices notification notifications outbrain pager pagination paywall popup promo promos "
+    "promoted promotion recommendations recommended share sharing sidebar signin signup skip skyscraper social sponsor sponsored subscribe subscription "
+    "taboola toolbar".split()
 )
-DOUBTFUL = frozenset("alert banner feedback login menu modal notice notification pagination popup rail related search skip toolbar widget".split())
+DOUBTFUL = frozenset("feedback menu more rail related search tags widget".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 OUTSIDE_ONLY = frozenset("header footer".split())
 WANTED = frozenset("article body content entry main post story text".split())
-COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words of a name that say where or how something stands, not what it is.
+NEUTRAL = WANTED | frozenset(
+    "a and area articles aside author bar block blocks body bottom box btn button buttons card cards center class col column container count cta cell "
+    "element first footer form grid group head header heading home icon icons id image img in inline inner item items js last layout left level line link "
+    "links list lists long meta mobile module new news next of off on outer overlay page panel posts prev previous primary reader region right row secondary section "
+    "sections sm small site slot stack sticky stories strip system tab the thread title to top tree unit user users view web wide wrap wrapper xl xs".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
+SENTENCE = (".", "!", "?", "…", "。", "！", "？", '."', '!"', '?"', ".”", "!”", "?”")
 PASSED_ON, BONUS, WANTED_BONUS, SIBLING_SHARE = 2 / 3, {"article": 4.0, "main": 2.0}, 1.25, 0.2
 KEEP, DOUBT, SKIP = 0, 1, 2
 
@@ -73,11 +82,11 @@ KEEP, DOUBT, SKIP = 0, 1, 2
 class Node:
     """A block element; ``fate``: kept, skipped, or taken out if it turns out short or linked."""
 
-    __slots__ = ("tag", "parent", "fate", "inside", "wanted", "score", "chars", "linked", "kept")
+    __slots__ = ("tag", "parent", "fate", "inside", "wanted", "score", "chars", "linked", "told", "kept")
 
     def __init__(self, tag: str, parent: Node | None, fate: int, inside: bool, wanted: bool = False):
         self.tag, self.parent, self.fate, self.inside, self.wanted = tag, parent, fate, inside, wanted
-        self.score, self.chars, self.linked, self.kept = 0.0, 0, 0, False
+        self.score, self.chars, self.linked, self.told, self.kept = 0.0, 0, 0, 0, False
 
     def value(self) -> float:
         if not self.chars:
@@ -85,10 +94,18 @@ class Node:
         return self.score * (1 - self.linked / self.chars) * BONUS.get(self.tag, WANTED_BONUS if self.wanted else 1.0)
 
     def goes(self) -> bool:
-        if self.fate != DOUBT:
-            return self.fate == SKIP
-        links = self.linked / self.chars if self.chars else 0
-        return links > 0.5 if self.tag in LEAVES else links > 0.3 or self.chars < 200
+        """Of doubtful ones those go that sentences do not fill; of all below a list or line, link blocks."""
+        if self.fate == DOUBT:
+            return self.linked > 0.3 * self.chars or self.told <= 0.5 * self.chars
+        return self.fate == SKIP
+
+    def only_links(self) -> bool:
+        return self.tag not in HEADINGS and self.linked > 0.5 * self.chars and self.told <= 0.5 * self.chars
+
+
+def words_of(name: str) -> frozenset[str]:
+    """The words of one class name; numbers do not count."""
+    return frozenset(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w)
 
 
 def fate_of(tag: str, attrs: str, inside: bool) -> tuple[int, bool]:
@@ -104,15 +121,18 @@ def fate_of(tag: str, attrs: str, inside: bool) -> tuple[int, bool]:
         return SKIP, False
     if named.get("role", "").lower() in ROLES:
         return SKIP, False
-    marks = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{named.get('class', '')} {named.get('id', '')}").lower()))
-    wanted = bool(marks & WANTED)
+    names = [words_of(name) for name in f"{named.get('class', '')} {named.get('id', '')}".split()]
+    wanted = any(name & WANTED for name in names)
+    is_a = lambda kind: any(name & kind and name <= kind | NEUTRAL for name in names)
+    if is_a(COMMENTS):
+        return SKIP, False
     if tag in ("article", "main"):
-        return (SKIP if marks & COMMENTS else KEEP), wanted
-    if marks & UNWANTED or marks & COMMENTS:
-        return (DOUBT if inside and tag in LEAVES else SKIP), False
-    if marks & DOUBTFUL:
+        return KEEP, wanted
+    if is_a(UNWANTED):
+        return SKIP, False
+    if is_a(DOUBTFUL):
         return (DOUBT if inside or wanted else SKIP), False
-    return (SKIP if not inside and not wanted and marks & OUTSIDE_ONLY else KEEP), wanted
+    return (SKIP if not inside and is_a(OUTSIDE_ONLY) else KEEP), wanted
 
 
 class Parser:
@@ -122,7 +142,8 @@ class Parser:
         self.html, self.size, self.quotes = html, len(html), True
         self.last_end = html.rfind(">")
         self.nodes = [Node("html", None, KEEP, False)]
-        self.stack, self.open = [self.nodes[0]], Counter()
+        self.stack = [self.nodes[0]]
+        self.open: dict[str, list[int]] = defaultdict(list)  # where each kind of element is open
         self.found: list[tuple[Node, str, int]] = []  # element, text, characters in links
         self.held: list[str] = []
         self.linked, self.links = 0, False
@@ -148,14 +169,17 @@ class Parser:
         top = self.stack[-1]
         node = Node(tag, top, SKIP if top.fate == SKIP else fate, top.inside or tag in ("article", "main"), wanted)
         self.nodes.append(node)
+        self.open[tag].append(len(self.stack))
         self.stack.append(node)
-        self.open[tag] += 1
 
     def pop_to(self, depth: int) -> None:
         for node in self.stack[depth:]:
-            self.open[node.tag] -= 1
+            self.open[node.tag].pop()
         del self.stack[depth:]
 
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+
     def tag_end(self, at: int) -> int:
         """Behind the ">" of the tag whose attributes start here; quoted values may hold one."""
         stop = STOP.search(self.html, at) if self.quotes else None
@@ -190,7 +214,7 @@ class Parser:
             if tag in BLOCKS:
                 self.flush()
             if self.open[tag]:
-                self.pop_to(next(k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == tag))
+                self.pop_to(self.open[tag][-1])
 
     def start_tag(self, tag: str, attrs: str, at: int) -> int:
         """Where to go on."""
@@ -207,14 +231,10 @@ class Parser:
             self.flush()
             if self.stack[-1].tag == "p":
                 self.pop_to(len(self.stack) - 1)
-            if tag in CLOSES and any(self.open[t] for t in CLOSES[tag]):
-                for k in range(len(self.stack) - 1, max(len(self.stack) - REACH, 0), -1):
-                    if self.stack[k].tag in SPACES.get(tag, {"table", "select"}):
-                        break
-                    if self.stack[k].tag in CLOSES[tag]:
-                        self.pop_to(k)
-                        if not tag.startswith("t"):
-                            break
+            while tag in CLOSES and self.innermost(CLOSES[tag]) > self.innermost(SPACES.get(tag, ("table", "select"))):
+                self.pop_to(self.innermost(CLOSES[tag]))
+                if not tag.startswith("t"):
+                    break
             if tag not in VOID:
                 self.push(tag, *fate_of(tag, attrs, self.stack[-1].inside))
         elif tag == "a":
@@ -262,13 +282,17 @@ def main_text(html: str | None) -> str:
     for node, text, linked in page.found:
         node.chars += len(text)
         node.linked += linked
+        if text.endswith(SENTENCE):
+            node.told += len(text)
     for node in reversed(nodes[1:]):  # children before parents
         node.parent.chars += node.chars
         node.parent.linked += node.linked
+        node.parent.told += node.told
     for node in nodes:
         if node.goes() or node.parent and node.parent.fate == SKIP:
             node.fate = SKIP
     blocks = [b for b in page.found if b[0].fate != SKIP]
+    links = [node.only_links() for node in nodes]
     for node in nodes:
         node.chars = node.linked = 0
     for node, text, linked in blocks:
@@ -295,7 +319,11 @@ def main_text(html: str | None) -> str:
             node is best or node.parent is not None and node.parent.kept or beside and node.value() >= least > 0
             or node.tag in HEADINGS and bool(text) or node.tag in LEAVES and text.endswith((".", "!", "?"))
         )
-    return "\n".join(text for node, text, _ in blocks if node.kept)
+    # below the best container link blocks go as well, unless nothing else is there
+    for node, only in zip(nodes, links):
+        if node.parent is not None and node is not best and (only and best.linked <= 0.5 * best.chars or node.parent.fate == SKIP):
+            node.fate = SKIP
+    return "\n".join(text for node, text, _ in blocks if node.kept and node.fate != SKIP)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
