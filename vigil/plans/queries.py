@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ip as addr
@@ -750,11 +750,26 @@ def stream_snapshots(f):
     return state.replay(f.flows.select("host_id", "snapshot_ts"), lambda s: state.snapshots(state.on_time(s)))
 
 
-@query(f"SELECT {ID}, round(signal, 3) AS signal FROM sig")
+_CHAIN = f"""SELECT s.host_id, s.instance, s.ip, s.direction, s.ts, s.new_remotes, s.new_ports, round(s.signal, 3) AS signal, g.kind, g.hits, g.required,
+       g.priority, g.emitted, g.emit_reason, g.suppress_reason FROM sig s LEFT JOIN gated g ON {oracle.same('s', 'g')}"""
+
+
+def _thirds(f: Fleet, ts: str = "snapshot_ts") -> list[Column]:
+    """Three micro-batches of the snapshots, in order."""
+    cut = [adapters.START + 15 * n for n in (9, 18)]
+    at = F.unix_timestamp(ts)
+    return [at < cut[0], (at >= cut[0]) & (at < cut[1]), at >= cut[1]]
+
+
+@query(_CHAIN)
 def stream_behavior_state(f):
-    from ..streaming import state
+    """The whole chain over three micro-batches: prior sets, averages, persistence and the emit gate as streaming state."""
+    from ..streaming import behavior, state
 
-    return state.replay(f.features, state.behavior_state).select(*IDENT, F.round("signal", 3).alias("signal"))
+    conf = {"spark__sql__streaming__stateStore__providerClass": behavior.ROCKS, "spark__sql__shuffle__partitions": "8"}
+    rows = state.replay(behavior.inputs(f.features, f.remotes, f.ports), lambda s: behavior.chain(s, f.config), _thirds(f), "append", **conf)
+    names = "new_remotes new_ports kind hits required priority emitted emit_reason suppress_reason".split()
+    return rows.select(*IDENT, *names, F.round("signal", 3).alias("signal"))
 
 
 @query("SELECT host_id, instance, ts AS at, round(overall, 4) AS overall, top_axis, band FROM res")

@@ -10,10 +10,11 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -90,18 +91,50 @@ def against_current_lists(flows: DataFrame, read_list: Callable[[], DataFrame],
 
 
 def shared(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vigil-stream-")
+    """A new folder that the whole cluster can write to, as the session or its context names it; a temporary one in local mode only."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if not top and sc._jsc.sc().getCheckpointDir().isDefined():
+        top = sc._jsc.sc().getCheckpointDir().get()
+    if not top:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="vigil-stream-")
     return f"{top}/{uuid.uuid4().hex}"
 
 
-def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows written out, streamed through ``build`` until none are left, and what came out."""
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session for a while; names have __ for dots."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame], slices: Sequence[Column] = (), mode: str = "update", **conf: str) -> DataFrame:
+    """rows written out, streamed through ``build`` until none are left, and what came out.
+
+    ``slices`` are conditions, one for each part that is written by itself and read as a
+    micro-batch of its own, in that order; without any there is one part.
+    """
     spark, folder = rows.sparkSession, shared(rows.sparkSession)
-    rows.write.parquet(f"{folder}/in")
-    stream = build(spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"))
+    if slices:
+        rows.write.parquet(f"{folder}/all")
+        rows = spark.read.parquet(f"{folder}/all")
+    for part in slices or (None,):
+        (rows if part is None else rows.where(part).coalesce(1)).write.mode("append").parquet(f"{folder}/in")
+    reader = spark.readStream.schema(rows.schema)
+    stream = build((reader.option("maxFilesPerTrigger", 1) if slices else reader).parquet(f"{folder}/in"))
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")  # a batch that is run again replaces itself
 
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    with settings(spark, **conf):
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
