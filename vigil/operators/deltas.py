@@ -139,3 +139,13 @@ def presence_islands(active: DataFrame, cycles: DataFrame, key: list[str]) -> Da
     away = F.col("_no") - F.lag("_no").over(order) > 1
     rows = active.join(numbers, ["host_id", "snapshot_ts"]).withColumn("_away", F.when(away, 1).otherwise(0))
     return rows.withColumn("island", F.sum("_away").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_no", "_away")
+
+
+def absences(active: DataFrame, cycles: DataFrame, key: list[str] = INSTANCE) -> DataFrame:
+    """The first cycle of each absence of a key: key and snapshot_ts. What presence_islands is to batches, this is to streams."""
+    numbers = cycles.select("host_id", "snapshot_ts").distinct()
+    numbers = numbers.withColumn("_no", F.row_number().over(Window.partitionBy("host_id").orderBy("snapshot_ts")))
+    after = F.lead("_no").over(Window.partitionBy(*key).orderBy("_no"))
+    rows = active.select(*key, "snapshot_ts").join(numbers, ["host_id", "snapshot_ts"]).withColumn("_after", after)
+    gone = rows.where("_after is null or _after > _no + 1").select(*key, (F.col("_no") + 1).alias("_no"))
+    return gone.join(numbers, ["host_id", "_no"]).select(*key, "snapshot_ts")

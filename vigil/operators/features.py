@@ -130,13 +130,19 @@ def darkspace(ports: DataFrame, monitored: DataFrame) -> DataFrame:
     return got.select(*SNAPSHOT, "dark_flows", "dark_ports", F.col("b.port").alias("top_dark_port"), (-F.col("b.minus")).alias("max_single_dark_port"))
 
 
-def snapshot_numbers(remotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Each identity's snapshots, numbered; a gap over the prior's time to live starts anew."""
+def snapshot_numbers(remotes: DataFrame, config: Config = DEFAULT, islands: DataFrame | None = None) -> DataFrame:
+    """Each identity's snapshots, numbered; a gap over the prior's time to live starts anew, and so does another island of presence.
+
+    islands: host_id, instance, snapshot_ts, island, as deltas.presence_islands gives them.
+    """
     order = Window.partitionBy(*IDENTITY).orderBy("snapshot_ts")
     seen = remotes.select(*SNAPSHOT).distinct()
+    seen = seen.withColumn("island", F.lit(0)) if islands is None else seen.join(islands.select("host_id", "instance", "snapshot_ts", "island"), ["host_id", "instance", "snapshot_ts"])
     before = F.lag("snapshot_ts").over(order)
     gap = F.unix_timestamp("snapshot_ts") - F.unix_timestamp(before)
-    return seen.withColumn("snapshot_no", F.row_number().over(order)).withColumn("is_first", before.isNull() | (gap > config.prior_ttl_s))
+    away = F.col("island") != F.lag("island").over(order)
+    numbered = seen.withColumn("snapshot_no", F.row_number().over(order)).withColumn("is_first", before.isNull() | (gap > config.prior_ttl_s) | away)
+    return numbered.select(*SNAPSHOT, "snapshot_no", "is_first")
 
 
 def _new(rows: DataFrame, numbers: DataFrame, item: str, out: str) -> DataFrame:
@@ -148,13 +154,13 @@ def _new(rows: DataFrame, numbers: DataFrame, item: str, out: str) -> DataFrame:
     return numbered.withColumn("_new", fresh).groupBy(*SNAPSHOT).agg(F.count_if("_new").alias(out))
 
 
-def new_remotes(remotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    got = _new(remotes, snapshot_numbers(remotes, config), "remote", "n")
+def new_remotes(remotes: DataFrame, config: Config = DEFAULT, islands: DataFrame | None = None) -> DataFrame:
+    got = _new(remotes, snapshot_numbers(remotes, config, islands), "remote", "n")
     return got.select(*SNAPSHOT, F.least("n", F.lit(config.remote_ceiling)).alias("new_remotes"), (F.col("n") >= config.remote_ceiling).alias("new_remotes_saturated"))
 
 
-def new_ports(ports: DataFrame, remotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    return _new(ports, snapshot_numbers(remotes, config), "port", "new_ports")
+def new_ports(ports: DataFrame, remotes: DataFrame, config: Config = DEFAULT, islands: DataFrame | None = None) -> DataFrame:
+    return _new(ports, snapshot_numbers(remotes, config, islands), "port", "new_ports")
 
 
 def port_overlap(ports: DataFrame, remotes: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -196,7 +202,7 @@ NUMBERS = (
 
 
 def features(
-    events: DataFrame, host_ips: DataFrame, monitored: DataFrame, totals: DataFrame, table_max: DataFrame, config: Config = DEFAULT
+    events: DataFrame, host_ips: DataFrame, monitored: DataFrame, totals: DataFrame, table_max: DataFrame, config: Config = DEFAULT, islands: DataFrame | None = None
 ) -> DataFrame:
     """The whole feature vector. totals is (host_id, snapshot_ts, instance, flows); table_max (host_id, table_max)."""
     # one aggregate over remotes and one over ports carry all but what is new since the snapshot before
@@ -215,7 +221,7 @@ def features(
     own = own.withColumns({
         "top_port": F.col("_top.port"), "max_single_port": -F.col("_top.minus"), "top_dark_port": F.col("_dark.port"), "max_single_dark_port": -F.col("_dark.minus"),
     }).drop("_top", "_dark")
-    out = out.join(new_remotes(remotes, config), SNAPSHOT).join(own, SNAPSHOT, "left").join(new_ports(ports, remotes, config), SNAPSHOT, "left")
+    out = out.join(new_remotes(remotes, config, islands), SNAPSHOT).join(own, SNAPSHOT, "left").join(new_ports(ports, remotes, config, islands), SNAPSHOT, "left")
     out = out.fillna(0, NUMBERS).join(totals.withColumnRenamed("flows", "instance_flows"), ["host_id", "snapshot_ts", "instance"], "left")
     out = out.join(table_max.select("host_id", "table_max"), "host_id", "left")
     acct = F.lit(config.accounting)

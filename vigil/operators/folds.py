@@ -187,9 +187,9 @@ def emit_step(config: Config) -> Callable[[dict, dict], dict]:
     return step
 
 
-def emit_gate(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def emit_gate(hits: DataFrame, config: Config = DEFAULT, key: list[str] = IDENTITY) -> DataFrame:
     timed = hits.withColumn("t", F.unix_timestamp("snapshot_ts"))
-    return fold(timed, IDENTITY, ["snapshot_ts"], emit_step(config), "emitted boolean, emit_reason string, suppress_reason string").drop("t")
+    return fold(timed, key, ["snapshot_ts"], emit_step(config), "emitted boolean, emit_reason string, suppress_reason string").drop("t")
 
 
 def throttle_step(config: Config) -> Callable[[dict, dict], dict]:

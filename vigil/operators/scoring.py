@@ -58,17 +58,17 @@ def priority_basis(sev: Column, conf: Column) -> Column:
     return F.when((sev >= 75) & (conf < 50), "severity").when((conf >= 75) & (sev < 50), "confidence").otherwise("mixed")
 
 
-def persistence(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Adds hits: how many times in a row an identity's kind has fired, gaps up to the limit allowed."""
-    order = Window.partitionBy(*IDENTITY, "kind").orderBy("snapshot_ts")
+def persistence(hits: DataFrame, config: Config = DEFAULT, key: list[str] = IDENTITY) -> DataFrame:
+    """Adds hits: how many times in a row an identity's kind has fired, gaps up to the limit allowed. key may add the island of presence."""
+    order = Window.partitionBy(*key, "kind").orderBy("snapshot_ts")
     gap = F.unix_timestamp("snapshot_ts") - F.unix_timestamp(F.lag("snapshot_ts").over(order))
     island = F.sum(F.when(gap > config.persist_gap_s, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("_island", island).withColumn("hits", F.row_number().over(Window.partitionBy(*IDENTITY, "kind", "_island").orderBy("snapshot_ts"))).drop("_island")
+    return hits.withColumn("_island", island).withColumn("hits", F.row_number().over(Window.partitionBy(*key, "kind", "_island").orderBy("snapshot_ts"))).drop("_island")
 
 
-def score_alerts(classified: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def score_alerts(classified: DataFrame, config: Config = DEFAULT, key: list[str] = IDENTITY) -> DataFrame:
     """Rule hits with their scores, priority and the hits they need."""
-    out = persistence(classified.where("kind is not null"), config)
+    out = persistence(classified.where("kind is not null"), config, key)
     out = out.withColumns({"severity_score": alert_severity(), "confidence_score": alert_confidence(c("hits"))})
     sev, conf = c("severity_score"), c("confidence_score")
     out = out.withColumns({"severity_band": severity_band(sev), "priority": priority(sev, conf), "priority_basis": priority_basis(sev, conf)})

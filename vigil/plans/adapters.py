@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import IDENTITY, Config
 from ..functions import ip as addr
 from ..operators import attribution, classifier, deltas, features, folds, scoring, threat
 from ..sources.builtin_ports import BUILTIN
@@ -261,6 +261,50 @@ class Fleet:
         return self.counters.select("host_id", "ts", labels.alias("labels"), F.explode(F.array(*cells)).alias("m")).select("host_id", "ts", "m.metric", "m.type", "labels", "m.value")
 
 
+#: A machine is away from the inventory in every fifth cycle, each in another one.
+AWAY_EVERY = 5
+
+
+class ComingAndGoing(Fleet):
+    """The fleet with machines that leave and return, and take their state with them."""
+
+    @cached_property
+    def active(self) -> DataFrame:
+        cycles = self.flows.select("host_id", "snapshot_ts").distinct()
+        every = self.instances.select("host_id", "instance").join(cycles, "host_id")
+        n = (F.unix_timestamp("snapshot_ts") - START) / 15 + F.substring("instance", 3, 9).cast("int")
+        return every.where(n % AWAY_EVERY != 0)
+
+    @cached_property
+    def islands(self) -> DataFrame:
+        return deltas.presence_islands(self.active, self.flows, ["host_id", "instance"])
+
+    @cached_property
+    def absences(self) -> DataFrame:
+        return deltas.absences(self.active, self.flows)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return attribution.identity_events(self.attributed, self.config.accounting).join(self.active, ["host_id", "instance", "snapshot_ts"], "left_semi")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return features.features(self.events, self.host_ips, self.monitored, self.totals, self.table_max, self.config, self.islands)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        rows = self.features.join(self.islands.select("host_id", "instance", "snapshot_ts", "island"), ["host_id", "instance", "snapshot_ts"])
+        return folds.flow_ewma(rows, self.config, [*IDENTITY, "island"])
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        return scoring.score_alerts(self.classified, self.config, [*IDENTITY, "island"])
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        return folds.emit_gate(self.alerts, self.config, [*IDENTITY, "island"])
+
+
 def plain(df: DataFrame, *columns: str | Column, places: int = 4) -> DataFrame:
     """Columns as both engines give them: seconds for snapshots, BIGINT for addresses and integers, doubles of so many places."""
     df = df.select(*columns) if columns else df

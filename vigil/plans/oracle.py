@@ -259,4 +259,16 @@ def with_tables(sql: str) -> str:
 
     need(sql)
     order = [n for n in CTE if n in found]
+    return _text(order, CTE, sql)
+
+
+def coming_and_going(sql: str) -> str:
+    """The same statement over machines that are away in every fifth cycle: an island of presence is an identity of its own, named in the instance."""
+    n = f"((ts - {a.START}) // 15 + CAST(substr(instance, 3) AS BIGINT))"
+    whole = with_tables(sql)
+    here = f"SELECT * REPLACE (instance || '#' || CAST({n} // {a.AWAY_EVERY} AS VARCHAR) AS instance) FROM ({CTE['ev']}) WHERE {n} % {a.AWAY_EVERY} <> 0"
+    return whole.replace(CTE["ev"], here).replace("o.instance = s.instance", "o.instance = split_part(s.instance, '#', 1)")
+
+
+def _text(order: list[str], CTE: dict[str, str], sql: str) -> str:
     return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({CTE[n]})" for n in order) + " " if order else "") + sql

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, Config
 from ..functions import ip as addr
 from ..functions import scalars
 from ..operators import attribution, catalogue, classifier, deltas, features, fleet, folds, scoring, sinks, threat
 from ..sources.builtin_ports import BUILTIN
 from . import adapters, metric_frames, oracle, oracle_state
-from .adapters import Fleet, plain
+from .adapters import ComingAndGoing, Fleet, plain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,15 +21,15 @@ ID = oracle.ID
 IDENT = ["host_id", "instance", "ip", "direction", "snapshot_ts"]
 
 
-def query(sql: str | None = None, raw: bool = False, places: int = 4):
+def query(sql: str | None = None, raw: bool = False, places: int = 4, fleet: type[Fleet] = Fleet, config: Config = DEFAULT):
     def add(f: Callable[[Fleet], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            got = f(Fleet(spark, sf_dir))
+            got = f(fleet(spark, sf_dir, config))
             return got if raw else plain(got, places=places)
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE[f.__name__] = oracle.with_tables(sql)
+            ORACLE[f.__name__] = oracle.coming_and_going(sql) if fleet is ComingAndGoing else oracle.with_tables(sql)
         return f
 
     return add
@@ -764,14 +765,34 @@ def _thirds(f: Fleet, ts: str = "snapshot_ts") -> list[Column]:
 @query(_CHAIN)
 def stream_behavior_state(f):
     """The whole chain over three micro-batches: prior sets, averages, persistence and the emit gate as streaming state."""
+    return _streamed(f)
+
+
+def _streamed(f: Fleet, absences: DataFrame | None = None) -> DataFrame:
     from ..streaming import behavior, state
 
     conf = {"spark__sql__streaming__stateStore__providerClass": behavior.ROCKS, "spark__sql__shuffle__partitions": "8"}
-    rows = state.replay(behavior.inputs(f.features, f.remotes, f.ports), lambda s: behavior.chain(s, f.config), _thirds(f), "append", **conf)
+    rows = state.replay(behavior.inputs(f.features, f.remotes, f.ports, absences), lambda s: behavior.chain(s, f.config), _thirds(f), "append", **conf)
     names = "new_remotes new_ports kind hits required priority emitted emit_reason suppress_reason".split()
     return rows.select(*IDENT, *names, F.round("signal", 3).alias("signal"))
 
 
+_PRESENT = _CHAIN.replace("s.instance, s.ip", "split_part(s.instance, '#', 1) AS instance, s.ip")
+
+
+@query(_PRESENT, fleet=ComingAndGoing)
+def win_presence_state(f):
+    """The chain in batch where machines leave and return: the island of presence is part of every state's key."""
+    hits = f.gated.select(*IDENT, "kind", "hits", "required", "priority", "emitted", "emit_reason", "suppress_reason")
+    return f.scored.select(*IDENT, "new_remotes", "new_ports", F.round("signal", 3).alias("signal")).join(hits, IDENT, "left")
+
+
+@query(_PRESENT, fleet=ComingAndGoing)
+def stream_presence_state(f):
+    """The same from the stream, where a machine that is absent takes its state with it."""
+    return _streamed(f, f.absences)
+
+
 @query("SELECT host_id, instance, ts AS at, round(overall, 4) AS overall, top_axis, band FROM res")
 def stream_resource_state(f):
     from ..streaming import state
