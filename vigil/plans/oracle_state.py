@@ -190,3 +190,16 @@ SELECT host_id, instance, ts, {address('ip')} AS fixed_ip, kind, reason,
        {five('packets_per_flow')} AS packets_per_flow, unique_remotes > 32768 AS remote_map_capped,
        CASE WHEN unique_remotes <= 32768 THEN max_single_remote END AS max_flows_single_remote, max_single_port AS max_flows_single_port,
        {address('src')} AS src_ip, {address('dst')} AS dst_ip FROM told"""
+
+
+CTE["moments"] = """
+SELECT host_id, instance, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY host_id, instance ORDER BY ts) AS no,
+       CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY host_id, instance ORDER BY ts))) AS BIGINT) AS gap FROM counters"""
+CTE["renewals"] = """
+SELECT host_id, instance, no, t AS sent, false AS reported FROM moments WHERE no = 1
+UNION ALL SELECT m.host_id, m.instance, m.no, CASE WHEN m.t - r.sent <= 3600 THEN r.sent ELSE m.t END, m.t - r.sent <= 3600
+FROM renewals r JOIN moments m ON m.host_id = r.host_id AND m.instance = r.instance AND m.no = r.no + 1"""
+#: Which clocks still run when a machine is seen again.
+CLOCKS = """
+SELECT m.host_id, m.instance, m.t, coalesce(gap <= 7200, false) AS averages, coalesce(gap <= 86400, false) AS priors, coalesce(gap <= 3600, false) AS persistence, reported
+FROM moments m JOIN renewals r ON r.host_id = m.host_id AND r.instance = m.instance AND r.no = m.no"""

@@ -768,6 +768,18 @@ def stream_behavior_state(f):
     return _streamed(f)
 
 
+@query(oracle_state.CLOCKS)
+def stream_ttl_timers(f):
+    """The clocks of the four kinds of state over machines that are seen at odd times, for a month."""
+    from ..streaming import behavior, state
+
+    rows = f.counters.select("host_id", "instance", F.col("ts").alias("snapshot_ts"))
+    day = F.dayofmonth("snapshot_ts")
+    conf = {"spark__sql__streaming__stateStore__providerClass": behavior.ROCKS, "spark__sql__shuffle__partitions": "8"}
+    got = state.replay(rows, lambda s: behavior.clocks(s, f.config), [day <= 10, (day > 10) & (day <= 20), day > 20], "append", **conf)
+    return got.select("host_id", "instance", "t", *behavior.Alive.KINDS)
+
+
 def _streamed(f: Fleet, absences: DataFrame | None = None) -> DataFrame:
     from ..streaming import behavior, state
 

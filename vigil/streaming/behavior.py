@@ -258,3 +258,33 @@ def reports(stream: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def chain(stream: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """inputs() as a stream -> every feature row with what is new, its signal, rule hit, persistence and report."""
     return reports(baselines(stream, config), config)
+
+
+class Alive(Clocks):
+    """Which of the four kinds of state a row finds alive, before it renews them; a report is renewed only when its clock has run out."""
+
+    KINDS = ("averages", "priors", "persistence", "reported")
+    ADDED = ", ".join(f"{k} boolean" for k in KINDS)
+
+    def __init__(self, names: list[str], config: Config = DEFAULT):
+        super().__init__(names, config)
+        ttl = config.ewma_ttl_s, config.prior_ttl_s, config.persist_ttl_s, config.emit_ttl_s
+        self.STATES = {k: ("name string", "t long", s) for k, s in zip(self.KINDS, ttl)}
+
+    def step(self, frame: pd.DataFrame) -> pd.DataFrame:
+        out, due = [], None
+        for t in frame["t"].tolist():
+            found = {k: self.alive(k, (k,), t) is not None for k in self.KINDS}
+            for k in self.KINDS:
+                if k != "reported" or not found[k]:
+                    self.maps[k].updateValue((k,), (t,))
+            out.append(found)
+            first = t + int(min(s for _, _, s in self.STATES.values())) + 1
+            due = first if due is None else min(due, first)
+        self.wake(due)
+        return pd.DataFrame(out, columns=self.added)
+
+
+def clocks(stream: DataFrame, config: Config = DEFAULT, delay: str = "1 minute") -> DataFrame:
+    """stream (host_id, instance, snapshot_ts) and which kinds of state each row finds alive."""
+    return _stage(stream.withColumn("t", F.unix_timestamp("snapshot_ts")).withWatermark("snapshot_ts", delay), Alive, config)
