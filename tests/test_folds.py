@@ -96,3 +96,37 @@ def test_state_survives_micro_batches(spark, tmp_path):
         e = x if e is None else e + 0.1 * (x - e)
         want.append(e)
     assert got == want
+
+
+def history(spark, n=400):
+    """A machine with a third of all rows and others with a few, with idle times over the limit and axes that only count where accounting is on."""
+    import random
+
+    g, rows = random.Random(5), []
+    for machine in range(40):
+        t = 0
+        for _ in range(n if machine == 0 else n // 20):
+            t += g.choice([15, 15, 15, 60, 900, 7200, 7201, 20000])
+            bytes_ = g.choice([0.0, 100.0, 5000.0])
+            rows.append(("h", f"vm{machine}", bytearray(16), "outbound", at(t), g.randint(1, 500), g.randint(1, 90), g.randint(0, 30), g.random(), bytes_, bytes_ / 70, g.random() < 0.8))
+    columns = "host_id string, instance string, ip binary, direction string, snapshot_ts timestamp, flows int, unique_remotes int, unique_ports int, unreplied_ratio double, bytes_per_flow double, packets_per_flow double, accounting boolean"
+    return spark.createDataFrame(rows, columns)
+
+
+def test_slices_of_any_size_give_the_same_averages(spark):
+    df = history(spark)
+    names = [c.split()[0] for c in folds.EWMA_COLUMNS.split(", ")]
+    key = ["instance", "snapshot_ts"]
+    want = {tuple(r[k] for k in key): [r[n] for n in names] for r in folds.flow_ewma(df).collect()}
+    for size in (30, 3600, 86400, 10**9):
+        got = folds.flow_ewma_sliced(df, slice_s=size)
+        assert got.columns == [*df.columns, *names]
+        rows = {tuple(r[k] for k in key): [r[n] for n in names] for r in got.collect()}
+        assert rows.keys() == want.keys()
+        assert max(abs(a - b) / max(1.0, abs(a)) for k in want for a, b in zip(want[k], rows[k])) < 1e-9
+
+
+def test_a_long_history_is_worked_on_by_several_tasks(spark):
+    with state.settings(spark, spark__sql__adaptive__enabled="false"):  # else so few rows are put together again
+        parts = folds.flow_ewma_sliced(history(spark), slice_s=86400).where("instance = 'vm0'").groupBy(F.spark_partition_id()).count().count()
+    assert parts > 1

@@ -2,7 +2,12 @@
 
 Rows are dealt by key and sorted within partitions; a task keeps one key's state at a time
 and streams through its rows, however many there are. The step functions are plain Python
-and shared with the streaming operators.
+and shared with the streaming operators; each names the columns that it reads, and no other
+leaves the Arrow batch.
+
+Averages are affine maps of the state before, so a key's history can also be cut into slices of time:
+``flow_ewma_sliced`` composes the maps of each slice in parallel, carries the states over slices, and
+then fills in the rows of all slices at once.
 """
 
 from __future__ import annotations
@@ -10,31 +15,47 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, IDENTITY, Config
 
 
-def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[dict, dict], dict], added: str) -> DataFrame:
-    """df with the columns of ``step(state, row)``; state is a dict that is empty at the first row of a key."""
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
-    names = [f.name for f in StructType.fromDDL(added).fields]
+def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[dict, dict], dict], added: str, start: Callable[[dict], dict] = lambda row: {}) -> DataFrame:
+    """df with the columns of ``step(state, row)``; a key's state is what ``start`` makes of its first row, empty as a rule."""
+    new = StructType.fromDDL(added).fields
+    schema = StructType([*df.schema.fields, *new])
+    types = [(f.name, to_arrow_type(f.dataType)) for f in new]
+    reads = step.reads
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, {}
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                own = tuple(row[k] for k in key)
+            keys = zip(*(batch.column(k).to_pylist() for k in key))
+            rows = zip(*(batch.column(c).to_pylist() for c in reads))
+            for own, values in zip(keys, rows):
+                row = dict(zip(reads, values))
                 if own != now:
-                    now, state = own, {}
+                    now, state = own, start(row)
                 out.append(step(state, row))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            columns = [pa.array([o[name] for o in out], kind) for name, kind in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(name for name, _ in types)])
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+def reading(*columns: str):
+    """Names the columns that a step reads."""
+
+    def mark(step: Callable[[dict, dict], dict]) -> Callable[[dict, dict], dict]:
+        step.reads = columns
+        return step
+
+    return mark
 
 
 def alpha(dt: float, tau: float) -> float:
@@ -55,6 +76,7 @@ AXES = (
 def ewma_step(config: Config) -> Callable[[dict, dict], dict]:
     """Fast and slow averages of six axes, their anomalies after the update, and the signal."""
 
+    @reading("t", "accounting", *(a[0] for a in AXES))
     def step(state: dict, row: dict) -> dict:
         now = row["t"]
         if "t" in state and now - state["t"] > config.ewma_ttl_s:
@@ -89,6 +111,80 @@ def flow_ewma(features: DataFrame, config: Config = DEFAULT, key: list[str] = ID
     return fold(timed, key, ["snapshot_ts"], ewma_step(config), EWMA_COLUMNS).drop("t")
 
 
+def carried(config: Config) -> Callable[[dict, dict], dict]:
+    """What the rows of a slice so far make of the averages before it, without knowing them.
+
+    For each axis and speed a state v becomes a * v + b; where there was none, it becomes c (null: still none).
+    ``before`` is the time of the last row before the slice.
+    """
+
+    @reading("t", "before", "accounting", *(a[0] for a in AXES))
+    def step(state: dict, row: dict) -> dict:
+        now, last = row["t"], state.get("t", row["before"])
+        if last is not None and now - last > config.ewma_ttl_s:
+            state["maps"] = {}
+            state["reset"] = True
+        state["t"] = now
+        dt = max(1.0, now - last) if last is not None else 0.0
+        maps = state.setdefault("maps", {})
+        for name, _, _, _, acct in AXES:
+            x = float(row[name])
+            for speed, tau in (("fast", config.tau_fast_s), ("slow", config.tau_slow_s)):
+                a, b, c = maps.get((name, speed), (0.0 if state.get("reset") else 1.0, 0.0, None))
+                if not acct or (row["accounting"] and x > 0):
+                    k = alpha(dt, tau)
+                    if state.get("reset"):
+                        a, b = 0.0, x if c is None else b + k * (x - b)
+                    else:
+                        a, b = a * (1 - k), b * (1 - k) + k * x
+                    c = x if c is None else c + k * (x - c)
+                maps[name, speed] = a, b, c
+        return {f"{n}_{s}_{k}": v for (n, s), m in maps.items() for k, v in zip("abc", m)} | {"reset": bool(state.get("reset"))}
+
+    return step
+
+
+def flow_ewma_sliced(features: DataFrame, config: Config = DEFAULT, slice_s: int = 86400, key: list[str] = IDENTITY) -> DataFrame:
+    """flow_ewma of the same rows, with each key's history cut into slices that are worked on side by side.
+
+    One row for each key and slice is folded in order; everything that grows with the rows is dealt by key and slice.
+    """
+    pairs = [(n, s) for n, *_ in AXES for s in ("fast", "slow")]
+    part = [*key, "slice"]
+    timed = features.withColumn("t", F.unix_timestamp("snapshot_ts")).withColumn("slice", F.floor(F.col("t") / slice_s))
+    in_order = Window.partitionBy(*key).orderBy("slice")  # a row for each slice
+    ends = timed.groupBy(*part).agg(F.max("t").alias("last")).withColumn("before", F.lag("last").over(in_order)).drop("last")
+    timed = timed.join(ends, part)
+    added = ", ".join(f"{n}_{s}_{k} double" for n, s in pairs for k in "abc") + ", reset boolean"
+    mapped = fold(timed.select(*part, "snapshot_ts", *(c for c in carried(config).reads)), part, ["snapshot_ts"], carried(config), added)
+    names = [f"{n}_{s}_{k}" for n, s in pairs for k in "abc"]
+    maps = mapped.groupBy(*part).agg(F.max_by(F.struct(*names, "reset"), "snapshot_ts").alias("m")).select(*part, "m.*")
+
+    @reading("slice", "reset", *names)
+    def over(state: dict, row: dict) -> dict:
+        given = {f"{n}_{s}_in": state.get((n, s)) for n, s in pairs}
+        for n, s in pairs:
+            a, b, c = (row[f"{n}_{s}_{k}"] for k in "abc")
+            v = state.get((n, s))
+            state[n, s] = c if v is None or row["reset"] else a * v + b
+        return given
+
+    given = fold(maps, key, ["slice"], over, ", ".join(f"{n}_{s}_in double" for n, s in pairs)).drop(*names, "reset")
+    rows = timed.join(given, part)
+    step = ewma_step(config)
+
+    def start(row: dict) -> dict:
+        found = {n: (row[f"{n}_fast_in"], row[f"{n}_slow_in"]) for n, *_ in AXES if row[f"{n}_fast_in"] is not None}
+        return found | ({} if row["before"] is None else {"t": row["before"]})
+
+    @reading(*step.reads, "before", *(f"{n}_{s}_in" for n, s in pairs))
+    def again(state: dict, row: dict) -> dict:
+        return step(state, row)
+
+    done = fold(rows, part, ["snapshot_ts"], again, EWMA_COLUMNS, start)
+    return done.select(*features.columns, *(f.name for f in StructType.fromDDL(EWMA_COLUMNS)))
+
+
 RESOURCE_AXES = (("cpu", 30.0, 120.0), ("mem", 45.0, 180.0), ("disk", 30.0, 180.0), ("net", 30.0, 120.0))
 WEIGHTS = {"cpu": 0.25, "mem": 0.25, "disk": 0.30, "net": 0.20}
 
@@ -96,6 +192,7 @@ WEIGHTS = {"cpu": 0.25, "mem": 0.25, "disk": 0.30, "net": 0.20}
 def resource_step(config: Config) -> Callable[[dict, dict], dict]:
     """Axis averages that rise faster than they fall, severities, their blend, and the cap at 95."""
 
+    @reading("t", *(f"{a[0]}_{k}" for a in RESOURCE_AXES for k in ("p", "conf", "impact")))
     def step(state: dict, row: dict) -> dict:
         dt = row["t"] - state["t"] if "t" in state else 0
         dt = dt if 0 < dt < 300 else config.interval_s
@@ -138,6 +235,7 @@ def resource_axes(pressures: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def contact_step(config: Config) -> Callable[[dict, dict], dict]:
     """Whether a pair is a new contact: not seen in the interval before."""
 
+    @reading("t")
     def step(state: dict, row: dict) -> dict:
         new = "t" not in state or row["t"] - state["t"] > config.interval_s
         state["t"] = row["t"]
@@ -152,6 +250,7 @@ RANK = {"P4": 1, "P3": 2, "P2": 3, "P1": 4}
 def emit_step(config: Config) -> Callable[[dict, dict], dict]:
     """Whether a rule hit is reported: persistence has been counted before (``hits``, ``required``)."""
 
+    @reading("t", "kind", "priority", "severity_band", "hits", "required", "remote_share", "port_share", "top_remote", "top_port")
     def step(state: dict, row: dict) -> dict:
         now = row["t"]
         if "t" in state and now - state["t"] > config.emit_ttl_s:
@@ -193,6 +292,7 @@ def emit_gate(hits: DataFrame, config: Config = DEFAULT, key: list[str] = IDENTI
 
 
 def throttle_step(config: Config) -> Callable[[dict, dict], dict]:
+    @reading("t")
     def step(state: dict, row: dict) -> dict:
         deliver = "t" not in state or row["t"] - state["t"] >= config.throttle_s
         if deliver:
@@ -208,6 +308,7 @@ def throttle(events: DataFrame, key: list[str], ts: str = "ts", config: Config =
     return fold(timed, key, [ts], throttle_step(config), "delivered boolean").drop("t")
 
 
+@reading("instant")
 def intel_step(state: dict, row: dict) -> dict:
     e = row["instant"] if "e" not in state else state["e"] + 0.1 * (row["instant"] - state["e"])
     state["e"] = e

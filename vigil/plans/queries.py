@@ -296,6 +296,13 @@ def win_flow_ewma(f):
     return f.scored.select(*IDENT, *(F.round(f"{n}_{k}", 3).alias(f"{n}_{k}") for n in ("flows", "unique_remotes", "unique_ports", "unreplied_ratio") for k in ("fast", "slow")))
 
 
+@query(f"SELECT {ID}, {_EW}, round(signal, 3) AS signal FROM sig")
+def win_flow_ewma_sliced(f):
+    """The averages with each history cut into slices of a minute, whose maps are composed."""
+    got = folds.flow_ewma_sliced(f.features, f.config, slice_s=60)
+    return got.select(*IDENT, *(F.round(f"{n}_{k}", 3).alias(f"{n}_{k}") for n in ("flows", "unique_remotes", "unique_ports", "unreplied_ratio") for k in ("fast", "slow")), F.round("signal", 3).alias("signal"))
+
+
 @query(f"SELECT {ID}, round(signal, 3) AS signal FROM sig")
 def win_behavior_anomaly(f):
     return f.scored.select(*IDENT, F.round("signal", 3).alias("signal"))

@@ -47,7 +47,7 @@ def stateful(stream: DataFrame, key: list[str], order: str, step: Callable[[dict
             return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
         state = pickle.loads(held.get[0]) if held.exists else {}
-        out = [step(state, row) for row in rows.to_dict("records")]
+        out = [step(state, row) for row in rows[list(step.reads)].to_dict("records")]
         held.update((pickle.dumps(state),))
         timer = int(rows["t"].iloc[-1] + ttl_s) * 1000
         if timer > held.getCurrentWatermarkMs():
