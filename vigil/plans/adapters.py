@@ -73,7 +73,7 @@ LOUD = {
     "icmp": "icmp * 40", "multicast": "multicast * 60", "unique_remotes": "CASE WHEN flows % 11 = 0 THEN CAST(floor(unique_remotes / 4) AS BIGINT) ELSE unique_remotes * 8 END", "new_remotes": "new_remotes * 8",
     "unique_ports": "CASE WHEN flows % 5 = 0 THEN least(unique_ports, 4) ELSE unique_ports * 4 END",
     "geneve_flows": "CASE WHEN flows % 7 = 0 THEN flows ELSE 0 END", "bgp_flows": "CASE WHEN flows % 5 = 0 THEN bgp_flows ELSE 0 END", "metadata_flows": "CASE WHEN flows % 2 = 0 THEN metadata_flows * 40 ELSE metadata_flows * 10 END",
-    "metadata_unreplied_ratio": "CASE WHEN flows % 3 = 0 THEN 0.7 ELSE metadata_unreplied_ratio END", "infra_max_flows": "CASE WHEN flows % 3 = 0 THEN infra_max_flows * 40 ELSE infra_max_flows END",
+    "metadata_unreplied_ratio": "CASE WHEN flows % 3 = 0 THEN 0.7 ELSE metadata_unreplied_ratio END", "infra_max_flows": "CASE WHEN flows % 3 = 0 AND infra_hits > 0 THEN flows * 20 ELSE infra_max_flows END",
     "top_port": "CASE WHEN flows % 11 = 0 THEN 3333 ELSE top_port END",
     "unreplied_ratio": "CASE WHEN flows % 3 = 0 THEN least(1, unreplied_ratio * 3) WHEN flows % 3 = 1 THEN unreplied_ratio / 4 ELSE unreplied_ratio END",
     "bytes_per_flow": "CASE WHEN flows % 2 = 0 THEN bytes_per_flow / 100 ELSE bytes_per_flow * 10 END",
