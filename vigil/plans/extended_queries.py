@@ -218,9 +218,12 @@ def sink_alert_events_stream(f):
 _VERSION = f"CASE WHEN (f.ts - {START}) // 15 < 9 THEN 1 WHEN (f.ts - {START}) // 15 < 27 THEN 2 ELSE 5 END"
 
 
-@query(f"""SELECT f.host_id, l.list, {_VERSION} AS version, count(*) AS hits FROM flows f
-JOIN (SELECT list, ip, version FROM (SELECT DISTINCT list, ip FROM threat_ips), (SELECT unnest([1, 2, 5]) AS version) WHERE ip % 5 <> version % 5) l
-  ON l.ip = f.dst_ip AND l.version = {_VERSION} GROUP BY f.host_id, l.list, {_VERSION}""")
+oracle.CTE["versions"] = "SELECT list, ip, version FROM (SELECT DISTINCT list, ip FROM threat_ips), (SELECT unnest([1, 2, 5]) AS version) WHERE ip % 5 <> version % 5"
+oracle.CTE["pinned"] = "SELECT list, latest, max(version) AS version FROM versions, (SELECT unnest([1, 2, 5]) AS latest) WHERE version <= latest GROUP BY list, latest"
+
+
+@query(f"""SELECT f.host_id, p.list, p.version, count(*) AS hits FROM flows f JOIN pinned p ON p.latest = {_VERSION}
+JOIN versions l ON l.list = p.list AND l.version = p.version AND l.ip = f.dst_ip GROUP BY f.host_id, p.list, p.version""")
 def threat_list_versions(f):
     """A stream over loads of which one fails and one is empty: each batch has the version that was current when it began."""
     from ..streaming import state
