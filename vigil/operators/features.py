@@ -15,12 +15,37 @@ from ..functions import ip as addr
 from ..functions import scalars
 
 
-def by_remote(events: DataFrame) -> DataFrame:
+COUNTS = ("flows", "unreplied", "bytes", "packets", "icmp", "udp")
+
+
+def _counts() -> list[Column]:
     n = lambda c: F.count_if(c)
-    return events.groupBy(*SNAPSHOT, "remote").agg(
+    return [
         F.count("*").alias("flows"), n(F.col("unreplied")).alias("unreplied"), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"),
         n(F.col("proto").isin(1, 58)).alias("icmp"), n(F.col("proto") == 17).alias("udp"),
-    )
+    ]
+
+
+def by_pair(events: DataFrame) -> DataFrame:
+    """By remote and port: what by_remote, by_port and the machines' totals can all be summed from, so that it is worth writing out once."""
+    return events.groupBy(*SNAPSHOT, "remote", "port").agg(*_counts())
+
+
+def remotes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(*SNAPSHOT, "remote").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def ports_of(pairs: DataFrame) -> DataFrame:
+    return pairs.where("port > 0").groupBy(*SNAPSHOT, "port").agg(F.sum("flows").alias("flows"))
+
+
+def totals_of(pairs: DataFrame) -> DataFrame:
+    """Flows of each machine: every one has one event for it."""
+    return pairs.groupBy("host_id", "snapshot_ts", "instance").agg(F.sum("flows").alias("flows"))
+
+
+def by_remote(events: DataFrame) -> DataFrame:
+    return events.groupBy(*SNAPSHOT, "remote").agg(*_counts())
 
 
 def by_port(events: DataFrame) -> DataFrame:
@@ -205,8 +230,13 @@ def features(
     events: DataFrame, host_ips: DataFrame, monitored: DataFrame, totals: DataFrame, table_max: DataFrame, config: Config = DEFAULT, islands: DataFrame | None = None
 ) -> DataFrame:
     """The whole feature vector. totals is (host_id, snapshot_ts, instance, flows); table_max (host_id, table_max)."""
-    # one aggregate over remotes and one over ports carry all but what is new since the snapshot before
-    remotes, ports = by_remote(events), by_port(events)
+    return features_of(by_remote(events), by_port(events), host_ips, monitored, totals, table_max, config, islands)
+
+
+def features_of(
+    remotes: DataFrame, ports: DataFrame, host_ips: DataFrame, monitored: DataFrame, totals: DataFrame, table_max: DataFrame, config: Config = DEFAULT, islands: DataFrame | None = None
+) -> DataFrame:
+    """The same from by_remote and by_port: one aggregate over either carries all but what is new since the snapshot before."""
     marked = addr.mark_infrastructure(remotes, host_ips, "remote")
     out = _policy_columns(marked.groupBy(*SNAPSHOT).agg(*_stats(), *_unique(config), _best("remote").alias("_top"), *_policy()))
     out = out.withColumns({"top_remote": F.col("_top.remote"), "max_single_remote": -F.col("_top.minus")}).drop("_top")

@@ -11,6 +11,7 @@ from ..config import IDENTITY, Config
 from ..functions import ip as addr
 from ..operators import attribution, classifier, deltas, features, folds, scoring, threat
 from ..sources.builtin_ports import BUILTIN
+from ..streaming.state import shared
 
 START = 1704067200  # the first snapshot; one every 15 s
 
@@ -90,6 +91,9 @@ TABLE_MAX = 500
 class Fleet:
     """Lazy frames over one data directory."""
 
+    #: Islands of presence; none where machines stay.
+    islands: DataFrame | None = None
+
     def __init__(self, spark: SparkSession, sf_dir: str, config: Config = Config()):
         self.spark, self.sf_dir, self.config = spark, sf_dir, config
 
@@ -133,12 +137,19 @@ class Fleet:
         return attribution.identity_events(self.attributed, self.config.accounting)
 
     @cached_property
+    def pairs(self) -> DataFrame:
+        """Flow counts by remote and port, written once; all that the feature chain needs of the flows."""
+        folder = shared(self.spark)
+        features.by_pair(self.events).write.parquet(f"{folder}/pairs")
+        return self.spark.read.parquet(f"{folder}/pairs")
+
+    @property
     def remotes(self) -> DataFrame:
-        return features.by_remote(self.events)
+        return features.remotes_of(self.pairs) if "pairs" in self.__dict__ else features.by_remote(self.events)
 
-    @cached_property
+    @property
     def ports(self) -> DataFrame:
-        return features.by_port(self.events)
+        return features.ports_of(self.pairs) if "pairs" in self.__dict__ else features.by_port(self.events)
 
     @cached_property
     def host_ips(self) -> DataFrame:
@@ -159,7 +170,10 @@ class Fleet:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.features(self.events, self.host_ips, self.monitored, self.totals, self.table_max, self.config)
+        pairs = self.pairs
+        return features.features_of(
+            features.remotes_of(pairs), features.ports_of(pairs), self.host_ips, self.monitored, features.totals_of(pairs), self.table_max, self.config, self.islands
+        )
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -287,10 +301,6 @@ class ComingAndGoing(Fleet):
     def events(self) -> DataFrame:
         return attribution.identity_events(self.attributed, self.config.accounting).join(self.active, ["host_id", "instance", "snapshot_ts"], "left_semi")
 
-    @cached_property
-    def features(self) -> DataFrame:
-        return features.features(self.events, self.host_ips, self.monitored, self.totals, self.table_max, self.config, self.islands)
-
     @cached_property
     def scored(self) -> DataFrame:
         rows = self.features.join(self.islands.select("host_id", "instance", "snapshot_ts", "island"), ["host_id", "instance", "snapshot_ts"])
