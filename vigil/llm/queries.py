@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, license_scan, line_dedup, packing, pii, prefix_trie, resample, sharding, simhash, substring_dedup, toxicity
+from . import ann, decontam, html_extract, license_scan, line_dedup, oracles, packing, pii, prefix_trie, resample, sharding, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -50,7 +50,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         decontam.contaminated().alias("contaminated"),
-        F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])).alias("hit_spans"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("hit_spans"),
     )
 
 
@@ -80,4 +80,4 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_pii, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_nearest_neighbours, op10_packing, op11_conversation_trie, op12_importance_resampling, op13_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL

@@ -5,7 +5,7 @@
 2. A size-weighted Poisson sample of the keys is drawn; its quantiles are the
    splitters of ``shards * ranges_per_shard`` key ranges. A key with more rows than a mean range
    gets a range of its own, between splitters of its own.
-3. Ranges that hold more than ``part_rows`` rows are subdivided: by key, and a range of one
+3. Ranges that hold more than twice the mean, or ``part_rows``, rows are subdivided: by key, and a range of one
    key by the hash of doc_id, both in order.
 4. Exact totals of the parts give every part its offset; a running sum within the part
    gives each record its exact place in the order of (key, hash of doc_id, doc_id), and
@@ -100,6 +100,7 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges_per_shar
     placed = range_of(rows, sorted({*splitters(rows, total, ranges, per_range), *hot}))
 
     # as many rows as there are ranges
+    part_rows = min(part_rows, max(2 * n // ranges, 100))
     large = placed.groupBy("range").agg(F.sum("m").alias("n")).where(F.col("n") > part_rows)
     placed = placed.join(F.broadcast(large.select("range", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))), "range", "left")
     parts, width = F.coalesce("parts", F.lit(1)), F.col("high").cast("double") - F.col("low").cast("double")
