@@ -1,6 +1,7 @@
 """Queries heavy in doubles against their SQL on a larger table, with the places that the queries give."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,8 +23,8 @@ def larger():
 
 def cells(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: "null" if v is None or v is pd.NA or v != v else repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    return sorted(tuple(plain(getattr(v, "item", lambda: v)()) for v in r) for r in df.itertuples(index=False))
+    plain = lambda v: str(list(v)) if isinstance(v, (list, np.ndarray)) else "null" if v is None or v is pd.NA or v != v else repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return sorted(tuple(plain(v if isinstance(v, (list, np.ndarray)) else getattr(v, "item", lambda: v)()) for v in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", ["sink_alert_events", "agg_flow_ratios", "score_threat_signal", "win_resource_axis_ewma", "sink_resource_events"])
