@@ -5,7 +5,7 @@ import math
 import pandas as pd
 import pytest
 
-from vigil.plans import ingest_queries  # noqa: F401
+from vigil.plans import extended_queries, ingest_queries  # noqa: F401
 from vigil.plans.queries import ORACLE, QUERIES
 
 CHOSEN = """scan_flow_snapshot join_flow_zone_attribution join_flow_unique_ip_fallback flow_to_identity_events agg_ip_flows agg_behavior_stats
@@ -14,7 +14,9 @@ win_cpu_usage win_disk_io win_threat_contacts_total first_match_rule score_alert
 join_threat_cidr agg_threat_hits join_host_ip_listed q_counter_rate q_counter_increase q_for_duration q_deriv q_count_having agg_project_showback
 ingest_inventory_xml ingest_zone_map ingest_domain_stats ingest_threat_ip_list ingest_threat_cidr_list match_external_rules load_external_rules
 win_alert_emit_gate win_event_throttle win_resource_cap_streak score_attention sink_alert_events rule_external stream_threat_contacts port_name
-stream_snapshots rules_dark rule_flags_loud rule_synergy ingest_inventory_ports ingest_inventory_disks win_threat_intel_ewma""".split()
+stream_snapshots rules_dark rule_flags_loud rule_synergy ingest_inventory_ports ingest_inventory_disks win_threat_intel_ewma agg_unique_remotes_saturated win_new_remotes_saturated agg_threat_hits_capped topk_threat_cap_met sensitivity_scalers
+agg_top_remote_merged agg_unique_remotes_sketch sql_function_report stream_late_data stream_closed_snapshots threat_list_versions
+sink_threat_events_stream sink_metrics_stream win_flow_ewma_sliced win_presence_state stream_behavior_state stream_ttl_timers""".split()
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
@@ -24,7 +26,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
         try:
-            return repr(round(float(v) + 0.0, 3))
+            return repr(round(float(v) + 0.0, 5))
         except (TypeError, ValueError):
             return str(v)
 
