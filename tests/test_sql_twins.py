@@ -23,7 +23,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
+        if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
         try:
             return repr(round(float(v) + 0.0, 5))

@@ -96,12 +96,6 @@ def disk_allocation(allocation: Column, physical: Column) -> Column:
     return F.when(allocation > 0, allocation).otherwise(physical)
 
 
-def ewma_alpha(dt: Column, tau: float) -> Column:
-    if tau <= 0:
-        return F.lit(1.0)
-    return F.when(dt <= 0, F.lit(1.0)).otherwise(1 - F.exp(-dt / F.lit(float(tau))))
-
-
 def host_impact(instance_flows: Column, own_flows: Column, table_max: Column) -> Column:
     flows = F.when(instance_flows > 0, instance_flows).otherwise(own_flows)
     return ratio(flows, table_max)

@@ -29,7 +29,7 @@ def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[dict,
     new = StructType.fromDDL(added).fields
     schema = StructType([*df.schema.fields, *new])
     types = [(f.name, to_arrow_type(f.dataType)) for f in new]
-    reads = step.reads
+    reads = getattr(step, "reads", tuple(df.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, {}

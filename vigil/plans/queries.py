@@ -758,8 +758,8 @@ def stream_snapshots(f):
     return state.replay(f.flows.select("host_id", "snapshot_ts"), lambda s: state.snapshots(state.on_time(s)))
 
 
-_CHAIN = f"""SELECT s.host_id, s.instance, s.ip, s.direction, s.ts, s.new_remotes, s.new_ports, round(s.signal, 3) AS signal, g.kind, g.hits, g.required,
-       g.priority, g.emitted, g.emit_reason, g.suppress_reason FROM sig s LEFT JOIN gated g ON {oracle.same('s', 'g')}"""
+_CHAIN = f"""SELECT s.host_id, s.instance, s.ip, s.direction, s.ts, s.new_remotes, s.new_ports, round(s.signal, 3) AS signal, g.kind, coalesce(g.hits, 0) AS hits, coalesce(g.required, 0) AS required,
+       g.priority, coalesce(g.emitted, false) AS emitted, g.emit_reason, g.suppress_reason FROM sig s LEFT JOIN gated g ON {oracle.same('s', 'g')}"""
 
 
 def _thirds(f: Fleet, ts: str = "snapshot_ts") -> list[Column]:
@@ -792,6 +792,12 @@ def _streamed(f: Fleet, absences: DataFrame | None = None) -> DataFrame:
 
     conf = {"spark__sql__streaming__stateStore__providerClass": behavior.ROCKS, "spark__sql__shuffle__partitions": "8"}
     rows = state.replay(behavior.inputs(f.features, f.remotes, f.ports, absences), lambda s: behavior.chain(s, f.config), _thirds(f), "append", **conf)
+    return _told(rows)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Rows without a rule hit have 0 hits and none required."""
+    rows = rows.fillna(0, ["hits", "required"]).withColumn("emitted", F.coalesce("emitted", F.lit(False)))
     names = "new_remotes new_ports kind hits required priority emitted emit_reason suppress_reason".split()
     return rows.select(*IDENT, *names, F.round("signal", 3).alias("signal"))
 
@@ -803,7 +809,7 @@ _PRESENT = _CHAIN.replace("s.instance, s.ip", "split_part(s.instance, '#', 1) AS
 def win_presence_state(f):
     """The chain in batch where machines leave and return: the island of presence is part of every state's key."""
     hits = f.gated.select(*IDENT, "kind", "hits", "required", "priority", "emitted", "emit_reason", "suppress_reason")
-    return f.scored.select(*IDENT, "new_remotes", "new_ports", F.round("signal", 3).alias("signal")).join(hits, IDENT, "left")
+    return _told(f.scored.select(*IDENT, "new_remotes", "new_ports", "signal").join(hits, IDENT, "left"))
 
 
 @query(_PRESENT, fleet=ComingAndGoing)

@@ -40,6 +40,7 @@ def stateful(stream: DataFrame, key: list[str], order: str, step: Callable[[dict
     timed = stream.withColumn("t", F.unix_timestamp(order))
     schema = StructType([*timed.schema.fields, *StructType.fromDDL(added).fields])
     names = [f.name for f in StructType.fromDDL(added).fields]
+    reads = list(getattr(step, "reads", timed.columns))
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -47,7 +48,7 @@ def stateful(stream: DataFrame, key: list[str], order: str, step: Callable[[dict
             return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
         state = pickle.loads(held.get[0]) if held.exists else {}
-        out = [step(state, row) for row in rows[list(step.reads)].to_dict("records")]
+        out = [step(state, row) for row in rows[reads].to_dict("records")]
         held.update((pickle.dumps(state),))
         timer = int(rows["t"].iloc[-1] + ttl_s) * 1000
         if timer > held.getCurrentWatermarkMs():
