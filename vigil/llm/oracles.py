@@ -90,7 +90,38 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit,
        coalesce(h.n > 0 AND 20 * h.n >= len(d.w), false) AS contaminated, coalesce(s.s, '') AS hit_spans
 FROM d LEFT JOIN words h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id"""
 
+PASSAGES = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \n]+') AS w, regexp_extract_all(text, '[^ \n]+[ \n]*') AS k, regexp_extract(text, '^[ \n]*') AS lead FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(i)),
+first AS (SELECT h, min(struct_pack(doc_id := doc_id, i := i)) AS f FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT x.doc_id, unnest(range(x.i, x.i + 50)) AS i FROM win x JOIN first f ON f.h = x.h AND (f.f.doc_id <> x.doc_id OR x.i - f.f.i >= 50)),
+cuts AS (SELECT doc_id, count(*) AS n, min(i) AS low, sum(CASE WHEN i - before = 1 THEN 0 ELSE 1 END) AS runs
+         FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
+words AS (SELECT doc_id, i, k[i] AS piece FROM d, unnest(range(1, len(k) + 1)) u(i) WHERE doc_id IN (SELECT doc_id FROM cuts)),
+kept AS (SELECT x.doc_id, string_agg(piece, '' ORDER BY x.i) AS text FROM words x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i WHERE g.i IS NULL GROUP BY x.doc_id),
+done AS (SELECT d.doc_id, c.runs, c.n, CASE WHEN c.n IS NULL THEN d.text ELSE (CASE WHEN c.low = 1 THEN '' ELSE d.lead END) || coalesce(k.text, '') END AS text
+         FROM d LEFT JOIN cuts c ON c.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id)
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(coalesce(runs, 0) AS INTEGER) AS n_runs, CAST(coalesce(n, 0) AS INTEGER) AS n_removed_words, text FROM done"""
+
+
+def _order_key(text: str) -> str:
+    """The first half of a checksum as a signed number."""
+    half = f"CAST(CAST(('0x' || substr(md5({text}), 1, 16)) AS UBIGINT) AS HUGEINT)"
+    return f"CAST(CASE WHEN {half} >= 9223372036854775808 THEN {half} - 18446744073709551616 ELSE {half} END AS BIGINT)"
+
+
+SHARDS = f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, CAST({crc32("coalesce(text, '')")} AS BIGINT) AS text_crc32,
+           {_order_key("coalesce(text, '')")} AS key, {_order_key("CAST(doc_id AS VARCHAR)")} AS tie FROM documents),
+placed AS (SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER o AS rank, sum(size) OVER () AS total
+           FROM d WINDOW o AS (ORDER BY key, tie, doc_id)),
+dealt AS (SELECT *, least(CAST((2 * b + size) * 40 AS BIGINT) // CAST(2 * total AS BIGINT), 39) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(rank - min(rank) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt"""
+
 SQL = {
+    "op6_line_dedup": PASSAGES,
+    "op8_sharding": SHARDS,
     "op7_benchmark_decontamination": CONTAMINATION,
     "op11_conversation_trie": TRIE,
     "op12_importance_resampling": RESAMPLE,
