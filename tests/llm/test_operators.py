@@ -234,6 +234,70 @@ def test_coverage_never_exceeds_the_longest_common_subsequence():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, above = [0], row
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def brute_licenses(scanner, text):
+    """Every window of every template, none passed over."""
+    spans = [m.span() for m in license_scan.WORD.finditer(text.lower())]
+    words, found = [text.lower()[a:b] for a, b in spans], []
+    for k, template in enumerate(scanner.words):
+        width, best, end = len(template) + len(template) // 4 + 2, 0, -1
+        for start in range(len(words)):
+            window = words[start : start + width]
+            need = max(scanner.least[k], best + 1) if start <= end else scanner.least[k]
+            if words[start] not in template or common_words(template, window) < need:
+                continue
+            pairs = license_scan.patience(template, window)
+            if len(pairs) >= need:
+                best, end = len(pairs), start + pairs[-1][1]
+                found.append((k, best / len(template), best, spans[start + pairs[0][1]][0], spans[end][1]))
+    kept = []
+    for f in sorted(found, key=lambda f: (-f[2], -f[1], f[0], f[3])):
+        if all(f[4] <= g[3] or g[4] <= f[3] for g in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f[3])
+
+
+def test_licenses_against_all_windows():
+    g = np.random.default_rng(4)
+    templates = (("A", "to any person who may use the work as is"), ("B", "the work may be used by any one"), ("C", "a b a c a b"))
+    scanner = license_scan.Scanner(templates)
+    vocabulary = sorted(set(" ".join(t for _, t in templates).split())) + ["other", "words"]
+    hits = 0
+    for _ in range(300):
+        text = list(g.choice(vocabulary, g.integers(0, 25)))
+        for _ in range(g.integers(0, 4)):
+            copy = templates[g.integers(3)][1].split()
+            if g.random() < 0.6:
+                copy.insert(g.integers(len(copy)), "new")
+            if g.random() < 0.4:
+                copy.pop(g.integers(len(copy)))
+            at = g.integers(len(text) + 1)
+            text[at:at] = copy
+        found = scanner.find(" ".join(text))
+        assert found == brute_licenses(scanner, " ".join(text))
+        hits += len(found)
+    assert hits > 200
+
+
+def test_license_words_take_little_time():
+    scanner = license_scan.Scanner()
+    salad = np.random.default_rng(5).choice(sorted(scanner.vocabulary), 100_000)
+    mit = license_scan.TEMPLATES[2][1].split()
+    start = time.perf_counter()
+    assert not any(scanner.names[f[0]] == "MIT" and f[2] > 100 for f in scanner.find(" ".join(salad)))
+    found = scanner.find(" ".join(" ".join(w for i, w in enumerate(mit) if i != n % len(mit)) for n in range(100)))
+    assert sum(f[0] == 2 for f in found) == 100
+    assert time.perf_counter() - start < 30
+
+
 def brute_fingerprint(text):
     text = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -11,7 +11,8 @@ the document has at all, with their counts in the template, are fewer than the t
 
 Nulls: a null or empty text has no license. Of overlapping finds the one with more aligned
 words stays (ties: higher coverage, then the template listed first). Repeated rows give
-repeated results. An empty table gives an empty result. Other columns are ignored.
+repeated results. An empty table gives an empty result. Other columns are ignored. A very long
+text is scanned whole; its work grows with its words, also where they are all license words.
 """
 
 from __future__ import annotations
@@ -125,6 +126,7 @@ class Scanner:
         self.names = [n for n, _ in templates]
         self.words = [WORD.findall(t.lower()) for _, t in templates]
         self.counts = [Counter(w) for w in self.words]
+        self.masks = [{w: sum(1 << i for i, x in enumerate(t) if x == w) for w in set(t)} for t in self.words]
         self.least = [max(1, int(np.ceil(threshold * len(w) - 1e-9))) for w in self.words]
         self.vocabulary = frozenset().union(*self.counts)
 
@@ -132,6 +134,37 @@ class Scanner:
         known = present & self.vocabulary
         return [k for k, c in enumerate(self.counts) if sum(c[w] for w in known & c.keys()) >= self.least[k]]
 
+    def aligned(self, k: int, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(aligned words, first, last place) of each window that covers enough of template k.
+
+        The longest common subsequence bounds what can be aligned, and grows by one at most for each
+        word of the template that enters behind: from a window that is short by g, the next g - 1 such
+        words are passed over. Inside a find only windows that could align more words are aligned.
+        """
+        template, masks, least = self.words[k], self.masks[k], self.least[k]
+        m = len(template)
+        width = m + m // 4 + 2
+        own = [masks[w] for w in words if w in masks]
+        member = np.fromiter((w in masks for w in words), bool, len(words))
+        total = np.concatenate([[0], np.cumsum(member)])
+        starts = np.flatnonzero(member)
+        stops = np.minimum(starts + width, len(words))
+        enough = total[stops] - total[starts] >= least
+        common, seen, best, end = m, 0, 0, -1
+        for start, stop, low, high in zip(*(x[enough].tolist() for x in (starts, stops, total[starts], total[stops]))):
+            need = max(least, best + 1) if start <= end else least
+            if common + high - seen < need:
+                continue
+            left = (1 << m) - 1  # a bit for each template word that no chain ends on
+            for mask in own[low:high]:
+                chosen = left & mask
+                left = (left + chosen | left - chosen) & (1 << m) - 1
+            common, seen = m - left.bit_count(), high
+            pairs = patience(template, words[start:stop]) if common >= need else ()
+            if len(pairs) >= need:
+                best, end = len(pairs), start + pairs[-1][1]
+                yield best, start + pairs[0][1], end
+
     def find(self, text: str) -> list[tuple[int, float, int, int, int]]:
         """(template, coverage, aligned words, start, stop in code points), in text order."""
         low = text.lower()
@@ -145,24 +178,8 @@ class Scanner:
         words = [low[a:b] for a, b in spans]
         found = []
         for k in chosen:
-            template, count = self.words[k], self.counts[k]
-            m = len(template)
-            width = m + m // 4 + 2
-            member = np.fromiter((w in count for w in words), bool, len(words))
-            total = np.concatenate([[0], np.cumsum(member)])
-            starts = np.flatnonzero(member)
-            inside = total[np.minimum(starts + width, len(words))] - total[starts]
-            clear = 0
-            for start in starts[inside >= self.least[k]].tolist():
-                if start < clear:
-                    continue
-                pairs = patience(template, words[start : start + width])
-                if len(pairs) < self.least[k]:
-                    continue
-                first, last = start + pairs[0][1], start + pairs[-1][1]
-                found.append((k, len(pairs) / m, len(pairs), spans[first][0], spans[last][1]))
-                if len(pairs) == m:  # else a later start may align better; the best one stays below
-                    clear = last + 1
+            for n, first, last in self.aligned(k, words):
+                found.append((k, n / len(self.words[k]), n, spans[first][0], spans[last][1]))
         found.sort(key=lambda f: (-f[2], -f[1], f[0], f[3]))
         kept: list[tuple] = []
         for f in found:
