@@ -79,6 +79,63 @@ def test_toxicity_learns_held_out_documents(spark, sf):
     assert (score[bad][:, None] > score[~bad][None, :]).mean() > 0.95
 
 
+def plain_score(net, text):
+    """The network's score of a text, word by word and window by window."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    H, p = toxicity.HIDDEN, net.p
+    tokens = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)
+    gates = []
+    for token in tokens:
+        word = re.sub("[A-Z]", lambda m: m.group().lower(), token).encode()
+        power, code = 1, 0
+        for b in word:
+            power = power * 0x9E3779B97F4A7C15 % 2**64
+            code = (code + (b + 1) * power) % 2**64
+        bucket = (code * 0xD6E8FEB86659FD93 % 2**64) >> 49
+        marked = b"\x01" + word + b"\x02\x00\x00\x00"
+        grams = [int.from_bytes(marked[i : i + 4], "little") * 0x9E3779B1 % 2**32 >> 17 for i in range(len(word))]
+        x = np.concatenate([net.word[bucket], net.gram[grams].mean(axis=0), [net.word_odds[bucket], net.gram_odds[grams].max()]])
+        gates.append(x @ p["W"] + p["b"])
+    worst = -np.inf
+    for first in [*range(0, max(len(tokens) - toxicity.WINDOW, 0), toxicity.STEP), max(len(tokens) - toxicity.WINDOW, 0)]:
+        own = gates[first : first + toxicity.WINDOW]
+        states = [np.zeros((len(own), H)) for _ in range(2)]
+        for way in (0, 1):
+            h = np.zeros(H)
+            for t in range(len(own)) if way == 0 else reversed(range(len(own))):
+                a, u = own[t][way * 3 * H : (way + 1) * 3 * H], h @ p["U"][way]
+                r, z = sig(a[:H] + u[:H]), sig(a[H : 2 * H] + u[H : 2 * H])
+                h = states[way][t] = (1 - z) * np.tanh(a[2 * H :] + r * u[2 * H :]) + z * h
+        s = np.concatenate(states, axis=1)
+        weight = np.exp(np.tanh(s @ p["A"] + p["a"]) @ p["v"])
+        worst = max(worst, (weight / weight.sum()) @ s @ p["o"] + p["c"][0] if own else p["c"][0])
+    return sig(worst)
+
+
+def test_toxicity_against_a_plain_network():
+    g = np.random.default_rng(6)
+    net = toxicity.Network(3)
+    net.word_odds, net.gram_odds = (g.normal(size=toxicity.BUCKETS).astype(np.float32) for _ in range(2))
+    words = ["Straße", "a", "Quite", "x1", "日本語", "longerword", "don", "t", "ÄB"]
+    texts = [" ".join(g.choice(words, n)) + "." for n in (1, 2, 16, 31, 32, 33, 48, 49, 64, 65, 200)]
+    got = net.score([t.encode() for t in [*texts, ""]])
+    assert np.allclose(got[:-1], [plain_score(net, t) for t in texts], atol=1e-4)
+    assert abs(got[-1] - plain_score(net, "")) < 1e-4
+
+
+def test_toxicity_windows_hold_every_short_run():
+    for n in range(1, 200):
+        first, size, doc = toxicity.windows(np.array([0, n]))
+        assert first[-1] + size[-1] == n and all(b <= a + toxicity.WINDOW // 2 for a, b in zip(first, first[1:])) and (size == min(n, toxicity.WINDOW)).all()
+
+
+def test_toxicity_sample_asks_one_text_of_an_id(spark):
+    rows = [(i % 7, f"text {i}", int(i % 7 > 3)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts, toxic = toxicity.training_rows(d, d.select("doc_id", "toxic"))
+    assert 0 < len(texts) <= 7 and len(set(texts)) == len(texts)
+
+
 def test_toxicity_sample_does_not_follow_the_file(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_CHARS", 4000)
     rows = [(0, "x" * 5000, 0), *((i, f"plain {i} " + "word " * 20, 0) for i in range(1, 100)), *((i, f"bad {i} " + "word " * 20, 1) for i in range(100, 200))]
@@ -127,6 +184,24 @@ def test_html():
     assert html_extract.main_text("<div><div class=sidebar><ul><li><a>x</a></ul></div><div class=content><p>a, b, c, d</p><p>e</p></div></div>") == "a, b, c, d\ne"
 
 
+def test_benchmark_windows_are_arrays_of_bounded_size():
+    import pickle
+
+    g = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{x}" for x in g.integers(0, 50_000, n))) for i, n in enumerate([0, 1, 5, 12, 13, 14, *[1000] * 100])] + [(7, "one two"), ("8", "one two"), (9, None)]
+    windows = decontam.Windows(items)
+    want: dict[tuple, set] = {}
+    for item, text in items:
+        w = decontam.words(text)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            want.setdefault(tuple(w[i : i + 13]), set()).add(item)
+    name = {v: k for k, v in windows.code.items()}
+    got = {tuple(name[c] for c in row if c): windows.items(k) for k, row in enumerate(windows.patterns.tolist())}
+    assert got == want and windows.shortest == 1 and [len(k) for k in got] == windows.lengths.tolist()
+    assert len(pickle.dumps(windows)) < 80 * 100_000
+    assert decontam.Windows([]).shortest == 0 and len(decontam.Windows([(1, None), (2, "")]).patterns) == 0
+
+
 def test_decontamination_in_parts_and_removal(spark):
     long = " ".join(f"W{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"a b, {long}! c d", 5, "x"), (2, "nothing here", 6, "y"), (3, None, 7, "z")], "doc_id long, text string, n_hit int, spans string")

@@ -157,17 +157,27 @@ class Windows:
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.code: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
-        for item, text in items:
-            codes = [self.code.setdefault(w, len(self.code) + 1) for w in words(text)]
-            for at in range(max(1, len(codes) - window + 1) if codes else 0):
-                found.setdefault(tuple(codes[at : at + window]), set()).add(item)
-        self.items = list(found.values())
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.shortest = int(self.lengths.min()) if found else 0
-        self.patterns = np.zeros((len(found), max(map(len, found), default=0)), np.int64)
-        for row, w in enumerate(found):
-            self.patterns[row, self.patterns.shape[1] - len(w) :] = w
+        texts = [[self.code.setdefault(w, len(self.code) + 1) for w in words(text)] for _, text in items]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        # each item's windows, shorter ones with zeros before them
+        count = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        owner = np.repeat(np.arange(len(items)), count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        flat = np.concatenate([np.zeros(window, np.int32), *(np.concatenate([np.zeros(window, np.int32), np.array(t, np.int32)]) for t in texts)])
+        start = window * 2 + np.cumsum(sizes + window) - (sizes + window)
+        begin = start[owner] + at + np.minimum(sizes[owner], window) - window
+        width = int(np.minimum(sizes, window).max(initial=0))
+        rows = np.lib.stride_tricks.sliding_window_view(flat, window)[begin][:, window - width :]
+        self.patterns, which = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min(initial=window)) if len(self.lengths) else 0
+        # the items of each window, one after the other
+        self.names = [item for item, _ in items]
+        pairs = np.unique(np.stack([which.reshape(-1), owner], axis=1), axis=0)
+        self.owner, self.owner_start = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(self.patterns) + 1))
+
+    def items(self, pattern: int) -> set:
+        return {self.names[i] for i in self.owner[self.owner_start[pattern] : self.owner_start[pattern + 1]].tolist()}
 
 
 class _Shard:
@@ -211,7 +221,7 @@ class _Shard:
         run = np.searchsorted(stops, places, "right")
         owner, base = np.array(self.owner)[run], np.array(self.base)[run] + places - starts[run]
         for doc, pattern in set(zip(owner.tolist(), which.tolist())):
-            items[doc] |= w.items[pattern]
+            items[doc] |= w.items(pattern)
         for k in np.lexsort((base, owner)).tolist():
             a, b, own = int(base[k]), int(base[k] + w.lengths[which[k]]), spans[owner[k]]
             if own and a <= own[-1][1]:
@@ -262,7 +272,7 @@ def merged(spans: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: str = "", shard_words: int = 1 << 20, max_words: int = 5_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: str = "", shard_words: int = 1 << 20, max_words: int = 1_000_000) -> DataFrame:
     """One row per document: the columns to keep, word counts, items found and merged spans of words to remove.
 
     The columns found are named with ``prefix``, so that kept ones of the same names do not clash.

@@ -4,11 +4,13 @@ Inputs of each word: an embedding of its hash and the mean embedding of its hash
 4-grams, each with a log-odds column (how much likelier the word or its strongest 4-gram is
 in toxic documents). Forward and backward gated recurrent units read windows of WINDOW words;
 attention pools their states into one logit. A document's score is that of its worst window;
-all windows are scored, STEP words apart, so neighbours overlap.
+all windows are scored, STEP words apart: each overlaps the next by half, so any run of
+WINDOW - STEP + 1 words lies whole in one.
 
 Training takes at most MAX_TOXIC toxic and MAX_OTHER other labelled documents, and at most
 MAX_CHARS bytes of them (the only bounds; all else covers all data), shared out to the labels
-in this proportion and filled in hash order; a text too long for the rest is passed over. Documents have one
+in this proportion and filled in hash order; a text too long for the rest is passed over, and of
+several texts with one doc_id the one of the least hash is asked. Documents have one
 label and toxicity is local, so the window that stands for a document is chosen anew in each
 round: first by the log-odds, then by the network itself (multiple-instance learning). The
 log-odds used in training come from the half of the sample that does not hold the document.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 32, 16
 BUCKETS = 1 << 15
 EMBED, HIDDEN, ATTEND = 6, 8, 8
 MAX_TOXIC, MAX_OTHER, MAX_CHARS = 1500, 2500, 16_000_000
@@ -340,10 +342,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.n
         .select("text", "toxic", drawn.alias("drawn"), F.xxhash64("doc_id", "text").alias("key"))
     )
     left, chosen = {1: MAX_CHARS * MAX_TOXIC // (MAX_TOXIC + MAX_OTHER), 0: MAX_CHARS * MAX_OTHER // (MAX_TOXIC + MAX_OTHER)}, []
-    for size in sorted(rows.select("drawn", "key", "toxic", F.octet_length("text").alias("n")).distinct().collect()):
-        if size["n"] <= left[size["toxic"]]:
-            left[size["toxic"]] -= size["n"]
-            chosen.append((size["key"],))
+    # as many rows as the sample has ids, whatever the documents
+    each = rows.groupBy("drawn", "toxic").agg(F.min(F.struct("key", F.octet_length("text").alias("n"))).alias("text"))
+    for drawn, y, (key, n) in sorted(each.collect()):
+        if n <= left[y]:
+            left[y] -= n
+            chosen.append((key,))
     if not chosen:
         return [], np.zeros(0, bool)
     rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "key long")), "key").dropDuplicates(["key"])
