@@ -13,7 +13,9 @@ reports a spanning star of its links, not all of them; the components are the sa
 
 Nulls: a null text is an empty one (fingerprint zero, linked like any other). Rows that
 repeat a doc_id each get a result row. Components are named by their least doc_id (null
-only if no member has one). An empty table gives an empty result.
+only if no member has one). An empty table gives an empty result. Other columns are ignored by
+``near_duplicates`` and pass through ``one_of_each``. A very long text is one row, read whole; its
+shingles are counted bit by bit, and only its fingerprint goes further.
 """
 
 from __future__ import annotations
