@@ -843,9 +843,9 @@ def stream_emit_gate(f):
 
 @query("SELECT host_id, list, instance, ts, sum(CASE WHEN last IS NULL OR ts - last > 15 THEN 1 ELSE 0 END) AS new_contacts FROM (SELECT *, lag(ts) OVER (PARTITION BY host_id, list, instance, a_ip, a_port, b_ip, b_port, proto ORDER BY ts) AS last FROM routed) GROUP BY host_id, list, instance, ts")
 def stream_threat_contacts(f):
-    from ..streaming import state
+    from ..streaming import behavior, state
 
-    rows = state.replay(f.routed, state.contact_state)
+    rows = state.replay(f.routed, state.contact_state, spark__sql__streaming__stateStore__providerClass=behavior.ROCKS)
     return rows.groupBy("host_id", "list", "instance", "snapshot_ts").agg(F.count_if("is_new").alias("new_contacts"))
 
 

@@ -76,10 +76,35 @@ def threat_state(signals: DataFrame) -> DataFrame:
     return stateful(on_time(signals), ["host_id", "instance"], "snapshot_ts", folds.intel_step, added, 86400)
 
 
-def contact_state(routed: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """routed pairs and whether each is a new contact; a pair's state goes once an interval has passed without it."""
-    keyed = on_time(routed.withColumn("pair_id", F.sha2(F.to_json("pair"), 256)).drop("pair"))
-    return stateful(keyed, ["host_id", "list", "instance", "pair_id"], "snapshot_ts", folds.contact_step(config), "is_new boolean", int(2 * config.interval_s))
+def contact_state(routed: DataFrame, config: Config = DEFAULT, buckets: int = 64) -> DataFrame:
+    """routed pairs and whether each is a new contact; a pair's state goes once an interval has passed without it.
+
+    The pairs of a list and machine are dealt to buckets by their digest. A bucket is one group with one state, the last time of
+    each of its pairs, so that the cost of a group is not that of a pair.
+    """
+    key, ttl = ["host_id", "list", "instance", "bucket"], int(2 * config.interval_s)
+    digest = F.unhex(F.sha2(F.to_json("pair"), 256))
+    keyed = on_time(routed.withColumn("pair_id", digest).drop("pair")).withColumns({"bucket": F.pmod(F.xxhash64("pair_id"), F.lit(buckets)), "t": F.unix_timestamp("snapshot_ts")})
+    schema = StructType([*keyed.schema.fields, *StructType.fromDDL("is_new boolean").fields])
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("t", kind="stable").reset_index(drop=True)
+        seen = pickle.loads(held.get[0]) if held.exists else {}
+        last = rows.groupby("pair_id", sort=False)["t"].shift()
+        last = last.where(last.notna(), rows["pair_id"].map(seen))
+        rows["is_new"] = last.isna() | (rows["t"] - last > config.interval_s)
+        seen.update(zip(rows["pair_id"], rows["t"].tolist()))
+        watermark = held.getCurrentWatermarkMs()
+        seen = {pair: t for pair, t in seen.items() if (t + ttl) * 1000 > watermark}
+        held.update((pickle.dumps(seen),))
+        if seen:
+            held.setTimeoutTimestamp((max(seen.values()) + ttl) * 1000)
+        yield rows
+
+    return keyed.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "update", GroupStateTimeout.EventTimeTimeout).drop("t", "bucket")
 
 
 def against_current_lists(flows: DataFrame, read_list: Callable[[], DataFrame], out: Callable[[DataFrame, int], None], checkpoint: str):
@@ -122,20 +147,20 @@ def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame], slices: Seq
     """rows written out, streamed through ``build`` until none are left, and what came out.
 
     ``slices`` are conditions, one for each part that is written by itself and read as a
-    micro-batch of its own, in that order; without any there is one part.
+    micro-batch of its own, in that order; without any there is one part. The stream is started
+    anew on the same checkpoint for each part, so that a part may have any number of files.
     """
     spark, folder = rows.sparkSession, shared(rows.sparkSession)
     if slices:
         rows.write.parquet(f"{folder}/all")
         rows = spark.read.parquet(f"{folder}/all")
-    for part in slices or (None,):
-        (rows if part is None else rows.where(part).coalesce(1)).write.mode("append").parquet(f"{folder}/in")
-    reader = spark.readStream.schema(rows.schema)
-    stream = build((reader.option("maxFilesPerTrigger", 1) if slices else reader).parquet(f"{folder}/in"))
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")  # a batch that is run again replaces itself
 
     with settings(spark, **conf):
-        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+        for part in slices or (None,):
+            (rows if part is None else rows.where(part)).write.mode("append").parquet(f"{folder}/in")
+            stream = build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+            stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
