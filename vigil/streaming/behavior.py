@@ -16,6 +16,7 @@ Prior sets are replaced whole with every snapshot, so one holds a snapshot's rem
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -138,7 +139,7 @@ class Baselines(Clocks):
             now_remotes, now_ports = {bytes(x) for x in remotes}, {int(x) for x in ports}
             n = len(now_remotes if fresh else now_remotes - prior[1])
             ceiling = self.config.remote_ceiling
-            new = {"new_remotes": min(n, ceiling), "new_remotes_saturated": n >= ceiling, "new_ports": len(now_ports if fresh else now_ports - prior[2])}
+            new = {"new_remotes": n, "new_remotes_saturated": n >= ceiling, "new_ports": len(now_ports if fresh else now_ports - prior[2])}
             held["priors"][key] = (t, now_remotes, now_ports)
             state = held["averages"][key] if isinstance(held["averages"][key], dict) else self.unpacked(held["averages"][key])
             out.append(new | average(state, {"t": t, "accounting": accounting, **dict(zip(AXES, axes))}))
@@ -272,19 +273,77 @@ class Alive(Clocks):
         self.STATES = {k: ("name string", "t long", s) for k, s in zip(self.KINDS, ttl)}
 
     def step(self, frame: pd.DataFrame) -> pd.DataFrame:
-        out, due = [], None
-        for t in frame["t"].tolist():
-            found = {k: self.alive(k, (k,), t) is not None for k in self.KINDS}
-            for k in self.KINDS:
-                if k != "reported" or not found[k]:
-                    self.maps[k].updateValue((k,), (t,))
-            out.append(found)
-            first = t + int(min(s for _, _, s in self.STATES.values())) + 1
-            due = first if due is None else min(due, first)
-        self.wake(due)
+        """State is read before the first row and written after the last: each call crosses over to the JVM."""
+        times = frame["t"].tolist()
+        held = {k: self.alive(k, (k,), times[0]) for k in self.KINDS}
+        out: dict[str, list[bool]] = {k: [] for k in self.KINDS}
+        for t in times:
+            for k, (_, _, ttl) in self.STATES.items():
+                found = held[k] is not None and t - held[k][0] <= ttl
+                out[k].append(found)
+                if k != "reported" or not found:
+                    held[k] = (t,)
+        for k, value in held.items():
+            self.maps[k].updateValue((k,), value)
+        self.wake(min(value[0] + int(self.STATES[k][2]) + 1 for k, value in held.items()))
         return pd.DataFrame(out, columns=self.added)
 
 
-def clocks(stream: DataFrame, config: Config = DEFAULT, delay: str = "1 minute") -> DataFrame:
-    """stream (host_id, instance, snapshot_ts) and which kinds of state each row finds alive."""
-    return _stage(stream.withColumn("t", F.unix_timestamp("snapshot_ts")).withWatermark("snapshot_ts", delay), Alive, config)
+class AliveTogether(StatefulProcessor):
+    """What Alive tells, for a bucket of machines at a time: one state holds the times of all of them, and one timer, set to the
+    first clock of any, removes what has run out. Most machines have few rows in a batch, so that calls for each would cost more than their rows."""
+
+    def __init__(self, names: list[str], config: Config = DEFAULT):
+        self.names = names
+        self.ttl = tuple(int(s) for _, _, s in Alive([], config).STATES.values())
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("clocks", "machines binary, timer long")
+
+    def read(self) -> tuple[dict[tuple, list], int | None]:
+        value = self.held.get() if self.held.exists() else None
+        return ({}, None) if value is None else (pickle.loads(value[0]), value[1])
+
+    def write(self, machines: dict[tuple, list], timer: int | None) -> None:
+        due = min((t + s + 1 for times in machines.values() for t, s in zip(times, self.ttl) if t is not None), default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer * 1000)
+        if due is None:
+            self.held.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due * 1000)
+        self.held.update((pickle.dumps(machines), due))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("snapshot_ts", kind="stable").reset_index(drop=True)
+        machines, timer = self.read()
+        found: list[list[bool]] = [[] for _ in Alive.KINDS]
+        for machine, t in zip(zip(frame["host_id"], frame["instance"]), frame["t"].tolist()):
+            times = machines.setdefault(machine, [None] * len(Alive.KINDS))
+            for k, (kind, ttl) in enumerate(zip(Alive.KINDS, self.ttl)):
+                alive = times[k] is not None and t - times[k] <= ttl
+                found[k].append(alive)
+                if kind != "reported" or not alive:
+                    times[k] = t
+        self.write(machines, timer)
+        yield frame.assign(**dict(zip(Alive.KINDS, found)))[self.names]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000
+        machines, _ = self.read()  # its timer has just gone
+        kept = {m: [t if t is not None and now - t <= s else None for t, s in zip(times, self.ttl)] for m, times in machines.items()}
+        self.write({m: times for m, times in kept.items() if any(t is not None for t in times)}, None)
+        return iter([])
+
+
+def clocks(stream: DataFrame, config: Config = DEFAULT, delay: str = "1 minute", buckets: int = 256) -> DataFrame:
+    """stream (host_id, instance, snapshot_ts) and which kinds of state each row finds alive; machines are dealt to buckets (0: each by itself)."""
+    timed = stream.withColumn("t", F.unix_timestamp("snapshot_ts")).withWatermark("snapshot_ts", delay)
+    if not buckets:
+        return _stage(timed, Alive, config)
+    schema = StructType([*timed.schema.fields, *StructType.fromDDL(Alive.ADDED).fields])
+    run = AliveTogether([f.name for f in schema.fields], config)
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64(*MACHINE), F.lit(buckets))).groupBy("bucket")
+    return dealt.transformWithStateInPandas(run, schema, "Append", "EventTime", eventTimeColumnName="snapshot_ts")
