@@ -136,20 +136,29 @@ class Fleet:
     def events(self) -> DataFrame:
         return attribution.identity_events(self.attributed, self.config.accounting)
 
-    @cached_property
-    def pairs(self) -> DataFrame:
-        """Flow counts by remote and port, written once; all that the feature chain needs of the flows."""
+    def written(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows from a table of their own in the shared folder: what several branches of a query read is made once, and its size is known."""
         folder = shared(self.spark)
-        features.by_pair(self.events).write.parquet(f"{folder}/pairs")
-        return self.spark.read.parquet(f"{folder}/pairs")
+        rows.write.parquet(f"{folder}/{name}")
+        return self.spark.read.parquet(f"{folder}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Writes these frames, for a query that has many uses of them."""
+        for name in names:
+            self.__dict__[name] = self.written(name, getattr(self, name))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """Flow counts by remote, written once; all that the feature chain needs of the flows."""
+        return self.written("seen", features.seen(self.events))
 
     @property
     def remotes(self) -> DataFrame:
-        return features.remotes_of(self.pairs) if "pairs" in self.__dict__ else features.by_remote(self.events)
+        return self.seen.drop("ports") if "seen" in self.__dict__ else features.by_remote(self.events)
 
     @property
     def ports(self) -> DataFrame:
-        return features.ports_of(self.pairs) if "pairs" in self.__dict__ else features.by_port(self.events)
+        return features.ports_seen(self.seen) if "seen" in self.__dict__ else features.by_port(self.events)
 
     @cached_property
     def host_ips(self) -> DataFrame:
@@ -170,10 +179,9 @@ class Fleet:
 
     @cached_property
     def features(self) -> DataFrame:
-        pairs = self.pairs
-        return features.features_of(
-            features.remotes_of(pairs), features.ports_of(pairs), self.host_ips, self.monitored, features.totals_of(pairs), self.table_max, self.config, self.islands
-        )
+        """A row for each identity and snapshot, few beside the flows; written once, since scores, hits and rules each ask for them."""
+        totals = features.totals_of(self.seen)
+        return self.written("features", features.features_of(self.remotes, self.ports, self.host_ips, self.monitored, totals, self.table_max, self.config, self.islands))
 
     @cached_property
     def scored(self) -> DataFrame:
