@@ -64,3 +64,27 @@ def test_features_are_made_once(spark, sf):
     f = Fleet(spark, sf)
     plan = f.features.join(f.features.select("host_id").distinct(), "host_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "last_seen" not in plan
+
+
+def test_folds_have_a_state_for_each_bucket_not_for_each_key(spark, tmp_path):
+    from vigil.operators import folds
+
+    rows = [(f"m{m}", at(t), t) for m in range(30) for t in (0, 10, 400 + m, 5000)] + [("end", at(30000), 30000)]
+    df = spark.createDataFrame(rows, "instance string, ts timestamp, s int")
+
+    @folds.reading("t")
+    def count(held, row):
+        held["n"] = held.get("n", 0) + 1
+        return {"n": held["n"]}
+
+    got, progress = [], []
+    for low, high in ((0, 400), (400, 1000), (5000, 10000), (20000, 40000)):  # a key's 1,000 s have run out before its fourth row
+        df.where(F.col("s").between(low, high - 1)).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.on_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts")
+        q = state.stateful(stream, ["instance"], "ts", count, "n int", ttl_s=1000, buckets=3).writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(b.collect()))
+        q = q.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress += [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert sorted((r["instance"], r["s"], r["n"]) for r in got if r["s"] < 5000) == sorted((f"m{m}", t, n) for m in range(30) for n, t in enumerate((0, 10, 400 + m), 1))
+    assert {r["n"] for r in got if r["s"] == 5000} == {4}  # data comes before the timer in a batch, as for a key by itself
+    assert max(progress) <= 3 and progress[-1] == 1

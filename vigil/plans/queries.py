@@ -819,11 +819,15 @@ def stream_presence_state(f):
     return _streamed(f, f.absences)
 
 
+#: Stores of the single folds: each is a file in every micro-batch, and their states are small.
+STATES = {"spark__sql__shuffle__partitions": "24"}
+
+
 @query("SELECT host_id, instance, ts AS at, round(overall, 4) AS overall, top_axis, band FROM res")
 def stream_resource_state(f):
     from ..streaming import state
 
-    return state.replay(f.pressures, state.resource_state).select("host_id", "instance", F.col("ts").alias("at"), "overall", "top_axis", "band")
+    return state.replay(f.pressures, state.resource_state, **STATES).select("host_id", "instance", F.col("ts").alias("at"), "overall", "top_axis", "band")
 
 
 @query("SELECT host_id, instance, ts, round(e, 4) AS intel_ewma, round(least(1, greatest(0, 0.5 * instant + 0.5 * e)), 4) AS intel_combined FROM intel")
@@ -831,7 +835,7 @@ def stream_threat_state(f):
     from ..streaming import state
 
     counts = threat.hit_counts(f.routed).select("host_id", "snapshot_ts", "instance", "list", F.col("active").alias("hits"))
-    return state.replay(scoring.threat_signal(counts), state.threat_state).select("host_id", "instance", "snapshot_ts", "intel_ewma", "intel_combined")
+    return state.replay(scoring.threat_signal(counts), state.threat_state, **STATES).select("host_id", "instance", "snapshot_ts", "intel_ewma", "intel_combined")
 
 
 @query(f"SELECT {ID}, kind, emitted, emit_reason, suppress_reason FROM gated")
@@ -839,7 +843,7 @@ def stream_emit_gate(f):
     from ..streaming import state
 
     needed = ("kind", "hits", "required", "priority", "severity_band", "remote_share", "port_share", "top_remote", "top_port")
-    return state.replay(f.alerts.select(*IDENT, *needed), state.emit_state).select(*IDENT, "kind", "emitted", "emit_reason", "suppress_reason")
+    return state.replay(f.alerts.select(*IDENT, *needed), state.emit_state, **STATES).select(*IDENT, "kind", "emitted", "emit_reason", "suppress_reason")
 
 
 @query("SELECT host_id, list, instance, ts, sum(CASE WHEN last IS NULL OR ts - last > 15 THEN 1 ELSE 0 END) AS new_contacts FROM (SELECT *, lag(ts) OVER (PARTITION BY host_id, list, instance, a_ip, a_port, b_ip, b_port, proto ORDER BY ts) AS last FROM routed) GROUP BY host_id, list, instance, ts")

@@ -1,6 +1,6 @@
-"""The folds over streams: one state for each key, the same step functions as in batch.
+"""The folds over streams: the same step functions as in batch, the states of a bucket of keys kept together.
 
-State is a pickled dict of a few scalars. Rows that arrive in one micro-batch are taken in
+A key's state is a dict of a few scalars; a bucket's are pickled. Rows that arrive in one micro-batch are taken in
 event-time order; rows older than the watermark are late and go. A key without rows for
 ``ttl_s`` of event time loses its state by a timer.
 """
@@ -35,27 +35,42 @@ def snapshots(flows: DataFrame, interval: str = "15 seconds") -> DataFrame:
     )
 
 
-def stateful(stream: DataFrame, key: list[str], order: str, step: Callable[[dict, dict], dict], added: str, ttl_s: int) -> DataFrame:
-    """stream (with a watermark on ``order``) and the columns of the step."""
-    timed = stream.withColumn("t", F.unix_timestamp(order))
+def stateful(stream: DataFrame, key: list[str], order: str, step: Callable[[dict, dict], dict], added: str, ttl_s: int, buckets: int = 256) -> DataFrame:
+    """stream (with a watermark on ``order``) and the columns of the step.
+
+    Keys are dealt to buckets. A bucket is one group with one state, that of each of its keys and when it runs out, so that
+    the cost of a group is not that of a key.
+    """
+    timed = stream.withColumns({"t": F.unix_timestamp(order), "bucket": F.pmod(F.xxhash64(*key), F.lit(buckets))})
     schema = StructType([*timed.schema.fields, *StructType.fromDDL(added).fields])
     names = [f.name for f in StructType.fromDDL(added).fields]
     reads = list(getattr(step, "reads", timed.columns))
 
+    def keep(held: GroupState, states: dict[tuple, tuple[dict, int]]) -> None:
+        """What has not run out, and a timer at the first end."""
+        watermark = held.getCurrentWatermarkMs()
+        states = {k: (state, end) for k, (state, end) in states.items() if end * 1000 >= watermark}
+        if not states:
+            held.remove()
+            return
+        held.update((pickle.dumps(states),))
+        held.setTimeoutTimestamp(min(end for _, end in states.values()) * 1000)
+
     def run(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states = pickle.loads(held.get[0]) if held.exists else {}
         if held.hasTimedOut:
-            held.remove()
+            keep(held, states)
             return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable").reset_index(drop=True)
-        state = pickle.loads(held.get[0]) if held.exists else {}
-        out = [step(state, row) for row in rows[reads].to_dict("records")]
-        held.update((pickle.dumps(state),))
-        timer = int(rows["t"].iloc[-1] + ttl_s) * 1000
-        if timer > held.getCurrentWatermarkMs():
-            held.setTimeoutTimestamp(timer)
+        out = []
+        for own, t, *values in zip(zip(*(rows[k].tolist() for k in key)), rows["t"].tolist(), *(rows[c].tolist() for c in reads)):
+            state = states[own][0] if own in states else {}
+            out.append(step(state, dict(zip(reads, values))))
+            states[own] = state, t + ttl_s
+        keep(held, states)
         yield pd.concat([rows, pd.DataFrame(out, columns=names)], axis=1)
 
-    return timed.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "update", GroupStateTimeout.EventTimeTimeout).drop("t")
+    return timed.groupBy("bucket").applyInPandasWithState(run, schema, "state binary", "update", GroupStateTimeout.EventTimeTimeout).drop("t", "bucket")
 
 
 def behavior_state(features: DataFrame, config: Config = DEFAULT) -> DataFrame:
