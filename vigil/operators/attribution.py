@@ -73,10 +73,10 @@ def identity_events(attributed: DataFrame, accounting: bool = True) -> DataFrame
         ),
     )
     return attributed.select(
-        "host_id", "snapshot_ts", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e"),
+        "host_id", "snapshot_ts", F.explode(ends).alias("e"),
         F.col("dst_port").alias("port"), "proto", (F.col("rev_packets") == 0).alias("unreplied"),
         volume("bytes").alias("bytes"), volume("packets").alias("packets"),
-    ).select("host_id", "snapshot_ts", "e.*", "port", "proto", "unreplied", "bytes", "packets")
+    ).where("e is not null").select("host_id", "snapshot_ts", "e.*", "port", "proto", "unreplied", "bytes", "packets")
 
 
 def instance_flow_totals(attributed: DataFrame) -> DataFrame:

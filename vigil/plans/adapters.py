@@ -11,7 +11,7 @@ from ..config import IDENTITY, Config
 from ..functions import ip as addr
 from ..operators import attribution, classifier, deltas, features, folds, scoring, threat
 from ..sources.builtin_ports import BUILTIN
-from ..streaming.state import shared
+from ..streaming.state import settings, shared
 
 START = 1704067200  # the first snapshot; one every 15 s
 
@@ -150,7 +150,8 @@ class Fleet:
     @cached_property
     def seen(self) -> DataFrame:
         """Flow counts by remote, written once; all that the feature chain needs of the flows."""
-        return self.written("seen", features.seen(self.events))
+        with settings(self.spark, **features.IN_ORDER):
+            return self.written("seen", features.seen(self.events))
 
     @property
     def remotes(self) -> DataFrame:
