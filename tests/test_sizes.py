@@ -88,3 +88,22 @@ def test_folds_have_a_state_for_each_bucket_not_for_each_key(spark, tmp_path):
     assert sorted((r["instance"], r["s"], r["n"]) for r in got if r["s"] < 5000) == sorted((f"m{m}", t, n) for m in range(30) for n, t in enumerate((0, 10, 400 + m), 1))
     assert {r["n"] for r in got if r["s"] == 5000} == {4}  # data comes before the timer in a batch, as for a key by itself
     assert max(progress) <= 3 and progress[-1] == 1
+
+
+def test_flows_by_remote_are_sorted_once(spark, sf):
+    with state.settings(spark, **features.IN_ORDER):
+        plan = features.seen(Fleet(spark, sf).events)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("Sort [deal") == 1
+
+
+def test_sketches_tell_how_far_off_they_may_be(spark):
+    from vigil.operators import sketches
+
+    ident = "h AS host_id, 'vm' AS instance, binary('x') AS ip, 'outbound' AS direction, timestamp_seconds(1704067200) AS snapshot_ts".replace("h AS", "'h' AS")
+    rows = lambda low, high: spark.range(low, high).selectExpr(*ident.split(", "), "unhex(sha1(string(id))) AS remote")
+    one = lambda low, high: sketches.merged(sketches.remote_summaries(rows(low, high), lg_theta=12).drop("heavy"), F.lit(0), lg_k=12).drop("span")
+    off = lambda now, before: sketches.fresh(now, before, lg_k=12).first()["new_error"]
+    before = one(0, 50_000)
+    assert off(one(49_000, 51_000), before) > 0.03  # a small part of a set much larger than the sketch
+    assert off(one(1000, 2500), one(0, 2000)) == 0
+    assert 2 ** sketches.precision(0.03, 1 / 8) >= (5 / 0.03) ** 2 * 8 > 2 ** (sketches.precision(0.03, 1 / 8) - 1)
