@@ -87,12 +87,14 @@ def marks(keyed: DataFrame, min_words: int) -> DataFrame:
     placed = placed.select("*", a.alias("a"), (F.least("p", F.size("t") - min_words) - a + 1).alias("n"))
     # of the windows, those that begin half of the reach or more before p all hold the words before it, the others those behind it
     reach = reach_before(min_words)
+    placed = placed.select("*", F.xxhash64(part("t", F.col("p"), half)).alias("g"))
+    # the words of g are in it already: the other hashes take only those around them
+    ahead, end = F.col("p") - F.col("a"), F.col("a") + F.col("n") + (min_words - 1)
     return placed.select(
-        "key", "ord", "p", "a", "n",
-        F.xxhash64(part("t", F.col("p"), half)).alias("g"),
-        F.xxhash64(part("t", F.col("a"), F.col("n") + (min_words - 1)), F.col("p") - F.col("a")).alias("h"),
-        F.when(F.col("p") - F.col("a") >= reach, F.xxhash64(part("t", F.col("p") - reach, half + reach))).alias("before"),
-        F.when(F.col("p") - F.col("a") - F.col("n") < reach - 1, F.xxhash64(part("t", F.col("p"), min_words - reach + 1))).alias("behind"),
+        "key", "ord", "p", "a", "n", "g",
+        F.xxhash64(part("t", F.col("a"), ahead), part("t", F.col("p") + half, end - F.col("p") - half), ahead, F.col("g")).alias("h"),
+        F.when(ahead >= reach, F.xxhash64(part("t", F.col("p") - reach, reach), F.col("g"))).alias("before"),
+        F.when(ahead - F.col("n") < reach - 1, F.xxhash64(part("t", F.col("p") + half, min_words - reach + 1 - half), F.col("g"))).alias("behind"),
     )
 
 
