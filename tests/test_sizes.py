@@ -107,3 +107,26 @@ def test_sketches_tell_how_far_off_they_may_be(spark):
     assert off(one(49_000, 51_000), before) > 0.03  # a small part of a set much larger than the sketch
     assert off(one(1000, 2500), one(0, 2000)) == 0
     assert 2 ** sketches.precision(0.03, 1 / 8) >= (5 / 0.03) ** 2 * 8 > 2 ** (sketches.precision(0.03, 1 / 8) - 1)
+
+
+def test_remotes_are_summed_in_a_hash_table_in_one_pass(spark, sf):
+    f = Fleet(spark, sf)
+    plan = features.remote_counts(f.seen, f.host_ips)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    # of all that has a row for each remote, features read the leading ones only; ports and counts come from small tables
+    made, write = [], f.written
+    f.written = lambda name, rows: (made.append((name, rows._jdf.queryExecution().optimizedPlan().toString())), write(name, rows))[1]
+    f.features  # noqa: B018
+    assert [name for name, _ in made] == ["counts", "ports", "features"] or [name for name, _ in made] == ["ports", "counts", "features"]
+
+
+def test_the_top_remote_is_the_least_of_those_with_most_flows(spark):
+    snapshot = "h", "vm1", b"a" * 16, "outbound"
+    rows = [(*snapshot, at(15 * k), bytes(15) + bytes([r]), n, 0, 0, 0, 0, 0) for k in range(2) for r, n in ((5, 3), (4, 3), (1, 2), (6, 1 + k))]
+    names = "host_id string, instance string, ip binary, direction string, snapshot_ts timestamp, remote binary, " + ", ".join(f"{c} long" for c in features.COUNTS)
+    remotes = spark.createDataFrame(rows, names)
+    host_ips = spark.createDataFrame([("h", bytes(15) + b"\x09")], "host_id string, ip binary")
+    counts = features.remote_counts(remotes, host_ips)
+    most = counts.groupBy("host_id", "instance", "ip", "direction", "snapshot_ts").agg(F.max("max_single_remote").alias("max_single_remote"))
+    assert [bytes(r["top_remote"])[-1] for r in features._tops(remotes, most).collect()] == [4, 4]
+    assert sorted((r["last_seen"] is None, r["n"], r["flows"]) for r in counts.collect()) == [(False, 4, 10), (True, 4, 9)]

@@ -21,8 +21,8 @@ def packed(text: str) -> bytearray:
 
 
 def from_long(v4: Column) -> Column:
-    """BIGINT IPv4 -> BINARY(16)."""
-    return F.concat(F.lit(bytearray(MAPPED)), F.unhex(F.lpad(F.hex(v4.cast("long")), 8, "0")))
+    """BIGINT IPv4 -> BINARY(16). With the mark of a mapped address before it the number always has twelve digits."""
+    return F.concat(F.lit(bytearray(MAPPED[:10])), F.unhex(F.hex(v4.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(0xFFFF << 32)))))
 
 
 def to_long(ip: Column) -> Column:

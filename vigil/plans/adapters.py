@@ -157,9 +157,14 @@ class Fleet:
     def remotes(self) -> DataFrame:
         return self.seen.drop("ports") if "seen" in self.__dict__ else features.by_remote(self.events)
 
+    @cached_property
+    def ports_seen(self) -> DataFrame:
+        """Flow counts by port, few beside those by remote; written once, as several steps read them."""
+        return self.written("ports", features.ports_seen(self.seen))
+
     @property
     def ports(self) -> DataFrame:
-        return features.ports_seen(self.seen) if "seen" in self.__dict__ else features.by_port(self.events)
+        return self.ports_seen if "seen" in self.__dict__ else features.by_port(self.events)
 
     @cached_property
     def host_ips(self) -> DataFrame:
@@ -181,8 +186,10 @@ class Fleet:
     @cached_property
     def features(self) -> DataFrame:
         """A row for each identity and snapshot, few beside the flows; written once, since scores, hits and rules each ask for them."""
-        totals = features.totals_of(self.seen)
-        return self.written("features", features.features_of(self.remotes, self.ports, self.host_ips, self.monitored, totals, self.table_max, self.config, self.islands))
+        counts = self.written("counts", features.remote_counts(self.seen, self.host_ips))
+        totals = features.totals_of(counts)
+        rows = features.features_of(self.remotes, self.ports, self.host_ips, self.monitored, totals, self.table_max, self.config, self.islands, counts)
+        return self.written("features", rows)
 
     @cached_property
     def scored(self) -> DataFrame:
