@@ -137,3 +137,26 @@ def test_reports_take_the_scores_of_the_nth_hit(spark):
     got = p.step(frame)
     assert got["hits"].tolist() == [1, 2, 3, 4] and got["confidence_score"].tolist() == [40, 60, 80, 80]
     assert got["emitted"].tolist() == [False, False, True, False] and got["emit_reason"].tolist() == [None, None, "new_kind", None]
+
+
+def test_remotes_of_a_snapshot_are_one_value(spark):
+    """Addresses lie one behind the other, whatever their last bytes, from the rows to the state."""
+    remotes = [bytes([0, k // 256, k % 256]) + bytes(13) for k in range(70_000 // 256 * 4)]
+    p = behavior.Baselines([], Config())
+    p.init(FakeHandle())
+    base = {"ip": IP, "direction": "outbound", "present": True, "ports": [80], "accounting": False, **dict.fromkeys(behavior.AXES, 1.0)}
+    got = p.step(pd.DataFrame([base | {"t": 0, "remotes": b"".join(remotes)}, base | {"t": 15, "remotes": b"".join(reversed(remotes[5:])) + b"\1" * 16}]))
+    assert got["new_remotes"].tolist() == [len(remotes), 1]
+    (held,) = p.maps["priors"].held.values()
+    assert isinstance(held[1], bytes) and len(held[1]) == 16 * (len(remotes) - 4)
+    again = p.step(pd.DataFrame([base | {"t": 30, "remotes": b"".join(remotes)}]))
+    assert again["new_remotes"].tolist() == [5]
+
+
+def test_inputs_have_one_value_of_remotes(spark, sf):
+    from vigil.plans.adapters import Fleet
+
+    f = Fleet(spark, sf)
+    rows = behavior.inputs(f.features, f.remotes, f.ports)
+    assert dict(rows.dtypes)["remotes"] == "binary"
+    assert rows.where(F.length("remotes") != 16 * F.col("unique_remotes")).count() == 0

@@ -11,7 +11,8 @@ a snapshot, prior sets after ``prior_ttl_s``, persistence after ``persist_ttl_s`
 after ``emit_ttl_s`` since the last report. A step looks at the clock before it uses a state, and one
 timer for each machine, set to its first clock, removes what has run out.
 
-Prior sets are replaced whole with every snapshot, so one holds a snapshot's remotes as one value, not as many keys.
+Prior sets are replaced whole with every snapshot, so one holds a snapshot's remotes as one value, not as many keys: the
+addresses one behind the other, 16 bytes each, which are sorted and met as one array. It is as long as one address's part of its host's flow table.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ import pickle
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 
 from ..config import DEFAULT, SNAPSHOT, Config
 from ..operators import classifier, folds, scoring
 
 MACHINE = ["host_id", "instance"]
 AXES = [name for name, *_ in folds.AXES]
+ADDRESS = "S16"  # as numpy has it; equal if all 16 bytes are
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -116,7 +119,7 @@ class Baselines(Clocks):
         pairs = ", ".join(f"{a}_{k} double" for a in AXES for k in ("fast", "slow"))
         self.STATES = {
             "averages": ("ip binary, direction string", f"t long, {pairs}", config.ewma_ttl_s),
-            "priors": ("ip binary, direction string", "t long, remotes array<binary>, ports array<int>", config.prior_ttl_s),
+            "priors": ("ip binary, direction string", "t long, remotes binary, ports array<int>", config.prior_ttl_s),
         }
 
     def step(self, frame: pd.DataFrame) -> pd.DataFrame:
@@ -136,8 +139,8 @@ class Baselines(Clocks):
                     held[name][key] = self.alive(name, key, t)
             prior = held["priors"][key]
             fresh = prior is None or t - prior[0] > self.config.prior_ttl_s
-            now_remotes, now_ports = {bytes(x) for x in remotes}, {int(x) for x in ports}
-            n = len(now_remotes if fresh else now_remotes - prior[1])
+            now_remotes, now_ports = np.unique(np.frombuffer(remotes, ADDRESS)), {int(x) for x in ports}
+            n = len(now_remotes) - (0 if fresh else len(np.intersect1d(now_remotes, prior[1], assume_unique=True)))
             ceiling = self.config.remote_ceiling
             new = {"new_remotes": n, "new_remotes_saturated": n >= ceiling, "new_ports": len(now_ports if fresh else now_ports - prior[2])}
             held["priors"][key] = (t, now_remotes, now_ports)
@@ -149,13 +152,13 @@ class Baselines(Clocks):
         for key, state in held["averages"].items():
             self.maps["averages"].updateValue(key, self.packed(state))
         for key, (t, remotes, ports) in held["priors"].items():
-            self.maps["priors"].updateValue(key, (t, sorted(remotes), sorted(ports)))
+            self.maps["priors"].updateValue(key, (t, remotes.tobytes(), sorted(ports)))
         self.wake(due)
         return pd.DataFrame(out, columns=self.added)
 
     def alive(self, name: str, key: tuple, now: int) -> tuple | None:
         value = super().alive(name, key, now)
-        return value if value is None or name != "priors" else (value[0], {bytes(x) for x in value[1]}, set(value[2]))
+        return value if value is None or name != "priors" else (value[0], np.frombuffer(value[1], ADDRESS), set(value[2]))
 
     @staticmethod
     def packed(state: dict) -> tuple:
@@ -222,9 +225,9 @@ def _stage(stream: DataFrame, processor: type[Clocks], config: Config) -> DataFr
 
 
 def inputs(features: DataFrame, remotes: DataFrame, ports: DataFrame, absences: DataFrame | None = None) -> DataFrame:
-    """Rows for the chain: features with the remotes and ports of the snapshot, and a row for each absence (host_id, instance, snapshot_ts)."""
+    """Rows for the chain: features with the remotes (16 bytes each, in one value) and ports of the snapshot, and a row for each absence (host_id, instance, snapshot_ts)."""
     known = ["new_remotes", "new_remotes_saturated", "new_ports", *(c for c in features.columns if c.endswith(("_fast", "_slow", "_anomaly")) or c == "signal")]
-    seen = remotes.groupBy(*SNAPSHOT).agg(F.collect_set("remote").alias("remotes"))
+    seen = remotes.groupBy(*SNAPSHOT).agg(F.listagg("remote").alias("remotes"))
     used = ports.groupBy(*SNAPSHOT).agg(F.collect_set(F.col("port").cast("int")).alias("ports"))
     rows = features.drop(*known).join(seen, SNAPSHOT).join(used, SNAPSHOT, "left").withColumn("ports", F.coalesce("ports", F.array().cast("array<int>")))
     rows = rows.withColumn("present", F.lit(True))
@@ -233,8 +236,16 @@ def inputs(features: DataFrame, remotes: DataFrame, ports: DataFrame, absences:
     return rows.withColumn("t", F.unix_timestamp("snapshot_ts"))
 
 
+def one_value(addresses: Column) -> Column:
+    """An array of addresses, one behind the other; shorter ones are filled up in front."""
+    filled = F.transform(addresses, lambda x: F.hex(F.lpad(x, 16, F.lit(bytearray(1)))))
+    return F.unhex(F.array_join(filled, ""))
+
+
 def baselines(stream: DataFrame, config: Config = DEFAULT, delay: str = "1 minute") -> DataFrame:
-    """inputs() as a stream -> its rows with what is new and the averages."""
+    """inputs() as a stream -> its rows with what is new and the averages. Remotes may be an array of addresses as well."""
+    if stream.schema["remotes"].dataType != BinaryType():
+        stream = stream.withColumn("remotes", one_value(F.col("remotes")))
     return _stage(stream.withWatermark("snapshot_ts", delay), Baselines, config)
 
 
