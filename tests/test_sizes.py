@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.config import Config
 from vigil.operators import features
-from vigil.plans.adapters import Fleet
+from vigil.plans.adapters import ComingAndGoing, Fleet
 from vigil.streaming import behavior, state
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -130,3 +130,9 @@ def test_the_top_remote_is_the_least_of_those_with_most_flows(spark):
     most = counts.groupBy("host_id", "instance", "ip", "direction", "snapshot_ts").agg(F.max("max_single_remote").alias("max_single_remote"))
     assert [bytes(r["top_remote"])[-1] for r in features._tops(remotes, most).collect()] == [4, 4]
     assert sorted((r["last_seen"] is None, r["n"], r["flows"]) for r in counts.collect()) == [(False, 4, 10), (True, 4, 9)]
+
+
+def test_cycles_of_the_hosts_are_read_from_the_flows_once(spark, sf):
+    f = ComingAndGoing(spark, sf)
+    for rows in (f.active, f.islands, f.absences):
+        assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() + str(rows.inputFiles())

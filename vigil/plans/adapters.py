@@ -298,20 +298,24 @@ AWAY_EVERY = 5
 class ComingAndGoing(Fleet):
     """The fleet with machines that leave and return, and take their state with them."""
 
+    @cached_property
+    def cycles(self) -> DataFrame:
+        """Each host's cycles, few; written once, as each use of them would read all flows."""
+        return self.written("cycles", self.flows.select("host_id", "snapshot_ts").distinct())
+
     @cached_property
     def active(self) -> DataFrame:
-        cycles = self.flows.select("host_id", "snapshot_ts").distinct()
-        every = self.instances.select("host_id", "instance").join(cycles, "host_id")
+        every = self.instances.select("host_id", "instance").join(self.cycles, "host_id")
         n = (F.unix_timestamp("snapshot_ts") - START) / 15 + F.substring("instance", 3, 9).cast("int")
         return every.where(n % AWAY_EVERY != 0)
 
     @cached_property
     def islands(self) -> DataFrame:
-        return deltas.presence_islands(self.active, self.flows, ["host_id", "instance"])
+        return deltas.presence_islands(self.active, self.cycles, ["host_id", "instance"])
 
     @cached_property
     def absences(self) -> DataFrame:
-        return deltas.absences(self.active, self.flows)
+        return deltas.absences(self.active, self.cycles)
 
     @cached_property
     def events(self) -> DataFrame:
