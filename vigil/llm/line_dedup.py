@@ -38,12 +38,15 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.state import settings
 from .common import written
 
 MIN_WORDS = 50
 SLOTS = 1 << 18
 ADDED = ("n_chars", "n_runs", "n_removed_words")
 MARK = "\x01"
+#: Joins hash the smaller side where all of its parts are small, instead of sorting both.
+HASHED = {"spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold": "64m"}
 
 #: Working columns, named so that they meet no column of the input.
 KEY, SLOT, RUNS, N_RUNS, N_WORDS = "__key", "__slot", "__runs", "__n_runs", "__n_words"
@@ -192,7 +195,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, added: tuple[str, str, st
     own = [c for c in docs.columns if c not in added and c != "text"]
     key = F.xxhash64("doc_id", "text")
     keyed = docs.where("text is not null").select(key.alias("key"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "text")
-    found = repeats(keyed, min_words).withColumnsRenamed({"key": KEY, "runs": RUNS})
+    with settings(docs.sparkSession, **HASHED):
+        found = repeats(keyed, min_words).withColumnsRenamed({"key": KEY, "runs": RUNS})
     # only texts whose slot has a match are shuffled
     rows = docs.select(*own, "text").withColumns({KEY: F.when(F.col("text").isNotNull(), key)}).withColumn(SLOT, slot(F.col(KEY)))
     full = slots(found, KEY).withColumnRenamed("slot", SLOT)
