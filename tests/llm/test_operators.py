@@ -524,6 +524,38 @@ def test_line_dedup_against_all_windows(spark, docs):
         assert got[doc]["n_runs"] == sum(i - 1 not in cut[doc] for i in cut[doc])
 
 
+def test_line_dedup_hashes_each_window_once(spark):
+    """Places are few, and windows in several groups of a document are one row each."""
+    words = [f"w{i}" for i in range(6000)]
+    rows = spark.createDataFrame([(1, 1, " ".join(words))], "key long, ord long, text string")
+    places = line_dedup.marks(rows, 50).collect()
+    assert len(places) < len(words) / 17
+    # all windows have a place, and those of neighbours meet on one side only
+    covered = [i for r in places for i in range(r["a"], r["a"] + r["n"])]
+    assert set(covered) == set(range(len(words) - 49)) and len(covered) < 2 * len(words)
+    asked = rows.withColumn("groups", F.expr("array(struct(3 as a, 20 as n), struct(10 as a, 26 as n), struct(40 as a, 1 as n))"))
+    assert sorted(r["p"] for r in line_dedup.windows(asked, 50).collect()) == [*range(3, 36), 40]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 11, 25])
+def test_line_dedup_of_any_length(spark, n):
+    """Few different words, so that passages meet, overlap themselves and differ in single words; odd blanks."""
+    g = np.random.default_rng(n)
+    base = [g.choice(list("abc"), 60) for _ in range(3)]
+    texts = {}
+    for doc in range(60):
+        words = np.concatenate([base[g.integers(3)][(low := g.integers(40)) : low + g.integers(8, 60)] for _ in range(g.integers(1, 4))])
+        words[g.integers(len(words), size=2)] = f"x{doc}"
+        texts[doc] = "".join(g.choice(["", "", " ", "\n \n"]) + w + g.choice([" ", " ", "\n"]) for w in words)
+    cut = repeated_words(texts, n)
+    for r in line_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), n).collect():
+        words = re.findall(r"[^ \n]+", texts[r["doc_id"]])
+        kept = "".join(w + gap for i, (w, gap) in enumerate(re.findall(r"([^ \n]+)([ \n]*)", texts[r["doc_id"]])) if i not in cut[r["doc_id"]])
+        lead = "" if 0 in cut[r["doc_id"]] else re.match(r"[ \n]*", texts[r["doc_id"]]).group()
+        assert r["text"] == lead + kept, r["doc_id"]
+        assert (r["n_removed_words"], r["n_runs"]) == (len(cut[r["doc_id"]]), sum(i - 1 not in cut[r["doc_id"]] for i in cut[r["doc_id"]]))
+
+
 def test_line_dedup_gathers_by_document_only(spark, monkeypatch):
     """No row holds what many documents share with a first one: lists are of one document's own places."""
     plans = []

@@ -1,16 +1,16 @@
 """Removal of repeated passages by winnowing over hashes of words, in DataFrame operations only.
 
-Words are what blanks and line ends part. Of every half window of words (``min_words`` // 2 + 1
-neighbours) the word with the least hash is kept (the leftmost of equals), and the run of
-``min_words`` // 2 words that starts there is hashed as a fingerprint. Any two equal windows of
-``min_words`` words hold the same fingerprint at the same place: none is missed, whatever
-lines or punctuation they hold.
+Words are what blanks and line ends part. A fingerprint is a run of f = ``min_words`` // 5 words.
+Of the ``min_words`` - f + 1 words of a window that a fingerprint can start at, the one with the
+least hash is kept (the leftmost of equals), and the fingerprint from there on is hashed. Any two
+equal windows of ``min_words`` words hold the same fingerprint at the same place: none is missed,
+whatever lines or punctuation they hold.
 
 Fingerprints found once are left. A place of a repeated one is extended both ways: its context
-of all words that a window over it can reach is hashed too. Where the context equals an
-earlier place's, all its windows are repeats. The places that remain (the first with their
+of all words in windows over it, from the first that keeps it on, is hashed too. Where the
+context equals an earlier place's, all its windows are repeats. The places that remain (the first with their
 context, so one for each different context) are compared window by window, if another one also
-holds the dozen words before or behind that such windows need. A window that equals
+holds the twenty words before or behind that such windows need. A window that equals
 an earlier one (by doc_id, then place) is deleted; windows that overlap make one run, so every
 run of ``min_words`` words or more that repeats is cut to its full length. The first one stays,
 also within a document: a window that overlaps its own first place is no repeat. Equality is
@@ -70,8 +70,8 @@ def part(array: Column | str, start: Column, n: Column | int) -> Column:
 
 def marks(keyed: DataFrame, min_words: int) -> DataFrame:
     """keyed (key, ord, text) -> (key, ord, p, a, n, g, h): each fingerprint g and its place p, the n windows from a on that hold it, and the hash h of their words."""
-    half = min_words // 2
-    cells = min_words - half + 1
+    length = fingerprint_words(min_words)
+    cells = min_words - length + 1
     rows = keyed.select("key", "ord", hashes(F.col("text")).alias("t"))
     last = F.size("t") - min_words
     # the outer explode has no filter inferred, which would be pushed down into the arrays
@@ -83,26 +83,34 @@ def marks(keyed: DataFrame, min_words: int) -> DataFrame:
     near = range(min(4, cells - 1))
     left_may = reduce(and_, [left <= F.get("t", F.col("i") + k) for k in near], F.lit(True))
     entered_may = reduce(and_, [entered < F.get("t", F.col("i") + (cells - 2 - k)) for k in near], F.lit(True))
-    chosen = rows.where((F.col("i") == 0) | (left_may & (left <= rest)) | (entered_may & (entered < rest)))
+    changed = (left_may & (left <= rest)) | (entered_may & (entered < rest)) if cells > 1 else F.col("i").isNotNull()
+    chosen = rows.where((F.col("i") == 0) | changed)
     p = (F.col("i") + F.array_position(part("t", F.col("i"), cells), F.least(rest, entered)) - 1).cast("int")
-    placed = chosen.select("key", "ord", "t", p.alias("p"))
-    a = F.greatest(F.col("p") - (min_words - half), F.lit(0))
-    placed = placed.select("*", a.alias("a"), (F.least("p", F.size("t") - min_words) - a + 1).alias("n"))
+    # the windows before i have another place, so those from i on are all that this one answers for
+    placed = chosen.select("key", "ord", "t", p.alias("p"), F.col("i").alias("a"))
+    placed = placed.select("*", (F.least("p", F.size("t") - min_words) - F.col("a") + 1).alias("n"))
     # of the windows, those that begin half of the reach or more before p all hold the words before it, the others those behind it
     reach = reach_before(min_words)
-    placed = placed.select("*", F.xxhash64(part("t", F.col("p"), half)).alias("g"))
-    # the words of g are in it already: the other hashes take only those around them
-    ahead, end = F.col("p") - F.col("a"), F.col("a") + F.col("n") + (min_words - 1)
+    placed = placed.select("*", F.xxhash64(part("t", F.col("p"), length)).alias("g"))
+    # each word is hashed once: a hash takes in those of the words that it holds
+    low, high, end = F.greatest(F.col("p") - reach, "a"), F.col("p") + (min_words - reach + 1), F.col("a") + F.col("n") + (min_words - 1)
+    before = F.xxhash64(part("t", low, F.col("p") - low), F.col("g")).alias("before")
+    behind = F.xxhash64(part("t", F.col("p") + length, min_words - reach + 1 - length), F.col("g")).alias("behind")
+    placed = placed.select("*", before, behind)
     return placed.select(
         "key", "ord", "p", "a", "n", "g",
-        F.xxhash64(part("t", F.col("a"), ahead), part("t", F.col("p") + half, end - F.col("p") - half), ahead, F.col("g")).alias("h"),
-        F.when(ahead >= reach, F.xxhash64(part("t", F.col("p") - reach, reach), F.col("g"))).alias("before"),
-        F.when(ahead - F.col("n") < reach - 1, F.xxhash64(part("t", F.col("p") + half, min_words - reach + 1 - half), F.col("g"))).alias("behind"),
+        F.xxhash64(part("t", F.col("a"), low - F.col("a")), part("t", high, F.greatest(end - high, F.lit(0))), F.col("p") - F.col("a"), "before", "behind").alias("h"),
+        "before", "behind",
     )
 
 
+def fingerprint_words(min_words: int) -> int:
+    """Of a window; the fewer they are, the fewer places there are."""
+    return max(min_words // 5, 1)
+
+
 def reach_before(min_words: int) -> int:
-    return max((min_words - min_words // 2 + 1) // 2, 1)
+    return max((min_words - fingerprint_words(min_words) + 1) // 2, 1)
 
 
 def halves(places: DataFrame, min_words: int) -> DataFrame:
@@ -127,8 +135,10 @@ def later(min_words: int) -> Column:
 
 def windows(asked: DataFrame, min_words: int) -> DataFrame:
     """asked (key, ord, text, groups array<struct<a, n>>) -> (key, ord, p, w): place and hash of each window of the groups."""
-    rows = asked.select("key", "ord", hashes(F.col("text")).alias("t"), "groups").select("key", "ord", "t", F.explode_outer("groups").alias("at"))
-    rows = rows.select("key", "ord", "t", F.explode_outer(F.sequence(F.col("at.a"), F.col("at.a") + F.col("at.n") - 1)).alias("p"))
+    rows = asked.select("key", "ord", hashes(F.col("text")).alias("t"), "groups")
+    # groups of neighbours overlap, and each window is hashed once
+    places = F.array_distinct(F.flatten(F.transform("groups", lambda at: F.sequence(at["a"], at["a"] + at["n"] - 1))))
+    rows = rows.select("key", "ord", "t", F.explode_outer(places).alias("p"))
     return rows.select("key", "ord", "p", F.xxhash64(part("t", F.col("p"), min_words)).alias("w"))
 
 
@@ -159,21 +169,18 @@ def repeats(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def cut(rows: DataFrame) -> DataFrame:
     """rows (..., text, RUNS) -> (..., text, N_RUNS, N_WORDS): the text less its runs of words."""
     own = [c for c in rows.columns if c not in ("text", RUNS)]
-    split, at, kept, spans = "__pieces", "__at", "__kept", F.col(RUNS)
+    split, at, spans = "__pieces", "__at", F.col(RUNS)
     rows = rows.withColumn(split, pieces(F.col("text")))
-    # the piece of each word: two blanks in a row leave pieces without one
-    rows = rows.withColumn(at, F.filter(F.transform(split, lambda x, i: F.when(~x.isin("", " ", "\n"), i)), lambda i: i.isNotNull()))
-    begin = lambda r: F.when(r["low"] == 0, 0).otherwise(F.get(at, r["low"]))
-    end = lambda r: F.coalesce(F.get(at, r["high"]), F.size(split))
+    # the piece of each word, where two blanks in a row or one ahead leave pieces without one; else words and pieces have the same numbers
+    odd = F.array_contains(split, " ") | F.array_contains(split, "\n")
+    places = F.filter(F.transform(split, lambda x, i: F.when(~x.isin("", " ", "\n"), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn(at, F.when(odd & spans.isNotNull(), places))
+    begin = lambda r: F.when(r["low"] == 0, 0).otherwise(F.coalesce(F.get(at, r["low"]), r["low"]))
+    end = lambda r: F.coalesce(F.get(at, r["high"]), F.when(F.col(at).isNull(), r["high"]), F.size(split))
     rows = rows.withColumn(RUNS, F.transform(spans, lambda r: F.struct((r["high"] - r["low"]).alias("n"), begin(r).alias("low"), end(r).alias("high"))))
-    flags = F.transform(
-        spans,
-        lambda r, i: F.concat(
-            F.array_repeat(F.lit(True), r["low"] - F.coalesce(F.get(spans, i - 1)["high"], F.lit(0))), F.array_repeat(F.lit(False), r["high"] - r["low"])
-        ),
-    )
-    rows = rows.withColumn(kept, F.flatten(flags)).withColumn(kept, F.coalesce(kept, F.array().cast("array<boolean>")))
-    text = F.array_join(F.zip_with(split, kept, lambda x, k: F.when(F.coalesce(k, F.lit(True)), x)), "")
+    joined = lambda low, high: F.array_join(part(split, low, high - low), "")
+    ahead = F.transform(spans, lambda r, i: joined(F.coalesce(F.get(spans, i - 1)["high"], F.lit(0)), r["low"]))
+    text = F.concat(F.array_join(ahead, ""), joined(F.element_at(spans, -1)["high"], F.size(split)))
     removed = F.aggregate(spans, F.lit(0), lambda n, r: n + r["n"])
     return rows.select(
         *own, F.when(spans.isNull(), F.col("text")).otherwise(text).alias("text"),
