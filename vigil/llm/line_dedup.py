@@ -42,7 +42,7 @@ from ..streaming.state import settings
 from .common import written
 
 MIN_WORDS = 50
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 ADDED = ("n_chars", "n_runs", "n_removed_words")
 MARK = "\x01"
 #: Joins hash the smaller side where all of its parts are small, instead of sorting both.
@@ -170,11 +170,11 @@ def cut(rows: DataFrame) -> DataFrame:
     """rows (..., text, RUNS) -> (..., text, N_RUNS, N_WORDS): the text less its runs of words."""
     own = [c for c in rows.columns if c not in ("text", RUNS)]
     split, at, spans = "__pieces", "__at", F.col(RUNS)
-    rows = rows.withColumn(split, pieces(F.col("text")))
+    rows = rows.withColumn(split, F.when(spans.isNotNull(), pieces(F.col("text"))))
     # the piece of each word, where two blanks in a row or one ahead leave pieces without one; else words and pieces have the same numbers
     odd = F.array_contains(split, " ") | F.array_contains(split, "\n")
     places = F.filter(F.transform(split, lambda x, i: F.when(~x.isin("", " ", "\n"), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn(at, F.when(odd & spans.isNotNull(), places))
+    rows = rows.withColumn(at, F.when(odd, places))
     begin = lambda r: F.when(r["low"] == 0, 0).otherwise(F.coalesce(F.get(at, r["low"]), r["low"]))
     end = lambda r: F.coalesce(F.get(at, r["high"]), F.when(F.col(at).isNull(), r["high"]), F.size(split))
     rows = rows.withColumn(RUNS, F.transform(spans, lambda r: F.struct((r["high"] - r["low"]).alias("n"), begin(r).alias("low"), end(r).alias("high"))))
