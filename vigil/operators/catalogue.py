@@ -106,3 +106,15 @@ def long_table(group: str, wide: DataFrame, ts: str = "snapshot_ts", prefix: str
 def emit(frames: dict[str, DataFrame], prefix: str = "") -> DataFrame:
     """All metrics of the frames given, by group; each has snapshot_ts."""
     return reduce(DataFrame.unionByName, (long_table(g, frames[g], prefix=prefix) for g in GROUPS if g in frames))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """Rows and exact total of each family of the long table; a total is as wide as the sum."""
+    total = F.sum(F.col("value").cast("decimal(28, 5)"))
+    return rows.groupBy("metric", "type").agg(F.count("*").alias("n"), F.round(total, 0).alias("total"))
+
+
+def whole(rows: DataFrame, column: str) -> DataFrame:
+    """A column of whole decimals as BIGINT where all of them fit, else as it is. rows are few and read twice."""
+    widest = rows.agg(F.max(F.abs(column))).first()[0]
+    return rows if widest is not None and widest >= 2**63 else rows.withColumn(column, F.col(column).cast("long"))

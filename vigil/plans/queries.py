@@ -702,11 +702,10 @@ def topk_noisy_neighbors(f):
 
 @query(metric_frames.TOTALS)
 def sink_metrics(f):
-    """Rows and total of every family of the catalogue."""
+    """Rows and total of every family of the catalogue. Totals are BIGINT, as in SQL, unless one does not fit; then they are decimals, where SQL fails."""
     f.keep("flows", "counters", "routed", "resources")  # most frames read one of them
     rows = catalogue.emit(metric_frames.frames(f, _attention(f)))
-    total = F.sum(F.col("value").cast("decimal(28, 5)"))
-    return rows.groupBy("metric", "type").agg(F.count("*").alias("n"), F.round(total, 0).cast("long").alias("total"))
+    return catalogue.whole(f.written("family_totals", catalogue.totals(rows)), "total")
 
 
 @query(oracle_state.ALERTS, places=5)
